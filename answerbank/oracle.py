@@ -121,3 +121,44 @@ def topk_ctes(s: TfidfSettings, bank: str, queries: str, kk: int, keys: list[str
 
 def settings_sql_name(s: TfidfSettings) -> str:
     return f"{s.analyzer}_{s.ngram_min}_{s.ngram_max}"
+
+
+def rouge_tokens(expr: str) -> str:
+    return f"regexp_extract_all(lower(coalesce({expr}, '')), '[a-z0-9]+')"
+
+
+def rouge_sql(rt: str, pt: str) -> tuple[str, str]:
+    """(rouge1, rouge_l) F-measures from two token-list columns; LCS by a list_reduce over match positions.
+
+    The DP row is non-decreasing, so the best predecessor of cell j is the last
+    match position <= j: O(n * m * matches) per pair on whole texts.
+    """
+    ov = (
+        f"coalesce(list_sum(list_transform(list_distinct({rt}), lambda t: "
+        f"least(len(list_filter({rt}, lambda x: x = t)), len(list_filter({pt}, lambda x: x = t))))), 0)"
+    )
+    lcs = (
+        f"list_reduce(list_transform({rt}, lambda x: list_filter(range(1, len({pt}) + 1), lambda jp: {pt}[jp] = x)), "
+        f"lambda acc, pp: list_transform(range(0, len({pt}) + 1), lambda j: case when j = 0 then 0 else "
+        f"greatest(acc[j + 1], coalesce(acc[list_max(list_filter(pp, lambda q: q <= j))] + 1, 0)) end), "
+        f"list_transform(range(0, len({pt}) + 1), lambda j: 0))[len({pt}) + 1]"
+    )
+
+    def f(o: str) -> str:
+        p = f"({o}) / greatest(len({pt}), 1)"
+        r = f"({o}) / greatest(len({rt}), 1)"
+        return (
+            f"(case when len({rt}) = 0 or len({pt}) = 0 or ({o}) = 0 then 0.0 "
+            f"else 2.0 * {p} * {r} / ({p} + {r}) end)"
+        )
+
+    return f(ov), f(lcs)
+
+
+def rouge_select(rel: str, ref: str, pred: str, keep: str) -> str:
+    """``select {keep}, r1, rl from rel`` with the token lists computed once per row."""
+    r1, rl = rouge_sql("__rt", "__pt")
+    return (
+        f"select {keep}, {r1} as r1, {rl} as rl from "
+        f"(select *, {rouge_tokens(ref)} as __rt, {rouge_tokens(pred)} as __pt from {rel})"
+    )
