@@ -21,7 +21,7 @@ from dataclasses import asdict, dataclass, replace
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from answerbank.functions.ngrams import ngrams
+from answerbank.functions.ngrams import ngrams_from_units, units
 from answerbank.functions.text import normalize_ws
 from answerbank.plans.ranking import global_rank
 
@@ -61,7 +61,9 @@ def term_counts(df: DataFrame, id_col: str, text_col: str, s: TfidfSettings, key
 
     Rows are hash-partitioned by ``(keys…, id)`` *before* the explode, so only
     raw text crosses the network; the count per (row, term) then runs without
-    another exchange because the row key already clusters it.
+    another exchange because the row key already clusters it. The unit array
+    (characters / padded words / tokens) is its own projection, so the n-gram
+    lambdas read it instead of re-deriving it per element.
     """
     keys = keys or []
     t = normalize_ws(F.col(text_col))
@@ -70,7 +72,9 @@ def term_counts(df: DataFrame, id_col: str, text_col: str, s: TfidfSettings, key
     base = df.select(*[F.col(k) for k in keys], F.col(id_col).alias("id"), t.alias("__t")).repartition(
         *[F.col(k) for k in keys], F.col("id")
     )
-    exploded = base.select(*keys, "id", F.explode(ngrams(F.col("__t"), s.analyzer, s.ngram_min, s.ngram_max)).alias("term"))
+    with_units = base.select(*keys, "id", units(F.col("__t"), s.analyzer).alias("__u"))
+    grams = ngrams_from_units(F.col("__u"), s.analyzer, s.ngram_min, s.ngram_max)
+    exploded = with_units.select(*keys, "id", F.explode(grams).alias("term"))
     return exploded.groupBy(*keys, "id", "term").agg(F.count("*").alias("tf"))
 
 

@@ -35,6 +35,9 @@ TERM_JOIN_MAX_PAIRS = 30_000_000
 MAX_QUERY_BLOCK_ROWS = 512
 MAX_BANK_BLOCK_ROWS = 4096
 CHUNK_BYTES = 64 << 20
+# A term goes to the dense product when its pairs exceed 1/DENSE_RATIO of the cell.
+DENSE_RATIO = 64
+PAIR_CHUNK = 4_000_000
 
 
 def order_key(score_col: str = "score"):
@@ -69,6 +72,82 @@ def pack(post: DataFrame, keys: list[str], id_name: str) -> DataFrame:
     )
 
 
+def _cell_scores(q: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+    """Exact ``nq x nb`` dot products of two packed posting blocks.
+
+    Terms are split by their share of the cell: a term whose query-row x
+    bank-row pairs exceed ``1/DENSE_RATIO`` of the cell goes to a dense BLAS
+    product (stop-word-like terms); the long tail is expanded into explicit
+    (query, bank) pairs in bounded chunks and summed with ``bincount``.
+    """
+    nq, nb = len(q), len(b)
+    scores = np.zeros((nq, nb), dtype=np.float64)
+    q_len = q["tids"].map(len).to_numpy()
+    b_len = b["tids"].map(len).to_numpy()
+    if q_len.sum() == 0 or b_len.sum() == 0:
+        return scores
+    q_t = np.concatenate(q["tids"].to_list()).astype(np.int64)
+    q_w = np.concatenate(q["ws"].to_list()).astype(np.float64)
+    q_row = np.repeat(np.arange(nq), q_len)
+    b_t = np.concatenate(b["tids"].to_list()).astype(np.int64)
+    b_w = np.concatenate(b["ws"].to_list()).astype(np.float64)
+    b_row = np.repeat(np.arange(nb), b_len)
+
+    ob = np.argsort(b_t, kind="stable")
+    b_t, b_w, b_row = b_t[ob], b_w[ob], b_row[ob]
+    vocab, b_start, cb = np.unique(b_t, return_index=True, return_counts=True)
+    idx = np.searchsorted(vocab, q_t)
+    hit = idx < len(vocab)
+    hit[hit] = vocab[idx[hit]] == q_t[hit]
+    qi, q_w, q_row = idx[hit], q_w[hit], q_row[hit]
+    if len(qi) == 0:
+        return scores
+    oq = np.argsort(qi, kind="stable")
+    qi, q_w, q_row = qi[oq], q_w[oq], q_row[oq]
+    cq = np.bincount(qi, minlength=len(vocab))
+    q_start = np.concatenate([[0], np.cumsum(cq)[:-1]])
+    pairs = cq.astype(np.int64) * cb
+    dense = pairs * DENSE_RATIO > nq * nb
+
+    d_terms = np.nonzero(dense)[0]
+    if len(d_terms):
+        col = np.full(len(vocab), -1, dtype=np.int64)
+        col[d_terms] = np.arange(len(d_terms))
+        b_col = col[np.repeat(np.arange(len(vocab)), cb)]
+        q_col = col[qi]
+        step = max(1, CHUNK_BYTES // (8 * (nq + nb)))
+        for c0 in range(0, len(d_terms), step):
+            c1 = min(len(d_terms), c0 + step)
+            qs = (q_col >= c0) & (q_col < c1)
+            bs = (b_col >= c0) & (b_col < c1)
+            qm = np.zeros((nq, c1 - c0))
+            qm[q_row[qs], q_col[qs] - c0] = q_w[qs]
+            bm = np.zeros((nb, c1 - c0))
+            bm[b_row[bs], b_col[bs] - c0] = b_w[bs]
+            scores += qm @ bm.T
+
+    s_terms = np.nonzero(~dense & (pairs > 0))[0]
+    if len(s_terms):
+        cum = np.cumsum(pairs[s_terms])
+        bounds = np.searchsorted(cum, np.arange(PAIR_CHUNK, cum[-1] + PAIR_CHUNK, PAIR_CHUNK), side="right")
+        lo = 0
+        for hi in np.unique(np.append(bounds, len(s_terms))):
+            if hi <= lo:
+                continue
+            terms = s_terms[lo:hi]
+            lo = hi
+            cnt = pairs[terms]
+            total = int(cnt.sum())
+            which = np.repeat(np.arange(len(terms)), cnt)
+            off = np.arange(total) - np.repeat(np.cumsum(cnt) - cnt, cnt)
+            per_b = cb[terms][which]
+            qp = q_start[terms][which] + off // per_b
+            bp = b_start[terms][which] + off % per_b
+            flat = q_row[qp] * nb + b_row[bp]
+            scores += np.bincount(flat, weights=q_w[qp] * b_w[bp], minlength=nq * nb).reshape(nq, nb)
+    return scores
+
+
 def _topk_cell(k: int, key_names: list[str]):
     def fn(key, q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         cols = [*key_names, "qid", "pos", "score"]
@@ -77,51 +156,25 @@ def _topk_cell(k: int, key_names: list[str]):
         b = b.sort_values("pos", kind="stable").reset_index(drop=True)
         pos = b["pos"].to_numpy(np.int64)
         qids = q["qid"].to_numpy(np.int64)
-        nq, nb = len(q), len(b)
-        q_len = q["tids"].map(len).to_numpy()
-        q_t = np.concatenate(q["tids"].to_list()).astype(np.int64) if q_len.sum() else np.zeros(0, np.int64)
-        q_w = np.concatenate(q["ws"].to_list()).astype(np.float64) if q_len.sum() else np.zeros(0)
-        q_row = np.repeat(np.arange(nq), q_len)
-        b_len = b["tids"].map(len).to_numpy()
-        b_tids = b["tids"].to_list()
-        b_ws = b["ws"].to_list()
-        scores = np.zeros((nq, nb), dtype=np.float64)
-        start = 0
-        while start < nb:
-            # grow a bank chunk while its dense form stays inside the byte budget
-            stop = start
-            terms = 0
-            while stop < nb and (stop == start or (stop - start + 1) * (terms + b_len[stop]) * 8 <= CHUNK_BYTES):
-                terms += b_len[stop]
-                stop += 1
-            c_t = np.concatenate(b_tids[start:stop]).astype(np.int64) if terms else np.zeros(0, np.int64)
-            c_w = np.concatenate(b_ws[start:stop]).astype(np.float64) if terms else np.zeros(0)
-            c_row = np.repeat(np.arange(stop - start), b_len[start:stop])
-            vocab, c_col = np.unique(c_t, return_inverse=True)
-            if len(vocab) and len(q_t):
-                bmat = np.zeros((stop - start, len(vocab)))
-                bmat[c_row, c_col] = c_w
-                idx = np.searchsorted(vocab, q_t)
-                hit = idx < len(vocab)
-                hit[hit] = vocab[idx[hit]] == q_t[hit]
-                rows_per = max(1, CHUNK_BYTES // (8 * len(vocab)))
-                for qs in range(0, nq, rows_per):
-                    qe = min(nq, qs + rows_per)
-                    sel = hit & (q_row >= qs) & (q_row < qe)
-                    qmat = np.zeros((qe - qs, len(vocab)))
-                    qmat[q_row[sel] - qs, idx[sel]] = q_w[sel]
-                    scores[qs:qe, start:stop] = qmat @ bmat.T
-            start = stop
-        kk = min(k, nb)
+        scores = _cell_scores(q, b)
+        kk = min(k, len(b))
         rounded = np.round(scores, SCORE_DIGITS)
         # bank columns are in position order, so a stable sort breaks ties by position
-        top = np.argsort(-rounded, axis=1, kind="stable")[:, :kk]
-        out = {
-            "qid": np.repeat(qids, kk),
-            "pos": pos[top].ravel(),
-            "score": np.take_along_axis(scores, top, axis=1).ravel(),
-        }
-        frame = pd.DataFrame(out)
+        if kk < len(b):
+            part = np.argpartition(-rounded, kk - 1, axis=1)[:, :kk]
+            kth = np.take_along_axis(rounded, part, axis=1).min(axis=1, keepdims=True)
+            # every column tied with the k-th value competes on position
+            masked = np.where(rounded >= kth, rounded, -np.inf)
+            top = np.argsort(-masked, axis=1, kind="stable")[:, :kk]
+        else:
+            top = np.argsort(-rounded, axis=1, kind="stable")[:, :kk]
+        frame = pd.DataFrame(
+            {
+                "qid": np.repeat(qids, kk),
+                "pos": pos[top].ravel(),
+                "score": np.take_along_axis(scores, top, axis=1).ravel(),
+            }
+        )
         for i, name in enumerate(key_names):
             frame.insert(i, name, key[i])
         return frame[cols]
@@ -172,7 +225,10 @@ def blocked_topk(
         F.col("nq_rows"), F.greatest(F.lit(1), F.ceil(F.col("nq_rows") / F.lit(max_query_rows)), share)
     )
     sizes = sizes.select(*keys, nq.cast("int").alias("nqb"), nb.cast("int").alias("nbb"))
-    join = (lambda df: df.join(F.broadcast(sizes), keys, "inner")) if not keys else (lambda df: df.join(sizes, keys, "inner"))
+    def join(df: DataFrame) -> DataFrame:
+        # without keys ``sizes`` is one row; with keys it has one row per key
+        return df.crossJoin(F.broadcast(sizes)) if not keys else df.join(sizes, keys, "inner")
+
     qx = join(qp).select(
         *keys,
         F.pmod(F.xxhash64("qid"), F.col("nqb")).cast("int").alias("qblock"),
