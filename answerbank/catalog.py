@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from answerbank import oracle as O
 from answerbank.functions import rouge as R
+from answerbank.functions import text as X
+from answerbank.operators import profile as P
 from answerbank.operators import similarity as sim
 from answerbank.operators.tfidf import TfidfSettings
 from answerbank.sources import tables as T
@@ -118,5 +120,200 @@ def retrieval_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_corpus(pred, q)
 
 
+# --- A1-A4: profile ----------------------------------------------------------------
+
+_QW = O.word_count("question")
+_AW = O.word_count("answer")
+
+
+@register(
+    "table_profile",
+    f"""with qa as ({T.CONV_QA_SQL}),
+s as (select split, count(*) as rows, 6 as columns,
+  sum((id is null)::bigint + (question is null)::bigint + (answer is null)::bigint + (subset is null)::bigint
+      + (split is null)::bigint + (pos is null)::bigint) as missing_cells,
+  round(coalesce(avg({_QW}), 0), 6) as question_words_mean, round(coalesce(quantile_cont({_QW}, 0.95), 0), 6) as question_words_p95,
+  round(coalesce(avg({_AW}), 0), 6) as answer_words_mean, round(coalesce(quantile_cont({_AW}, 0.95), 0), 6) as answer_words_p95
+  from qa group by split),
+d as (select split, count(*) as n from (select distinct * from qa) group by split)
+select s.*, s.rows - d.n as duplicate_rows from s join d using (split)""",
+)
+def table_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.profile(T.conv_qa(spark, sf_dir), "question", "answer", split_col="split")
+
+
+@register(
+    "subset_counts",
+    "select coalesce(cast(lang as varchar), 'UNKNOWN') as value, count(*) as count from documents group by 1",
+)
+def subset_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.value_counts(T.table(spark, sf_dir, "documents"), "lang")
+
+
+# --- P1-P5, P8, P16, P17: text scalars -------------------------------------------------
+
+@register(
+    "text_scalars",
+    f"""with qa as ({T.CONV_QA_SQL})
+select id, length({O.norm('question')}) as q_norm_chars, {_QW} as q_words, {_AW} as a_words,
+  {O.trim_words_keep('answer', 30)} as a_trim_keep_30, {O.trim_words('answer', 30)} as a_trim_30,
+  {O.combine(O.trim_words('question', 10), O.trim_words('answer', 12), 'input_pred')} as combo_input_pred,
+  {O.combine(O.trim_words('question', 10), O.trim_words('answer', 12), 'pred_input')} as combo_pred_input,
+  {O.combine('question', 'answer', 'input_only')} as combo_input_only,
+  'query: ' || coalesce(question, '') as q_prefixed,
+  round({O.jaccard(f"list_distinct({O.words('question')})", f"list_distinct({O.words('answer')})")}, 6) as token_jaccard,
+  round({O.overlap(f"list_distinct({O.words('question')})", f"list_distinct({O.words('answer')})")}, 6) as token_overlap,
+  round({O.jaccard(O.lower_words('question'), O.lower_words('answer'))}, 6) as word_jaccard,
+  round({O.jaccard(O.lower_chars('question'), O.lower_chars('answer'))}, 6) as char_jaccard,
+  cast(starts_with(coalesce(answer, ''), coalesce(question, '')) as int) as starts_with_question,
+  round({_AW} / greatest({_QW}, 1), 6) as a_to_q_words
+from qa""",
+)
+def text_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    qa = T.conv_qa(spark, sf_dir)
+    qw, aw = X.word_count("question"), X.word_count("answer")
+    qs, as_ = X.token_set("question"), X.token_set("answer")
+    return qa.select(
+        "id",
+        F.length(X.normalize_ws("question")).alias("q_norm_chars"),
+        qw.alias("q_words"),
+        aw.alias("a_words"),
+        X.trim_words_keep("answer", 30).alias("a_trim_keep_30"),
+        X.trim_words("answer", 30).alias("a_trim_30"),
+        X.combine(X.trim_words("question", 10), X.trim_words("answer", 12), "input_pred").alias("combo_input_pred"),
+        X.combine(X.trim_words("question", 10), X.trim_words("answer", 12), "pred_input").alias("combo_pred_input"),
+        X.combine(F.col("question"), F.col("answer"), "input_only").alias("combo_input_only"),
+        X.prefix("question", "query: ").alias("q_prefixed"),
+        r6(X.jaccard(qs, as_)).alias("token_jaccard"),
+        r6(X.overlap_ratio(qs, as_)).alias("token_overlap"),
+        r6(X.jaccard(X.lower_word_set("question"), X.lower_word_set("answer"))).alias("word_jaccard"),
+        r6(X.jaccard(X.lower_char_set("question"), X.lower_char_set("answer"))).alias("char_jaccard"),
+        X.fill_empty("answer").startswith(X.fill_empty("question")).cast("int").alias("starts_with_question"),
+        r6(X.length_ratio(aw, qw)).alias("a_to_q_words"),
+    )
+
+
+# --- V1-V9: vocabulary and weights -----------------------------------------------------
+
+VOCAB_CUT = SCRIPT.with_(min_df=2, max_features=5000)
+
+
+@register(
+    "tfidf_vocabulary",
+    f"""with {_qa_cte(T.CONV_QA_SQL)}, {O.tfidf_ctes(VOCAB_CUT, 'bank', 'qry', [])}
+select term, df, cast(ctf as bigint) as ctf, round(idf, 6) as idf from voc""",
+)
+def tfidf_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from answerbank.operators.tfidf import fit_vocabulary, term_counts
+
+    bank, _ = T.bank_and_queries(T.conv_qa(spark, sf_dir))
+    counts = term_counts(bank, "pos", "question", VOCAB_CUT)
+    n = bank.agg(F.count("*").alias("n"))
+    v = fit_vocabulary(counts, n, VOCAB_CUT)
+    return v.select("term", "df", F.col("ctf").cast("long").alias("ctf"), r6(F.col("idf")).alias("idf"))
+
+
+WB_WORDS = TfidfSettings(analyzer="word", ngram_min=1, ngram_max=1, max_features=None, min_df=1, max_df=0.9,
+                         smooth_idf=False, binary=True)
+
+
+@register(
+    "tfidf_weights",
+    f"""with {_qa_cte(T.CONV_QA_SQL)}, {O.tfidf_ctes(WB_WORDS, 'bank', 'qry', [])}
+select id as qid, term, round(w, 6) as w from qw""",
+)
+def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from answerbank.operators.tfidf import fit_transform
+
+    bank, q = T.bank_and_queries(T.conv_qa(spark, sf_dir))
+    _, _, qp = fit_transform(bank, q, WB_WORDS)
+    return qp.select(F.col("id").alias("qid"), "term", r6(F.col("w")).alias("w"))
+
+
+# --- J3-J6: top-k, grouped, per-group settings, scope ------------------------------------------
+
+@register(
+    "topk_match",
+    f"""with {_qa_cte(T.CONV_QA_SQL)}, {O.topk_ctes(SCRIPT, 'bank', 'qry', 5, [])}
+select qid, pos as matched_id, rank, round(score, 6) as similarity from top""",
+)
+def topk_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bank, q = T.bank_and_queries(T.conv_qa(spark, sf_dir))
+    top = sim.topk_scores(bank, q, SCRIPT, 5)
+    return top.select("qid", F.col("pos").alias("matched_id"), "rank", r6(F.col("score")).alias("similarity"))
+
+
+def _grouped_sql(view_sql: str, s: TfidfSettings) -> str:
+    return f"""with {_qa_cte(view_sql)},
+qin as (select * from qry where subset in (select subset from bank)),
+qout as (select * from qry where subset is null or subset not in (select subset from bank where subset is not null)),
+{O.topk_ctes(s, 'bank', 'qin', 1, ['subset'], 'g_')},
+{O.topk_ctes(s, 'bank', 'qout', 1, [], 'a_')}
+select t.qid, b.id as matched_id, round(t.score, 6) as similarity, coalesce(b.answer, '') as prediction
+from (select qid, pos, score from g_top union all select qid, pos, score from a_top) t join bank b on b.pos = t.pos"""
+
+
+@register("grouped_top1", _grouped_sql(T.CONV_QA_SQL, BASELINE))
+def grouped_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bank, q = T.bank_and_queries(T.conv_qa(spark, sf_dir))
+    out = sim.grouped_top1(bank, q, BASELINE, "subset")
+    return out.select("qid", "matched_id", r6(F.col("similarity")).alias("similarity"), "prediction")
+
+
+GROUP_OVERRIDES = {"s1": {"analyzer": "char", "ngram_min": 2, "ngram_max": 4, "sublinear_tf": True},
+                   "s2": {"analyzer": "word", "ngram_min": 1, "ngram_max": 2, "max_features": None}}
+
+
+def _group_settings_sql() -> str:
+    parts = []
+    ctes = []
+    listed = ", ".join(f"'{g}'" for g in GROUP_OVERRIDES)
+    ctes.append(f"q_def as (select * from qry where subset is null or subset not in ({listed}))")
+    ctes.append(O.topk_ctes(BASELINE, "bank", "q_def", 1, [], "d_"))
+    parts.append("select qid, pos, score from d_top")
+    for i, (g, o) in enumerate(GROUP_OVERRIDES.items()):
+        ctes.append(f"q_{i} as (select * from qry where subset = '{g}')")
+        ctes.append(O.topk_ctes(BASELINE.with_(**o), "bank", f"q_{i}", 1, [], f"o{i}_"))
+        parts.append(f"select qid, pos, score from o{i}_top")
+    return f"""with {_qa_cte(T.CONV_QA_SQL)}, {', '.join(ctes)}
+select t.qid, b.id as matched_id, round(t.score, 6) as similarity, coalesce(b.answer, '') as prediction
+from ({' union all '.join(parts)}) t join bank b on b.pos = t.pos"""
+
+
+@register("group_settings_top1", _group_settings_sql())
+def group_settings_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bank, q = T.bank_and_queries(T.conv_qa(spark, sf_dir))
+    out = sim.group_settings_top1(bank, q, BASELINE, GROUP_OVERRIDES, "subset")
+    return out.select("qid", "matched_id", r6(F.col("similarity")).alias("similarity"), "prediction")
+
+
+@register(
+    "scoped_topk",
+    f"""with {_qa_cte(T.CONV_QA_SQL)},
+qs as (select * from qry where subset = 's0'),
+qa_ as (select * from qry where subset is null or subset <> 's0'),
+{O.topk_ctes(SCRIPT, 'bank', 'qs', 3, ['subset'], 's_')},
+{O.topk_ctes(SCRIPT, 'bank', 'qa_', 3, [], 'a_')}
+select qid, pos as matched_id, rank, round(score, 6) as similarity from s_top
+union all select qid, pos as matched_id, rank, round(score, 6) as similarity from a_top""",
+)
+def scoped_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bank, q = T.bank_and_queries(T.conv_qa(spark, sf_dir))
+    out = sim.scoped_topk(bank, q, SCRIPT, 3, group_col="subset", default_scope="all", scopes={"s0": "same_group"})
+    return out.select("qid", F.col("pos").alias("matched_id"), "rank", r6(F.col("similarity")).alias("similarity"))
+
+
+@register(
+    "doc_topk",
+    f"""with {_qa_cte(T.DOC_SPLIT_SQL)}, {O.topk_ctes(DOC_WORDS, 'bank', 'qry', 5, [])}
+select qid, pos as matched_id, rank, round(score, 6) as similarity from top""",
+)
+def doc_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents against whole documents: word 1-2 gram TF-IDF, top 5 (blocked scorer at scale)."""
+    bank, q = T.bank_and_queries(T.doc_split(spark, sf_dir))
+    top = sim.topk_scores(bank, q, DOC_WORDS, 5)
+    return top.select("qid", F.col("pos").alias("matched_id"), "rank", r6(F.col("score")).alias("similarity"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval_score(spark, sf_dir)

@@ -109,9 +109,9 @@ def lower_word_set(c: Column | str) -> Column:
 
 
 def lower_char_set(c: Column | str) -> Column:
-    """Distinct non-space characters of the lower-cased raw text."""
-    chars = F.split(F.lower(fill_empty(c)), "")
-    return F.array_distinct(F.filter(chars, lambda ch: ~ch.rlike("^" + WS_CLASS + "$") & (ch != "")))
+    """Distinct characters (spaces included) of the lower-cased raw text."""
+    low = F.lower(fill_empty(c))
+    return F.when(low == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.split(low, "")))
 
 
 def length_ratio(num: Column, den: Column) -> Column:

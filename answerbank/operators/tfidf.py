@@ -139,10 +139,10 @@ def weigh(counts: DataFrame, vocab: DataFrame, s: TfidfSettings, keys: list[str]
     if s.max_features is not None and s.max_features <= BROADCAST_VOCAB_LIMIT and not keys:
         v = F.broadcast(v)
     joined = counts.join(v, [*keys, "term"], "inner")
-    raw = joined.select(*keys, "id", "tid", (_tf_weight(s) * F.col("idf")).alias("raw"))
+    raw = joined.select(*keys, "id", "term", "tid", (_tf_weight(s) * F.col("idf")).alias("raw"))
     # The norm is a window over the row key: counts are already clustered by it, so no exchange.
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(*keys, "id")))
-    return raw.select(*keys, "id", "tid", (F.col("raw") / norm).alias("w")).where(F.col("w").isNotNull())
+    return raw.select(*keys, "id", "term", "tid", (F.col("raw") / norm).alias("w")).where(F.col("w").isNotNull())
 
 
 def fit_transform(

@@ -32,29 +32,34 @@ def word_count(expr: str) -> str:
     return f"len({words(expr)})"
 
 
-def ngram_list(t: str, s: TfidfSettings) -> str:
-    a, b = s.ngram_min, s.ngram_max
+def units_sql(t: str, s: TfidfSettings) -> str:
+    """The array an analyzer slices, computed once per row (see ``functions.ngrams``)."""
     if s.analyzer == "char":
-        return (
-            f"flatten(list_transform(range({a}, {b + 1}), lambda n: "
-            f"list_transform(range(1, length({t}) - n + 2), lambda i: substr({t}, i, n))))"
-        )
+        return f"(case when {t} = '' then []::varchar[] else string_split({t}, '') end)"
+    if s.analyzer == "char_wb":
+        return f"list_filter(string_split({t}, ' '), lambda w: w <> '')"
+    if s.analyzer == "word":
+        return f"regexp_extract_all({t}, '{WORD}')"
+    raise ValueError(s.analyzer)
+
+
+def ngram_list(u: str, s: TfidfSettings) -> str:
+    """N-grams of a materialised units column ``u``."""
+    a, b = s.ngram_min, s.ngram_max
     if s.analyzer == "char_wb":
         p = "(' ' || w || ' ')"
         return (
-            f"flatten(list_transform(list_filter(string_split({t}, ' '), lambda w: w <> ''), lambda w: "
+            f"flatten(list_transform({u}, lambda w: "
             f"flatten(list_transform(range({a}, {b + 1}), lambda n: case "
             f"when length(w) + 2 > n then list_transform(range(1, length(w) + 2 - n + 2), lambda i: substr({p}, i, n)) "
             f"when length(w) + 2 = n or (n = {a} and length(w) + 2 < n) then [{p}] "
             f"else []::varchar[] end))))"
         )
-    if s.analyzer == "word":
-        toks = f"regexp_extract_all({t}, '{WORD}')"
-        return (
-            f"flatten(list_transform(range({a}, {b + 1}), lambda n: "
-            f"list_transform(range(1, len({toks}) - n + 2), lambda i: array_to_string(list_slice({toks}, i, i + n - 1), ' '))))"
-        )
-    raise ValueError(s.analyzer)
+    sep = "''" if s.analyzer == "char" else "' '"
+    return (
+        f"flatten(list_transform(range({a}, {b + 1}), lambda n: "
+        f"list_transform(range(1, len({u}) - n + 2), lambda i: array_to_string(list_slice({u}, i, i + n - 1), {sep}))))"
+    )
 
 
 def _tfw(s: TfidfSettings) -> str:
@@ -89,14 +94,16 @@ def tfidf_ctes(s: TfidfSettings, bank: str, queries: str, keys: list[str], prefi
     using_keys = "".join(f"{c}, " for c in keys)
     nd_join = f"join {p}nd using ({kp})" if keys else f"cross join {p}nd"
     return f"""
-{p}bt as (select {k}id, term, count(*) as tf from (select {k}id, unnest({ngram_list(t, s)}) as term from {bank}) group by all),
+{p}bt as (select {k}id, term, count(*) as tf from (select {k}id, unnest({ngram_list('__u', s)}) as term
+   from (select *, {units_sql(t, s)} as __u from {bank})) group by all),
 {p}nd as (select {k}count(*) as n from {bank} {'group by ' + kp if keys else ''}),
 {p}st as (select {k}term, count(*) as df, {ctf} as ctf from {p}bt group by all),
 {p}voc as (select {k}term, df, ctf, {_idf(s)} as idf from {p}st {nd_join}
    where df >= {s.min_df} and df <= {float(s.max_df)!r} * n {limit}),
 {p}bw0 as (select {k}id, term, {_tfw(s)} * idf as raw from {p}bt join {p}voc using ({using_keys}term)),
 {p}bw as (select {k}id, term, raw / sqrt(sum(raw * raw) over (partition by {k}id)) as w from {p}bw0),
-{p}qt as (select {k}id, term, count(*) as tf from (select {k}id, unnest({ngram_list(t, s)}) as term from {queries}) group by all),
+{p}qt as (select {k}id, term, count(*) as tf from (select {k}id, unnest({ngram_list('__u', s)}) as term
+   from (select *, {units_sql(t, s)} as __u from {queries})) group by all),
 {p}qw0 as (select {k}id, term, {_tfw(s)} * idf as raw from {p}qt join {p}voc using ({using_keys}term)),
 {p}qw as (select {k}id, term, raw / sqrt(sum(raw * raw) over (partition by {k}id)) as w from {p}qw0)"""
 
@@ -162,3 +169,44 @@ def rouge_select(rel: str, ref: str, pred: str, keep: str) -> str:
         f"select {keep}, {r1} as r1, {rl} as rl from "
         f"(select *, {rouge_tokens(ref)} as __rt, {rouge_tokens(pred)} as __pt from {rel})"
     )
+
+
+def trim_words(expr: str, n: int | None) -> str:
+    if n is None:
+        return strip(expr)
+    return f"array_to_string(list_slice({words(expr)}, 1, {n}), ' ')"
+
+
+def trim_words_keep(expr: str, n: int | None) -> str:
+    if n is None:
+        return strip(expr)
+    return f"(case when len({words(expr)}) <= {n} then {strip(expr)} else {trim_words(expr, n)} end)"
+
+
+def combine(q: str, p: str, mode: str) -> str:
+    qs, ps = strip(q), strip(p)
+    if mode == "input_pred":
+        return strip(f"({qs} || ' ' || {ps})")
+    if mode == "pred_input":
+        return strip(f"({ps} || ' ' || {qs})")
+    if mode == "input_only":
+        return qs
+    raise ValueError(mode)
+
+
+def jaccard(a: str, b: str) -> str:
+    u = f"len(list_distinct(list_concat({a}, {b})))"
+    return f"(case when {u} = 0 then 0.0 else len(list_intersect({a}, {b})) / {u} end)"
+
+
+def overlap(a: str, b: str) -> str:
+    return f"(case when len({a}) = 0 then 0.0 else len(list_intersect({a}, {b})) / len({a}) end)"
+
+
+def lower_words(expr: str) -> str:
+    return f"list_distinct({words(f'lower(coalesce({expr}, {chr(39)}{chr(39)}))')})"
+
+
+def lower_chars(expr: str) -> str:
+    low = f"lower(coalesce({expr}, ''))"
+    return f"(case when {low} = '' then []::varchar[] else list_distinct(string_split({low}, '')) end)"
