@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from answerbank import oracle as O
 from answerbank.functions import rouge as R
 from answerbank.functions import text as X
+from answerbank.operators import fusion as FU
 from answerbank.operators import profile as P
+from answerbank.plans.blocks import dense_topk
 from answerbank.operators import similarity as sim
 from answerbank.operators.tfidf import TfidfSettings
 from answerbank.sources import tables as T
@@ -315,5 +317,226 @@ def doc_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("qid", F.col("pos").alias("matched_id"), "rank", r6(F.col("score")).alias("similarity"))
 
 
+# --- J7-J15: fusion ---------------------------------------------------------------------
+
+WORDS12 = TfidfSettings(analyzer="word", ngram_min=1, ngram_max=2, max_features=None)
+GENERATORS = [SCRIPT, BASELINE, WORDS12]
+
+
+def _union_sql(k: int, m: int) -> str:
+    ctes = [O.topk_ctes(g, "bank", "qry", k, [], f"g{i}_") for i, g in enumerate(GENERATORS)]
+    union = " union all ".join(f"select qid, pos, score, {i} as gen from g{i}_top" for i in range(len(GENERATORS)))
+    return f"""{_qa_cte(T.CONV_QA_SQL)}, {', '.join(ctes)},
+u as (select *, max(round(score, 9)) over (partition by qid, pos) as mx from ({union})),
+m as (select qid, pos, max(score) as max_score, sum(score) as score_sum, count(*) as generator_count,
+      min(case when round(score, 9) = mx then gen end) as best_generator from u group by qid, pos),
+r as (select *, score_sum / greatest(generator_count, 1) as mean_score,
+      row_number() over (partition by qid order by round(max_score, 9) desc, pos) as rank from m qualify rank <= {m})"""
+
+
+@register(
+    "union_candidates",
+    f"""with {_union_sql(5, 8)}
+select qid, pos as matched_id, rank, round(max_score, 6) as max_score, round(score_sum, 6) as score_sum,
+       generator_count, round(mean_score, 6) as mean_score, best_generator from r""",
+)
+def union_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bank, q = T.bank_and_queries(T.conv_qa(spark, sf_dir))
+    u = FU.tracked_union(bank, q, GENERATORS, 5, 8)
+    return u.select(
+        "qid", F.col("pos").alias("matched_id"), "rank", r6(F.col("max_score")).alias("max_score"),
+        r6(F.col("score_sum")).alias("score_sum"), "generator_count", r6(F.col("mean_score")).alias("mean_score"),
+        F.col("best_generator").cast("int").alias("best_generator"),
+    )
+
+
+_VEC_SQL = """vq as (select vec_id as qid, cast(embedding as double[]) as vec, label from embeddings where vec_id % 5 = 0),
+vb as (select vec_id as pos, cast(embedding as double[]) as vec, label from embeddings where vec_id % 5 <> 0)"""
+
+
+def _vec_split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    v = T.vectors(spark, sf_dir)
+    q = v.where(F.col("vid") % 5 == 0).select(F.col("vid").alias("qid"), "vec", "label")
+    b = v.where(F.col("vid") % 5 != 0).select(F.col("vid").alias("pos"), "vec", "label")
+    return q, b
+
+
+@register(
+    "dense_topk",
+    f"""with {_VEC_SQL},
+s as (select q.qid, b.pos, list_inner_product(q.vec, b.vec) as score from vq q join vb b on q.label = b.label)
+select qid, pos as matched_id, rank, round(score, 6) as similarity from
+ (select *, row_number() over (partition by qid order by round(score, 9) desc, pos) as rank from s) where rank <= 3""",
+)
+def dense_topk_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact dot-product top-3 inside each label group (all pairs, blocked)."""
+    q, b = _vec_split(spark, sf_dir)
+    top = dense_topk(q, b, 3, ["label"])
+    return top.select("qid", F.col("pos").alias("matched_id"), "rank", r6(F.col("score")).alias("similarity"))
+
+
+@register(
+    "dense_pivot_top1",
+    f"""with {_VEC_SQL},
+s as (select q.qid, b.pos, list_inner_product(q.vec, b.vec) as score from vq q cross join (select * from vb where label = 0) b)
+select qid, pos as matched_id, round(score, 6) as similarity from
+ (select *, row_number() over (partition by qid order by round(score, 9) desc, pos) as rank from s) where rank = 1""",
+)
+def dense_pivot_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best row of a filtered pivot bank (label 0) for every query vector."""
+    q, b = _vec_split(spark, sf_dir)
+    top = dense_topk(q.drop("label"), b.where(F.col("label") == 0).drop("label"), 1)
+    return top.select("qid", F.col("pos").alias("matched_id"), r6(F.col("score")).alias("similarity"))
+
+
+RERANK_WEIGHTS = {"s1": 0.6, "s3": 0.0}
+_QAV = T.QA_VECTORS_SQL.format(qa=T.CONV_QA_SQL)
+
+
+def _weight_sql(group: str) -> str:
+    cases = " ".join(f"when {group} = '{g}' then {w}" for g, w in RERANK_WEIGHTS.items())
+    return f"(case {cases} else 0.3 end)"
+
+
+@register(
+    "semantic_rerank",
+    f"""with {_qa_cte(T.CONV_QA_SQL)}, {O.topk_ctes(SCRIPT, 'bank', 'qry', 10, [])},
+v as ({_QAV}),
+s as (select t.qid, t.pos, t.score, list_inner_product(vq.vec, vb.vec) as dense, q.subset
+      from top t join v vq on vq.id = t.qid join v vb on vb.id = t.pos join qry q on q.id = t.qid),
+b as (select *, (1 - {_weight_sql('subset')}) * score + {_weight_sql('subset')} * dense as blend from s),
+r as (select *, row_number() over (partition by qid order by round(blend, 9) desc, round(score, 9) desc, pos) as rk from b)
+select r.qid, bank.id as matched_id, round(blend, 6) as similarity, coalesce(bank.answer, '') as prediction
+from r join bank on bank.pos = r.pos where rk = 1""",
+)
+def semantic_rerank_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lexical top-10 reranked with encoder vectors, per-subset blend weights."""
+    qa = T.conv_qa(spark, sf_dir)
+    bank, q = T.bank_and_queries(qa)
+    vec = T.qa_vectors(spark, sf_dir, qa)
+    top = sim.topk_scores(bank, q, SCRIPT, 10)
+    best = FU.semantic_rerank(top, vec, vec, q, default_weight=0.3, weights_by_group=RERANK_WEIGHTS)
+    out = sim.attach_answers(best.select("qid", "pos", F.col("similarity").alias("score")), bank)
+    return out.select("qid", "matched_id", r6(F.col("similarity")).alias("similarity"), "prediction")
+
+
+@register(
+    "union_rerank",
+    f"""with {_union_sql(5, 8)}, v as ({_QAV}),
+s as (select t.qid, t.pos, t.max_score as score, list_inner_product(vq.vec, vb.vec) as dense, q.subset
+      from r t join v vq on vq.id = t.qid join v vb on vb.id = t.pos join qry q on q.id = t.qid),
+b as (select *, (1 - {_weight_sql('subset')}) * score + {_weight_sql('subset')} * dense as blend from s),
+rr as (select *, row_number() over (partition by qid order by round(blend, 9) desc, round(score, 9) desc, pos) as rk from b)
+select rr.qid, bank.id as matched_id, round(blend, 6) as similarity, coalesce(bank.answer, '') as prediction
+from rr join bank on bank.pos = rr.pos where rk = 1""",
+)
+def union_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracked union of three generators, then the semantic blend."""
+    qa = T.conv_qa(spark, sf_dir)
+    bank, q = T.bank_and_queries(qa)
+    vec = T.qa_vectors(spark, sf_dir, qa)
+    u = FU.tracked_union(bank, q, GENERATORS, 5, 8).withColumnRenamed("max_score", "score")
+    best = FU.semantic_rerank(u, vec, vec, q, default_weight=0.3, weights_by_group=RERANK_WEIGHTS)
+    out = sim.attach_answers(best.select("qid", "pos", F.col("similarity").alias("score")), bank)
+    return out.select("qid", "matched_id", r6(F.col("similarity")).alias("similarity"), "prediction")
+
+
+def _hybrid_frames(spark: SparkSession, sf_dir: str):
+    qa = T.conv_qa(spark, sf_dir)
+    bank, q = T.bank_and_queries(qa)
+    vec = T.qa_vectors(spark, sf_dir, qa)
+    qv = q.select("qid").join(vec.withColumnRenamed("id", "qid"), "qid")
+    bv = bank.select("pos").join(vec.withColumnRenamed("id", "pos"), "pos")
+    dense = dense_topk(qv, bv, 6)
+    lexical = sim.topk_scores(bank, q, BASELINE, 4)
+    return bank, q, FU.hybrid_fusion(dense, lexical, dense_weight=1.0, lexical_weight=0.15, max_candidates=5)
+
+
+_HYBRID_SQL = f"""{_qa_cte(T.CONV_QA_SQL)}, {O.topk_ctes(BASELINE, 'bank', 'qry', 4, [])}, v as ({_QAV}),
+ds as (select q.id as qid, b.pos, list_inner_product(vq.vec, vb.vec) as score
+       from qry q join v vq on vq.id = q.id cross join bank b join v vb on vb.id = b.pos),
+dt as (select * from ds qualify row_number() over (partition by qid order by round(score, 9) desc, pos) <= 6),
+j as (select coalesce(d.qid, t.qid) as qid, coalesce(d.pos, t.pos) as pos,
+      greatest(coalesce(d.score, 0.0), 0.0) as dense_score, greatest(coalesce(t.score, 0.0), 0.0) as tfidf_score
+      from dt d full outer join top t on d.qid = t.qid and d.pos = t.pos),
+f as (select *, 1.0 * dense_score + 0.15 * tfidf_score as combined_score,
+      row_number() over (partition by qid order by round(1.0 * dense_score + 0.15 * tfidf_score, 9) desc, pos) as rank
+      from j qualify rank <= 5)"""
+
+
+@register(
+    "hybrid_fusion",
+    f"""with {_HYBRID_SQL}
+select qid, pos as matched_id, rank, round(dense_score, 6) as dense_score, round(tfidf_score, 6) as tfidf_score,
+       round(combined_score, 6) as combined_score from f""",
+)
+def hybrid_fusion_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense top-6 and lexical top-4 fused (missing = 0, negatives clamp to 0), best 5 kept."""
+    _, _, f = _hybrid_frames(spark, sf_dir)
+    return f.select(
+        "qid", F.col("pos").alias("matched_id"), "rank", r6(F.col("dense_score")).alias("dense_score"),
+        r6(F.col("tfidf_score")).alias("tfidf_score"), r6(F.col("combined_score")).alias("combined_score"),
+    )
+
+
+@register(
+    "pair_rerank",
+    f"""with {_HYBRID_SQL},
+ps as (select f.qid, f.pos, f.rank, f.combined_score,
+       {O.jaccard(f"list_distinct({O.words('q.question')})", f"list_distinct({O.words('b.question')})")} as pair_score
+       from f join qry q on q.id = f.qid join bank b on b.pos = f.pos where f.rank <= 3),
+w as (select *, row_number() over (partition by qid order by round(pair_score, 9) desc nulls last, rank) as rk from ps)
+select qid, pos as matched_id, round(combined_score, 6) as similarity, round(pair_score, 6) as pair_score from w where rk = 1""",
+)
+def pair_rerank_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second stage over the first 3 fused candidates, scored by a pair-score table
+    (here the token Jaccard of the two questions, standing in for a cross-encoder's output)."""
+    bank, q, f = _hybrid_frames(spark, sf_dir)
+    pairs = (
+        f.select("qid", "pos")
+        .join(q.select("qid", X.token_set("question").alias("qs")), "qid")
+        .join(bank.select("pos", X.token_set("question").alias("bs")), "pos")
+        .select("qid", "pos", X.jaccard(F.col("qs"), F.col("bs")).alias("pair_score"))
+    )
+    best = FU.pair_rerank(f, pairs, top_r=3)
+    return best.select(
+        "qid", F.col("pos").alias("matched_id"), r6(F.col("similarity")).alias("similarity"),
+        r6(F.col("pair_score")).alias("pair_score"),
+    )
+
+
+MEMBERS = [
+    (BASELINE, 1.0),
+    (SCRIPT, 1.0),
+    (WORDS12, 0.5),
+    (TfidfSettings(analyzer="char_wb", ngram_min=2, ngram_max=4), 1.0),
+]
+
+
+def _ensemble_sql() -> str:
+    ctes = [O.topk_ctes(s, "bank", "qry", 1, [], f"m{i}_") for i, (s, _) in enumerate(MEMBERS)]
+    union = " union all ".join(
+        f"select t.qid, b.id as matched_id, t.score as similarity, coalesce(b.answer, '') as prediction, {i} as member, "
+        f"{w} as weight from m{i}_top t join bank b on b.pos = t.pos"
+        for i, (_, w) in enumerate(MEMBERS)
+    )
+    return f"""with {_qa_cte(T.CONV_QA_SQL)}, {', '.join(ctes)}, u as ({union}),
+g as (select qid, prediction, sum(weight) as vote_weight, sum(similarity * weight) as similarity_weight,
+      max(similarity) as best_similarity, arg_min(matched_id, member) as matched_id, min(member) as first_member
+      from u group by qid, prediction),
+r as (select *, row_number() over (partition by qid order by round(vote_weight, 9) desc, round(similarity_weight, 9) desc,
+      round(best_similarity, 9) desc, first_member) as rk from g)
+select qid, matched_id, round(best_similarity, 6) as similarity, prediction from r where rk = 1"""
+
+
+@register("ensemble_vote", _ensemble_sql())
+def ensemble_vote_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four retrieval members vote by answer text."""
+    bank, q = T.bank_and_queries(T.conv_qa(spark, sf_dir))
+    members = [(sim.top1_predict(bank, q, s), w) for s, w in MEMBERS]
+    out = FU.ensemble_vote(members)
+    return out.select("qid", "matched_id", r6(F.col("similarity")).alias("similarity"), "prediction")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval_score(spark, sf_dir)

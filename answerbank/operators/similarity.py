@@ -78,8 +78,9 @@ def attach_answers(top: DataFrame, bank: DataFrame, keys: list[str] | None = Non
     """Candidate rows -> ``(qid, matched_id, pos, similarity, prediction, rank)`` (null answer -> '')."""
     keys = keys or []
     b = bank.select(*keys, "pos", F.col("id").alias("matched_id"), F.coalesce(F.col("answer"), F.lit("")).alias("prediction"))
+    extra = ["rank"] if "rank" in top.columns else []
     return top.join(b, [*keys, "pos"]).select(
-        *keys, "qid", "matched_id", "pos", F.col("score").alias("similarity"), "prediction", "rank"
+        *keys, "qid", "matched_id", "pos", F.col("score").alias("similarity"), "prediction", *extra
     )
 
 

@@ -274,3 +274,89 @@ def _empty_scores(spark, q_post: DataFrame, keys: list[str]) -> DataFrame:
 
 def blocks_needed(rows: int, max_rows: int) -> int:
     return max(1, math.ceil(rows / max_rows))
+
+
+def _dense_cell(k: int, key_names: list[str]):
+    def fn(key, q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        cols = [*key_names, "qid", "pos", "score"]
+        if q.empty or b.empty:
+            return pd.DataFrame({c: [] for c in cols})
+        b = b.sort_values("pos", kind="stable").reset_index(drop=True)
+        qm = np.vstack(q["vec"].to_list()).astype(np.float64)
+        bm = np.vstack(b["vec"].to_list()).astype(np.float64)
+        scores = qm @ bm.T
+        kk = min(k, len(b))
+        top = np.argsort(-np.round(scores, SCORE_DIGITS), axis=1, kind="stable")[:, :kk]
+        frame = pd.DataFrame(
+            {
+                "qid": np.repeat(q["qid"].to_numpy(np.int64), kk),
+                "pos": b["pos"].to_numpy(np.int64)[top].ravel(),
+                "score": np.take_along_axis(scores, top, axis=1).ravel(),
+            }
+        )
+        for i, name in enumerate(key_names):
+            frame.insert(i, name, key[i])
+        return frame[cols]
+
+    return fn
+
+
+def dense_topk(
+    queries: DataFrame,
+    bank: DataFrame,
+    k: int,
+    keys: list[str] | None = None,
+    *,
+    max_query_rows: int = 2048,
+    max_bank_rows: int = 8192,
+) -> DataFrame:
+    """Exact dot-product top-k of ``queries (keys…, qid, vec)`` against ``bank (keys…, pos, vec)``.
+
+    Same block layout as the lexical scorer; each cell is one BLAS product.
+    """
+    keys = keys or []
+    spark = queries.sparkSession
+    # fresh attributes on both sides: the two inputs often come from one table
+    queries = queries.select(*[F.col(c).alias(c) for c in keys], F.col("qid").alias("qid"), F.col("vec").alias("vec"))
+    bank = bank.select(*[F.col(c).alias(c) for c in keys], F.col("pos").alias("pos"), F.col("vec").alias("vec"))
+    target = 2 * spark.sparkContext.defaultParallelism
+    qn = queries.groupBy(*keys).agg(F.count("*").alias("nq_rows"))
+    bn = bank.groupBy(*keys).agg(F.count("*").alias("nb_rows"))
+    totals = qn.agg(F.sum("nq_rows").alias("t")).first()["t"] or 0
+    key_fields = [queries.schema[c] for c in keys]
+    schema = T.StructType(
+        [T.StructField(f.name, f.dataType, True) for f in key_fields]
+        + [T.StructField("qid", T.LongType()), T.StructField("pos", T.LongType()), T.StructField("score", T.DoubleType())]
+    )
+    if totals == 0:
+        return spark.createDataFrame([], schema)
+    sizes = qn.join(bn, keys, "inner") if keys else qn.crossJoin(bn)
+    nb = F.greatest(F.lit(1), F.ceil(F.col("nb_rows") / F.lit(max_bank_rows)))
+    share = F.ceil(F.lit(float(target)) * F.col("nq_rows") / F.lit(float(totals)) / nb)
+    nq = F.least(F.col("nq_rows"), F.greatest(F.lit(1), F.ceil(F.col("nq_rows") / F.lit(max_query_rows)), share))
+    sizes = sizes.select(*keys, nq.cast("int").alias("nqb"), nb.cast("int").alias("nbb"))
+
+    def join(df: DataFrame) -> DataFrame:
+        return df.crossJoin(F.broadcast(sizes)) if not keys else df.join(sizes, keys, "inner")
+
+    qx = join(queries).select(
+        *keys,
+        F.pmod(F.xxhash64("qid"), F.col("nqb")).cast("int").alias("qblock"),
+        F.explode(F.sequence(F.lit(0), F.col("nbb") - 1)).alias("bblock"),
+        "qid",
+        "vec",
+    )
+    bx = join(bank).select(
+        *keys,
+        F.explode(F.sequence(F.lit(0), F.col("nqb") - 1)).alias("qblock"),
+        F.pmod(F.xxhash64("pos"), F.col("nbb")).cast("int").alias("bblock"),
+        "pos",
+        "vec",
+    )
+    cells = (
+        qx.groupBy(*keys, "qblock", "bblock")
+        .cogroup(bx.groupBy(*keys, "qblock", "bblock"))
+        .applyInPandas(_dense_cell(k, keys), schema)
+    )
+    w = Window.partitionBy(*keys, "qid").orderBy(*order_key())
+    return cells.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
