@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from answerbank import oracle as O
 from answerbank.functions import rouge as R
 from answerbank.functions import text as X
+from answerbank.operators import blend as B
 from answerbank.operators import fusion as FU
 from answerbank.operators import profile as P
 from answerbank.plans.blocks import dense_topk
@@ -538,5 +539,264 @@ def ensemble_vote_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("qid", "matched_id", r6(F.col("similarity")).alias("similarity"), "prediction")
 
 
+# --- J17-J22, P6, P7, P11-P13, S7/S8: blends, judge, cleaning, output --------------------
+
+def _runs(spark: SparkSession, sf_dir: str):
+    """Source rows (query split) and two prediction runs derived from them by retrieval."""
+    qa = T.conv_qa(spark, sf_dir)
+    bank, q = T.bank_and_queries(qa)
+    source = q.select(F.col("qid").alias("ID"), "question", "answer", "subset", "pos")
+    base = sim.top1_predict(bank, q, BASELINE).select(F.col("qid").alias("ID"), "prediction", "similarity")
+    alt = sim.top1_predict(bank, q, SCRIPT).select(F.col("qid").alias("ID"), "prediction", "similarity")
+    return source, base, alt
+
+
+_RUNS_SQL = f"""rb as ({_top1_sql(T.CONV_QA_SQL, BASELINE)}), ra as ({_top1_sql(T.CONV_QA_SQL, SCRIPT)}),
+src as (select id as "ID", question, answer, subset, pos from ({T.CONV_QA_SQL}) where split = 'query'),
+base as (select qid as "ID", prediction, similarity from rb), alt as (select qid as "ID", prediction, similarity from ra)"""
+
+
+@register(
+    "coverage_join",
+    f"""with {_RUNS_SQL}
+select s."ID", b.prediction, coalesce(s.answer, '') as reference from src s left join base b on b."ID" = s."ID" """,
+)
+def coverage_join_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, base, _ = _runs(spark, sf_dir)
+    j = B.coverage_join(source.select("ID", "answer"), base.select("ID", "prediction"))
+    return j.select("ID", "prediction", X.fill_empty("answer").alias("reference"))
+
+
+@register(
+    "subset_override",
+    f"""with {_RUNS_SQL}
+select s."ID", case when s.subset in ('s1', 's3') then a.prediction else b.prediction end as prediction
+from src s left join base b on b."ID" = s."ID" left join alt a on a."ID" = s."ID" """,
+)
+def subset_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, base, alt = _runs(spark, sf_dir)
+    return B.override_by_subset(source, base, alt, ["s1", "s3"])
+
+
+@register(
+    "id_override",
+    f"""with {_RUNS_SQL},
+rep as (select a."ID", a.prediction from alt a join base b on a."ID" = b."ID" where round(a.similarity, 9) > round(b.similarity, 9))
+select s."ID", coalesce(r.prediction, b.prediction) as prediction
+from src s left join base b on b."ID" = s."ID" left join rep r on r."ID" = s."ID" """,
+)
+def id_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replace the baseline where the second run is more confident (a replacement table by ID)."""
+    source, base, alt = _runs(spark, sf_dir)
+    rep = alt.alias("a").join(base.alias("b"), "ID").where(
+        F.round(F.col("a.similarity"), 9) > F.round(F.col("b.similarity"), 9)
+    ).select("ID", F.col("a.prediction").alias("prediction"))
+    return B.override_by_id(source, base, rep)
+
+
+_JC, _JF, _JR = O.parse_decision("raw")
+
+
+@register(
+    "judge_parse",
+    f"""with j as ({T.JUDGE_RAW_SQL})
+select id, {_JC} as choice, round({_JF}, 6) as confidence, {_JR} as reason from j""",
+)
+def judge_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P13 over a table of judge replies (JSON after a think block, free text, none, other JSON)."""
+    d = T.judge_raw(spark, sf_dir).select("id", X.parse_decision("raw").alias("d"))
+    return d.select("id", "d.choice", r6(F.col("d.confidence")).alias("confidence"), "d.reason")
+
+
+def _qa_replies(source: DataFrame) -> DataFrame:
+    """Judge replies for QA rows, four reply shapes keyed by ID (the model's output table)."""
+    i = F.col("ID")
+    raw = (
+        F.when(i % 4 == 0, F.concat(F.lit('{"choice": "B", "confidence": 0.'), F.lpad((i % 97).cast("string"), 2, "0"),
+                                     F.lit(', "reason": "more direct"}')))
+        .when(i % 4 == 1, F.lit("Answer B is better, confidence: 0.9"))
+        .when(i % 4 == 2, F.lit("A"))
+        .otherwise(F.lit('<think>compare</think>{"choice": "b", "confidence": 1.5}'))
+    )
+    return source.select("ID", raw.alias("raw"))
+
+
+_REPLIES_SQL = """replies as (select "ID", case "ID" % 4
+  when 0 then '{"choice": "B", "confidence": 0.' || lpad(cast("ID" % 97 as varchar), 2, '0') || ', "reason": "more direct"}'
+  when 1 then 'Answer B is better, confidence: 0.9' when 2 then 'A'
+  else '<think>compare</think>{"choice": "b", "confidence": 1.5}' end as raw from src)"""
+_RC, _RF, _RR = O.parse_decision("raw")
+GATE_SUBSETS = ("s0", "s2")
+GATE_LIMIT = 5
+
+
+@register(
+    "judge_gate",
+    f"""with {_RUNS_SQL}, {_REPLIES_SQL},
+dec as (select "ID", {_RC} as choice, {_RF} as confidence, {_RR} as reason from replies),
+j as (select s."ID", s.subset, s.pos, {O.strip('b.prediction')} as bp, {O.strip('a.prediction')} as cp
+      from src s left join base b on b."ID" = s."ID" left join alt a on a."ID" = s."ID"),
+e as (select *, subset in {GATE_SUBSETS} and cp <> '' and cp <> bp as elig from j),
+n as (select *, case when elig then row_number() over (partition by subset, elig order by pos) end as n from e),
+g as (select n.*, d.choice, d.confidence as cf, d.reason as rs, elig and n <= {GATE_LIMIT} as judged
+      from n left join dec d on d."ID" = n."ID")
+select "ID", subset,
+  case when judged and choice = 'B' and cf >= 0.68 then cp else bp end as prediction,
+  coalesce(judged and choice = 'B' and cf >= 0.68, false) as used_candidate,
+  round(case when judged then cf else 0.0 end, 6) as confidence,
+  case when judged then rs when elig then 'limit_reached' else 'not_target_subset' end as decision_reason
+from g""",
+)
+def judge_gate_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J20 (+P13 on the replies, A9 via ``used_candidate``): base vs second run, judged on two subsets."""
+    source, base, alt = _runs(spark, sf_dir)
+    replies = _qa_replies(source)
+    dec = replies.select("ID", X.parse_decision("raw").alias("d")).select("ID", "d.choice", "d.confidence", "d.reason")
+    g = B.judge_gate(source, base, alt, dec, list(GATE_SUBSETS), limit_per_subset=GATE_LIMIT)
+    return g.select("ID", "subset", "prediction", "used_candidate", r6(F.col("confidence")).alias("confidence"),
+                    "decision_reason")
+
+
+def _raw_generations(source: DataFrame) -> DataFrame:
+    i = F.col("ID")
+    raw = (
+        F.when(i % 3 == 0, F.concat(F.lit("Here is the rewritten answer:\n\n"), F.col("answer")))
+        .when(i % 3 == 1, F.concat(F.col("answer"), F.lit("\n\nI removed repeated sentences.")))
+        .otherwise(F.lit(""))
+    )
+    return source.select("ID", raw.alias("raw"))
+
+
+_GEN_SQL = f"""gen as (select "ID", {O.clean_generation("raw")} as prediction from (select "ID", case "ID" % 3
+  when 0 then 'Here is the rewritten answer:' || chr(10) || chr(10) || answer
+  when 1 then answer || chr(10) || chr(10) || 'I removed repeated sentences.' else '' end as raw from src))"""
+
+
+@register(
+    "generation_override",
+    f"""with {_RUNS_SQL}, {_GEN_SQL},
+j as (select s."ID", s.subset, s.pos, {O.strip('b.prediction')} as bp, {O.strip('g.prediction')} as gp
+      from src s left join base b on b."ID" = s."ID" left join gen g on g."ID" = s."ID"),
+t as (select *, subset = 's1' and row_number() over (partition by subset = 's1', subset order by pos) <= 4 as target from j)
+select "ID", case when target and coalesce(gp, '') <> '' then gp else bp end as prediction from t""",
+)
+def generation_override_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J21 + P11: cleaned generated answers for the first 4 rows of subset s1, base elsewhere."""
+    source, base, _ = _runs(spark, sf_dir)
+    gen = _raw_generations(source).select("ID", X.clean_generation("raw").alias("prediction"))
+    return B.generation_override(source, base, gen, ["s1"], limit_per_subset=4)
+
+
+@register(
+    "text_cleaning",
+    f"""with c as (select conv_id, turn, text, case turn % 3
+   when 0 then 'Here is the rewritten answer:' || chr(10) || chr(10) || text
+   when 1 then 'Rewritten answer draft' || chr(10) || chr(10) || text || chr(10) || chr(10) || 'I removed repeated sentences.'
+   else text end as graw,
+ case turn % 2 when 0 then '"Translation: ' || text || '"' else 'Answer: ' || text end as traw from conversations)
+select conv_id, turn, {O.clean_generation('graw')} as generation, {O.clean_translation('traw')} as translation from c""",
+)
+def text_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P11/P12 over every conversation turn wrapped in model-reply shapes."""
+    c = T.table(spark, sf_dir, "conversations")
+    t = F.col("text")
+    graw = (
+        F.when(F.col("turn") % 3 == 0, F.concat(F.lit("Here is the rewritten answer:\n\n"), t))
+        .when(F.col("turn") % 3 == 1, F.concat(F.lit("Rewritten answer draft\n\n"), t, F.lit("\n\nI removed repeated sentences.")))
+        .otherwise(t)
+    )
+    traw = F.when(F.col("turn") % 2 == 0, F.concat(F.lit('"Translation: '), t, F.lit('"'))).otherwise(
+        F.concat(F.lit("Answer: "), t)
+    )
+    return c.select("conv_id", "turn", X.clean_generation(graw).alias("generation"), X.clean_translation(traw).alias("translation"))
+
+
+RULES = [
+    # subset, mode, cap, input_cap, prediction_cap, feature, op, threshold
+    ("s0", "input_pred", 40, None, None, "pred_words", ">", 30.0),
+    ("s1", "pred_input", None, 10, 20, None, None, None),
+    ("s2", "input_only", None, None, None, "input_words", "<=", 25.0),
+]
+RULES_SCHEMA = ("subset string, mode string, cap int, input_cap int, prediction_cap int, "
+                "feature string, op string, threshold double")
+
+
+def _rules_sql() -> str:
+    rows = []
+    for sub, mode, cap, ic, pc, feat, op, th in RULES:
+        def v(x):
+            return "null" if x is None else (f"'{x}'" if isinstance(x, str) else str(x))
+        rows.append(f"({v(sub)}, {v(mode)}, {v(cap)}, {v(ic)}, {v(pc)}, {v(feat)}, {v(op)}, {v(th)})")
+    return ("rules(subset, mode, cap, input_cap, prediction_cap, feature, op, threshold) as (values "
+            + ", ".join(rows) + ")")
+
+
+def _rule_expr() -> str:
+    q, p = "s.question", "b.prediction"
+    iw, pw = O.word_count(q), O.word_count(p)
+    value = f"(case r.feature when 'input_words' then {iw} when 'pred_words' then {pw} end)"
+    cond = (f"(case r.op when '<=' then {value} <= r.threshold when '>=' then {value} >= r.threshold "
+            f"when '<' then {value} < r.threshold when '>' then {value} > r.threshold end)")
+    applies = f"(r.subset is not null and (r.feature is null or coalesce({cond}, false)))"
+    split = "(r.input_cap is not null or r.prediction_cap is not null)"
+
+    def comb(a: str, b_: str) -> str:
+        sa, sb = O.strip(a), O.strip(b_)
+        return (f"(case r.mode when 'input_pred' then {O.strip(f'({sa} || chr(32) || {sb})')} "
+                f"when 'pred_input' then {O.strip(f'({sb} || chr(32) || {sa})')} when 'input_only' then {sa} end)")
+
+    def tw(x: str, cap: str) -> str:
+        return f"(case when {cap} is null then {O.strip(x)} else array_to_string(list_slice({O.words(x)}, 1, {cap}), ' ') end)"
+
+    whole = tw(comb(q, p), "r.cap")
+    parts = comb(tw(q, "r.input_cap"), tw(p, "r.prediction_cap"))
+    return f"(case when {applies} and {split} then {parts} when {applies} then {whole} else {O.strip(p)} end)"
+
+
+@register(
+    "hybrid_rules",
+    f"""with {_RUNS_SQL}, {_rules_sql()}
+select s."ID", {_rule_expr()} as prediction from src s left join base b on b."ID" = s."ID" left join rules r on r.subset = s.subset""",
+)
+def hybrid_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conditional per-subset question+prediction hybrids over the base run."""
+    source, base, _ = _runs(spark, sf_dir)
+    rules = spark.createDataFrame(RULES, RULES_SCHEMA)
+    return B.apply_rules(source, base, rules)
+
+
+CAPS = [("s0", 20), ("s1", 50)]
+
+
+@register(
+    "subset_trim",
+    f"""with {_RUNS_SQL}, caps(subset, max_words) as (values {', '.join(f"('{a}', {b})" for a, b in CAPS)})
+select s."ID", case when c.max_words is null or len({O.words('b.prediction')}) <= c.max_words then {O.strip('b.prediction')}
+  else array_to_string(list_slice({O.words('b.prediction')}, 1, c.max_words), ' ') end as prediction
+from src s left join base b on b."ID" = s."ID" left join caps c on c.subset = s.subset""",
+)
+def subset_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-subset word caps on the base run (P4a keeps spacing of texts that fit)."""
+    source, base, _ = _runs(spark, sf_dir)
+    caps = spark.createDataFrame(CAPS, "subset string, max_words int")
+    return B.cap_by_subset(source, base, caps)
+
+
+@register(
+    "submission",
+    f"""with {_RUNS_SQL}, {_rules_sql()},
+h as (select s."ID", {_rule_expr()} as prediction from src s left join base b on b."ID" = s."ID" left join rules r on r.subset = s.subset)
+select s."ID", coalesce(h.prediction, '') as "TargetRLF1", coalesce(h.prediction, '') as "TargetR1F1",
+       coalesce(h.prediction, '') as "TargetLLM" from src s left join h on h."ID" = s."ID" """,
+)
+def submission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The validated four-column output built from the hybrid-rule predictions."""
+    source, base, _ = _runs(spark, sf_dir)
+    rules = spark.createDataFrame(RULES, RULES_SCHEMA)
+    out = B.build_submission(source, B.apply_rules(source, base, rules))
+    B.validate_submission(out)
+    return out
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval_score(spark, sf_dir)

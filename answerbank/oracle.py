@@ -210,3 +210,47 @@ def lower_words(expr: str) -> str:
 def lower_chars(expr: str) -> str:
     low = f"lower(coalesce({expr}, ''))"
     return f"(case when {low} = '' then []::varchar[] else list_distinct(string_split({low}, '')) end)"
+
+
+def parse_decision(raw: str) -> tuple[str, str, str]:
+    """(choice, confidence, reason) SQL expressions for a reply column."""
+    cleaned = strip(f"regexp_replace(coalesce({raw}, ''), '(?is)<think>.*?</think>', '', 'g')")
+    obj = f"regexp_extract({cleaned}, '(?s)(\\{{.*?\\}})', 1)"
+    valid = f"({obj} <> '' and coalesce(json_valid({obj}), false))"
+
+    def jx(path: str) -> str:
+        return f"(case when {valid} then json_extract_string({obj}, '{path}') end)"
+
+    conf_raw = jx("$.confidence")
+    j_conf = f"try_cast({conf_raw} as double)"
+    ok = f"({valid} and ({conf_raw} is null or {j_conf} is not null))"
+    j_choice = f"coalesce(upper(trim({jx('$.choice')})), 'A')"
+    f_choice = f"regexp_extract(upper({cleaned}), '\\b([AB])\\b', 1)"
+    f_conf = f"regexp_extract({cleaned}, '(?i)(?:confidence|score)\\D+([01](?:\\.\\d+)?)', 1)"
+    choice = f"(case when {ok} then {j_choice} else (case when {f_choice} = '' then 'A' else {f_choice} end) end)"
+    conf = f"(case when {ok} then coalesce({j_conf}, 0.0) else (case when {f_conf} = '' then 0.0 else cast({f_conf} as double) end) end)"
+    reason = f"(case when {ok} then coalesce({jx('$.reason')}, 'json') else 'fallback_parse' end)"
+    return (
+        f"(case when {choice} in ('A', 'B') then {choice} else 'A' end)",
+        f"greatest(0.0, least(1.0, {conf}))",
+        f"substr({reason}, 1, 160)",
+    )
+
+
+def clean_generation(raw: str) -> str:
+    t = strip(raw)
+    for pre in ["Here is[^\\n]*:", "Here''s[^\\n]*:", "Final answer:"]:
+        t = f"regexp_replace({t}, '(?i)^{pre}{WS}*', '')"
+    parts = f"list_filter(list_transform(regexp_split_to_array({t}, '\\n{WS}*\\n'), lambda x: {strip('x')}), lambda x: x <> '')"
+    t2 = (
+        f"(case when len({parts}) > 1 and regexp_matches(({parts})[1], '(?i)rewritten|answer|candidate') "
+        f"then array_to_string(list_slice({parts}, 2, len({parts})), chr(10) || chr(10)) else {t} end)"
+    )
+    return strip(f"regexp_replace({t2}, '(?is)\\n*I removed\\b.*$', '')")
+
+
+def clean_translation(raw: str) -> str:
+    t = strip(f"regexp_replace(regexp_replace({strip(raw)}, '^\"+|\"+$', '', 'g'), '^''+|''+$', '', 'g')")
+    for marker in ["Translation:", "Answer:", "Here is the translation:"]:
+        t = f"(case when starts_with(lower({t}), '{marker.lower()}') then {strip(f'substr({t}, {len(marker) + 1})')} else {t} end)"
+    return t
