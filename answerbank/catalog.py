@@ -16,6 +16,7 @@ from answerbank.functions import text as X
 from answerbank.operators import blend as B
 from answerbank.operators import fusion as FU
 from answerbank.operators import profile as P
+from answerbank.operators import sweep as SW
 from answerbank.plans.blocks import dense_topk
 from answerbank.operators import similarity as sim
 from answerbank.operators.tfidf import TfidfSettings
@@ -798,5 +799,154 @@ def submission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+# --- K1-K3, A8, A10, W9: sweeps ---------------------------------------------------------
+
+def _sv(x) -> str:
+    return "null::integer" if x is None else (f"'{x}'" if isinstance(x, str) else str(x))
+
+
+def _tw_col(x: str, cap: str) -> str:
+    return f"(case when {cap} is null then {O.strip(x)} else array_to_string(list_slice({O.words(x)}, 1, {cap}), ' ') end)"
+
+
+def _rule_sweep_sql() -> str:
+    specs = ", ".join(f"({i}, {_sv(m)}, {_sv(c)}, {_sv(ic)}, {_sv(pc)})" for i, m, c, ic, pc in SW.rule_specs())
+    conds = ", ".join(f"('{f}', '{op}', {t})" for f, ts in SW.THRESHOLDS.items() for t in ts for op in ("<=", ">"))
+    qt, pt = _tw_col("r.q", "sp.input_cap"), _tw_col("r.p", "sp.prediction_cap")
+    comb = (f"(case sp.mode when 'input_only' then {qt} when 'input_pred' then {O.strip(f'({qt} || chr(32) || {pt})')} "
+            f"when 'pred_input' then {O.strip(f'({pt} || chr(32) || {qt})')} end)")
+    cand = _tw_col(comb, "sp.cap")
+    return f"""with {_RUNS_SQL},
+rows_ as (select s."ID", s.subset, coalesce(s.question, '') as q, coalesce(b.prediction, '') as p, coalesce(s.answer, '') as ref
+          from src s join base b on b."ID" = s."ID"),
+specs(spec_id, mode, cap, input_cap, prediction_cap) as (values {specs}),
+conds(feature, op, t) as (values {conds}),
+bs as (select "ID", subset, {O.word_count('q')} as iw, {O.word_count('p')} as pw, 0.5 * r1 + 0.5 * rl as base
+       from ({O.rouge_select('rows_', 'ref', 'p', '"ID", subset, q, p')})),
+cand as (select r."ID", sp.spec_id, {cand} as cand from rows_ r cross join specs sp),
+texts as (select distinct c."ID", c.cand, r.ref from cand c join rows_ r on r."ID" = c."ID"),
+scored as (select "ID", cand, 0.5 * r1 + 0.5 * rl as score from ({O.rouge_select('texts', 'ref', 'cand', '"ID", cand')})),
+per_row as (select b.subset, c.spec_id, b.iw, b.pw, sc.score - b.base as d
+            from cand c join scored sc on sc."ID" = c."ID" and sc.cand = c.cand join bs b on b."ID" = c."ID"),
+sizes as (select subset, count(*) as n, avg(base) as base_score from bs group by subset),
+allr as (select subset, spec_id, 'all' as condition, null::bigint as n_changed, sum(d) as dsum from per_row group by all),
+cx as (select p.subset, p.spec_id, c.feature || c.op || cast(c.t as varchar) as condition,
+       count(*) filter (where case when c.op = '<=' then (case when c.feature = 'input_words' then p.iw else p.pw end) <= c.t
+                                   else (case when c.feature = 'input_words' then p.iw else p.pw end) > c.t end) as n_changed,
+       coalesce(sum(d) filter (where case when c.op = '<=' then (case when c.feature = 'input_words' then p.iw else p.pw end) <= c.t
+                                   else (case when c.feature = 'input_words' then p.iw else p.pw end) > c.t end), 0) as dsum
+       from per_row p cross join conds c group by all),
+u as (select * from allr union all select * from cx)
+select u.subset, u.spec_id, sp.mode, sp.cap, sp.input_cap, sp.prediction_cap, u.condition,
+       coalesce(u.n_changed, z.n) as n_changed, round(z.base_score, 6) as base_score,
+       round(z.base_score + u.dsum / z.n, 6) as score, round(u.dsum / z.n, 6) as delta
+from u join sizes z on z.subset = u.subset join specs sp on sp.spec_id = u.spec_id
+where u.n_changed is null or (u.n_changed > 0 and u.n_changed < z.n)"""
+
+
+@register("rule_sweep", _rule_sweep_sql())
+def rule_sweep_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3 + A10: 142 question/prediction hybrid specs x 36 length conditions, per subset, on the base run."""
+    source, base, _ = _runs(spark, sf_dir)
+    rows = source.join(base.select("ID", "prediction"), "ID").select(
+        "ID", "subset", "question", "prediction", F.col("answer").alias("reference")
+    )
+    out = SW.rule_sweep(rows)
+    return out.select(
+        "subset", "spec_id", "mode", "cap", "input_cap", "prediction_cap", "condition",
+        F.col("n_changed").cast("long").alias("n_changed"), r6(F.col("base_score")).alias("base_score"),
+        r6(F.col("score")).alias("score"), r6(F.col("delta")).alias("delta"),
+    )
+
+
+def _depth_frames(spark: SparkSession, sf_dir: str):
+    qa = T.conv_qa(spark, sf_dir)
+    bank, q = T.bank_and_queries(qa)
+    vec = T.qa_vectors(spark, sf_dir, qa)
+    top = sim.topk_scores(bank, q, SCRIPT, max(SW.DEPTHS))
+    ranked = FU.with_dense(top, vec, vec).join(
+        q.select("qid", "subset", X.fill_empty("answer").alias("reference")), "qid"
+    ).select("qid", "subset", "pos", "rank", F.col("score").alias("tfidf"), F.col("dense_score").alias("dense"), "reference")
+    answers = bank.select("pos", X.fill_empty("answer").alias("prediction"))
+    return SW.depth_weight_sweep(ranked, answers)
+
+
+def _depth_sql() -> str:
+    grid = ", ".join(f"({i}, {k}, cast({w} as double))" for i, (k, w) in enumerate(
+        [(k, w) for k in SW.DEPTHS for w in SW.WEIGHTS]))
+    return f"""with {_qa_cte(T.CONV_QA_SQL)}, {O.topk_ctes(SCRIPT, 'bank', 'qry', max(SW.DEPTHS), [])}, v as ({_QAV}),
+rk as (select t.qid, q.subset, t.pos, t.rank, t.score as tfidf, list_inner_product(vq.vec, vb.vec) as dense,
+       coalesce(q.answer, '') as reference
+       from top t join qry q on q.id = t.qid join v vq on vq.id = t.qid join v vb on vb.id = t.pos),
+grid(grid, top_k, semantic_weight) as (values {grid}),
+c as (select r.*, g.grid, g.top_k, g.semantic_weight, (1 - g.semantic_weight) * tfidf + g.semantic_weight * dense as blend
+      from rk r join grid g on r.rank <= g.top_k),
+b as (select * from c qualify row_number() over (partition by grid, qid order by round(blend, 9) desc, round(tfidf, 9) desc, pos) = 1),
+j as (select b.*, coalesce(bank.answer, '') as prediction from b join bank on bank.pos = b.pos),
+s as ({O.rouge_select('j', 'reference', 'prediction', 'subset, grid, top_k, semantic_weight, qid')}),
+res as (select subset, grid, top_k, semantic_weight, count(*) as n, avg(r1) as rouge1_f1, avg(rl) as rouge_l_f1,
+        0.5 * avg(r1) + 0.5 * avg(rl) as weighted_without_llm from s group by all)"""
+
+
+@register(
+    "depth_weight_sweep",
+    f"""{_depth_sql()}
+select subset, top_k, semantic_weight, n, round(rouge1_f1, 6) as rouge1_f1, round(rouge_l_f1, 6) as rouge_l_f1,
+       round(weighted_without_llm, 6) as weighted_without_llm from res""",
+)
+def depth_weight_sweep_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2: 4 depths x 11 blend weights per subset over one shared lexical top-30 list."""
+    res = _depth_frames(spark, sf_dir)
+    return res.select(
+        "subset", "top_k", "semantic_weight", "n", r6(F.col("rouge1_f1")).alias("rouge1_f1"),
+        r6(F.col("rouge_l_f1")).alias("rouge_l_f1"), r6(F.col("weighted_without_llm")).alias("weighted_without_llm"),
+    )
+
+
+@register(
+    "depth_weight_best",
+    f"""{_depth_sql()},
+best as (select * from res qualify row_number() over (partition by subset order by round(weighted_without_llm, 9) desc, grid) = 1)
+select subset, top_k, semantic_weight, n, round(weighted_without_llm, 6) as weighted_without_llm,
+       round(sum(weighted_without_llm * n) over () / sum(n) over (), 6) as weighted_subset_best from best""",
+)
+def depth_weight_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W9 + A8: best grid point per subset (earlier point wins ties) and the row-weighted mean of the bests."""
+    best = SW.best_per_subset(_depth_frames(spark, sf_dir))
+    a8 = SW.weighted_mean_of_bests(best)
+    return best.crossJoin(a8).select(
+        "subset", "top_k", "semantic_weight", "n", r6(F.col("weighted_without_llm")).alias("weighted_without_llm"),
+        r6(F.col("weighted_subset_best")).alias("weighted_subset_best"),
+    )
+
+
+GRID_SUBSET = [s for s in SW.retrieval_grid_settings()
+               if s.analyzer == "char" and (s.ngram_min, s.ngram_max) == (2, 4) and s.max_features == 100000
+               and s.min_df in (1, 2) and not s.binary and s.use_idf]
+
+
+def _grid_sql() -> str:
+    parts, ctes = [], []
+    for i, s in enumerate(GRID_SUBSET):
+        ctes.append(O.topk_ctes(s, "bank", "qry", 1, [], f"k{i}_"))
+        ctes.append(f"""k{i}_j as (select coalesce(q.answer, '') as reference, coalesce(b.answer, '') as prediction
+   from qry q left join k{i}_top t on t.qid = q.id left join bank b on b.pos = t.pos)""")
+        ctes.append(f"k{i}_s as ({O.rouge_select(f'k{i}_j', 'reference', 'prediction', '1 as one')})")
+        parts.append(f"""select {i} as setting, '{s.analyzer}' as analyzer, {s.ngram_min} as ngram_min, {s.ngram_max} as ngram_max,
+  {s.min_df} as min_df, {str(s.sublinear_tf).lower()} as sublinear_tf, {str(s.binary).lower()} as binary,
+  {str(s.use_idf).lower()} as use_idf, round(coalesce(avg(r1), 0), 6) as rouge1_f1, round(coalesce(avg(rl), 0), 6) as rouge_l_f1,
+  round(0.5 * coalesce(avg(r1), 0) + 0.5 * coalesce(avg(rl), 0), 6) as weighted_without_llm from k{i}_s""")
+    return f"with {_qa_cte(T.CONV_QA_SQL)}, {', '.join(ctes)} " + " union all ".join(parts)
+
+
+@register("retrieval_grid", _grid_sql())
+def retrieval_grid_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1 on a 4-point slice of the 288-setting grid (char 2-4, min_df 1/2, sublinear off/on)."""
+    bank, q = T.bank_and_queries(T.conv_qa(spark, sf_dir))
+    g = SW.retrieval_grid(spark, bank, q, GRID_SUBSET)
+    return g.select(*[c for c in g.columns if c not in ("rouge1_f1", "rouge_l_f1", "weighted_without_llm")],
+                    *[r6(F.col(c)).alias(c) for c in ("rouge1_f1", "rouge_l_f1", "weighted_without_llm")])
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval_score(spark, sf_dir)
