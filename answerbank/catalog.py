@@ -14,7 +14,9 @@ from answerbank import oracle as O
 from answerbank.functions import rouge as R
 from answerbank.functions import text as X
 from answerbank.operators import blend as B
+from answerbank.operators import compare as CMP
 from answerbank.operators import fusion as FU
+from answerbank.operators import sample as SM
 from answerbank.operators import profile as P
 from answerbank.operators import sweep as SW
 from answerbank.plans.blocks import dense_topk
@@ -948,5 +950,120 @@ def retrieval_grid_q(spark: SparkSession, sf_dir: str) -> DataFrame:
                     *[r6(F.col(c)).alias(c) for c in ("rouge1_f1", "rouge_l_f1", "weighted_without_llm")])
 
 
+# --- A6, W8, E1/W7/G4: comparisons and history ---------------------------------------------
+
+def _run_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    qa = T.conv_qa(spark, sf_dir)
+    bank, q = T.bank_and_queries(qa)
+    runs = None
+    for name, s in (("base", BASELINE), ("alt", SCRIPT), ("words", WORDS12)):
+        r = sim.top1_predict(bank, q, s).select(F.lit(name).alias("run"), F.col("qid").alias("ID"), "prediction")
+        runs = r if runs is None else runs.unionByName(r)
+    # a partial run (only the even ids) is dropped by the coverage rule
+    partial = sim.top1_predict(bank, q, TfidfSettings(analyzer="char_wb", ngram_min=2, ngram_max=4)).where(
+        F.col("qid") % 2 == 0).select(F.lit("partial").alias("run"), F.col("qid").alias("ID"), "prediction")
+    truth = q.select(F.col("qid").alias("ID"), "subset", X.fill_empty("answer").alias("reference"))
+    return runs.unionByName(partial), truth
+
+
+def _runs_compare_sql() -> str:
+    members = [("base", BASELINE), ("alt", SCRIPT), ("words", WORDS12)]
+    ctes = [O.topk_ctes(s, "bank", "qry", 1, [], f"{n}_") for n, s in members]
+    union = " union all ".join(
+        f"select '{n}' as run, t.qid as \"ID\", coalesce(b.answer, '') as prediction from {n}_top t join bank b on b.pos = t.pos"
+        for n, _ in members)
+    return f"""with {_qa_cte(T.CONV_QA_SQL)}, {', '.join(ctes)},
+runs as ({union}),
+truth as (select id as "ID", subset, coalesce(answer, '') as reference from qry),
+pairs as (select distinct r."ID", r.prediction, t.reference from runs r join truth t on t."ID" = r."ID"),
+ps as ({O.rouge_select('pairs', 'reference', 'prediction', '"ID", prediction')}),
+sc as (select r.run, t.subset, 0.5 * ps.r1 + 0.5 * ps.rl as score from runs r join ps on ps."ID" = r."ID" and ps.prediction = r.prediction
+       join truth t on t."ID" = r."ID"),
+agg as (select run, subset, avg(score) as score from sc group by run, subset
+        union all select run, 'ALL' as subset, avg(score) from sc group by run),
+cmp as (select a.run, a.subset, a.score, a.score - b.score as delta from agg a left join agg b on b.subset = a.subset and b.run = 'base')"""
+
+
+@register(
+    "run_comparison",
+    f"""{_runs_compare_sql()}
+select run, subset, round(score, 6) as score, round(delta, 6) as delta from cmp""",
+)
+def run_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A6 (+S4/U3 coverage): three retrieval runs and one incomplete run against the references."""
+    runs, truth = _run_table(spark, sf_dir)
+    c = CMP.run_comparison(runs, truth, baseline="base")
+    return c.select("run", "subset", r6(F.col("score")).alias("score"), r6(F.col("delta")).alias("delta"))
+
+
+@register(
+    "top_runs",
+    f"""{_runs_compare_sql()}
+select subset, run, rank, round(score, 6) as score from
+ (select *, row_number() over (partition by subset order by round(score, 9) desc, run) as rank from cmp) where rank <= 2""",
+)
+def top_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best runs per subset (top 2 of the compared runs)."""
+    runs, truth = _run_table(spark, sf_dir)
+    c = CMP.top_runs_per_subset(CMP.run_comparison(runs, truth, baseline="base"), 2)
+    return c.select("subset", "run", "rank", r6(F.col("score")).alias("score"))
+
+
+@register(
+    "history_signal",
+    f"""with h as ({T.HISTORY_SQL}), s as (select * from h where score is not null),
+r as (select series, count(*) as recent_n, max(score) as mx, min(score) as mn from
+      (select *, row_number() over (partition by series order by seq desc) as rk from s) where rk <= 3 group by series),
+b as (select series, max(score) as best_score, arg_max(id, score * 1e9 - seq) as best_id0, count(*) as scored_rows from s group by series),
+bb as (select s.series, min_by(s.id, s.seq) as best_id from s join b on b.series = s.series and s.score = b.best_score group by s.series)
+select b.series, b.scored_rows, bb.best_id, round(b.best_score, 6) as best_score,
+  (r.recent_n >= 3 and r.mx - r.mn < 0.005) as plateaued,
+  case when r.recent_n >= 3 and r.mx - r.mn < 0.005 then 'plateau' when b.best_score > 0.55 then 'lower_learning_rate'
+       else 'more_epochs' end as branch
+from b join r on r.series = b.series join bb on bb.series = b.series""",
+)
+def history_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E1 + W7 + G4: next-step signal per score history (one series per user of ``events``)."""
+    out = CMP.next_step_signal(T.history(spark, sf_dir))
+    return out.select("series", "scored_rows", "best_id", r6(F.col("best_score")).alias("best_score"), "plateaued", "branch")
+
+
+# --- W3-W5: row selection ----------------------------------------------------------------------
+
+@register(
+    "first_rows_per_group",
+    """select doc_id, lang, source from
+ (select *, row_number() over (partition by lang order by doc_id) as r from documents) where r <= 3""",
+)
+def first_rows_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First 3 documents of every language in source order."""
+    d = T.table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    return SM.first_n_per_group(d, "lang", 3, order_col="doc_id")
+
+
+@register(
+    "seeded_sample",
+    """select doc_id, lang from documents where lang in ('de', 'es')
+order by md5('42:' || cast(doc_id as varchar)) limit 30""",
+)
+def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W4 + P14: subset filter, then a seeded sample of 30 rows (hash order, reproducible)."""
+    d = T.table(spark, sf_dir, "documents").where(F.col("lang").isin("de", "es")).select("doc_id", "lang")
+    return SM.seeded_sample(d, 30, 42, id_col="doc_id")
+
+
+@register(
+    "stratified_cap",
+    """with h as (select doc_id, lang, md5('7:' || cast(doc_id as varchar)) as h from documents),
+g as (select count(distinct lang) as k from documents),
+p as (select h.* from h, g qualify row_number() over (partition by lang order by h) <= greatest(1, cast(ceil(20.0 / k) as integer)))
+select doc_id, lang from p order by h limit 20""",
+)
+def stratified_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most 20 documents, spread over languages (ceil(20 / groups) each), seed 7."""
+    d = T.table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return SM.stratified_cap(d, "lang", 20, 7, id_col="doc_id")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval_score(spark, sf_dir)
