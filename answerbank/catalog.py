@@ -16,6 +16,7 @@ from answerbank.functions import text as X
 from answerbank.operators import blend as B
 from answerbank.operators import compare as CMP
 from answerbank.operators import fusion as FU
+from answerbank.operators import learn as L
 from answerbank.operators import sample as SM
 from answerbank.operators import profile as P
 from answerbank.operators import sweep as SW
@@ -1065,5 +1066,143 @@ def stratified_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SM.stratified_cap(d, "lang", 20, 7, id_col="doc_id")
 
 
+# --- L1-L6: learned candidate selection -------------------------------------------------------
+
+QA_CODES = {"s0": 0, "s1": 1, "s2": 2, "s3": 3}
+
+
+def _candidate_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    qa = T.conv_qa(spark, sf_dir)
+    bank, q = T.bank_and_queries(qa)
+    vec = T.qa_vectors(spark, sf_dir, qa)
+    u = FU.tracked_union(bank, q, GENERATORS, 5, 8)
+    return L.candidate_features(u, bank, q, vec, vec, codes=QA_CODES)
+
+
+def _candidate_sql() -> str:
+    qt = f"list_distinct({O.words('q.question')})"
+    bt = f"list_distinct({O.words('b.question')})"
+    at = f"list_distinct({O.words('b.answer')})"
+    codes = " ".join(f"when '{k}' then {v}" for k, v in QA_CODES.items())
+    return f"""with {_union_sql(5, 8)}, v as ({_QAV}),
+f as (select r.qid, b.id as matched_id, r.pos, r.rank, case q.subset {codes} else -1 end as subset_code,
+  1.0 / r.rank as inv_rank, r.max_score as tfidf_score, list_inner_product(vq.vec, vb.vec) as semantic_score,
+  r.generator_count, r.mean_score as mean_tfidf_score, r.best_generator as best_generator_index,
+  {O.word_count('q.question')} as query_words, {O.word_count('b.question')} as bank_question_words,
+  {O.word_count('b.answer')} as answer_words,
+  abs({O.word_count('q.question')} - {O.word_count('b.question')}) as question_word_delta,
+  {O.word_count('b.answer')} / greatest({O.word_count('q.question')}, 1) as answer_to_query_ratio,
+  {O.overlap(qt, bt)} as question_token_overlap, {O.jaccard(qt, bt)} as question_token_jaccard,
+  {O.overlap(qt, at)} as answer_query_overlap, {O.jaccard(qt, at)} as answer_query_jaccard,
+  coalesce(q.answer, '') as reference, coalesce(b.answer, '') as prediction
+  from r join qry q on q.id = r.qid join bank b on b.pos = r.pos join v vq on vq.id = r.qid join v vb on vb.id = r.pos),
+t as ({O.rouge_select('(select distinct reference, prediction from f)', 'reference', 'prediction', 'reference, prediction')})"""
+
+
+_CF_COLS = [c for c in L.CANDIDATE_FEATURES]
+_CF_INT = {"subset_code", "generator_count", "best_generator_index", "query_words", "bank_question_words",
+           "answer_words", "question_word_delta"}
+
+
+@register(
+    "candidate_features",
+    f"""{_candidate_sql()}
+select f.qid, f.matched_id, f.rank,
+  {', '.join((f'cast(f.{c} as bigint) as {c}' if c in _CF_INT else f'round(f.{c}, 5) as {c}') for c in _CF_COLS)},
+       round(0.5 * t.r1 + 0.5 * t.rl, 6) as target
+from f join t on t.reference = f.reference and t.prediction = f.prediction""",
+)
+def candidate_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L1: 16 features + R4 target per (query, candidate) over the 3-generator union with dense scores."""
+    f = _candidate_frame(spark, sf_dir)
+    return f.select("qid", "matched_id", "rank",
+                    *[(F.col(c).cast("long") if c in _CF_INT else F.round(F.col(c).cast("double"), 5)).alias(c)
+                      for c in _CF_COLS],
+                    r6(F.col("target")).alias("target"))
+
+
+@register("learned_rerank")
+def learned_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L4 (+W1): grouped 3-fold out-of-fold GBT scores over candidate features, best candidate per query."""
+    f = _candidate_frame(spark, sf_dir)
+    best = L.cross_validated_select(
+        f, id_col="qid", features=L.CANDIDATE_FEATURES, folds=3, seed=42,
+        order=[F.col("model_score").desc(), F.col("semantic_score").desc(), F.col("tfidf_score").desc(), F.col("pos")],
+    )
+    return best.select("qid", "matched_id", "prediction", r6(F.col("model_score")).alias("model_score"))
+
+
+def _selector_runs(spark: SparkSession, sf_dir: str):
+    source, base, alt = _runs(spark, sf_dir)
+    runs = base.select("ID", F.lit("base").alias("candidate"), "prediction").unionByName(
+        alt.select("ID", F.lit("alt").alias("candidate"), "prediction")
+    ).unionByName(L.synthetic_candidates(source, base.select("ID", "prediction")))
+    return source, runs
+
+
+def _selector_sql() -> str:
+    parts = ["select \"ID\", 'base' as candidate, prediction from base",
+             "select \"ID\", 'alt' as candidate, prediction from alt"]
+    for cap in (40, 60, 80, 120):
+        parts.append(f"select \"ID\", 'input_only_{cap}' as candidate, {O.trim_words('question', cap)} as prediction from src")
+    for ic, pc in ((80, 40), (80, 60), (120, 80), (None, 80)):
+        q = O.trim_words("s.question", ic)
+        pp = O.trim_words("b.prediction", pc)
+        parts.append(f"select s.\"ID\", 'input_pred_{ic if ic is not None else 'None'}_{pc}' as candidate, "
+                     f"{O.strip(f'({q} || chr(32) || {pp})')} as prediction from src s join base b on b.\"ID\" = s.\"ID\"")
+    return f"""with {_RUNS_SQL}, runs as ({' union all '.join(parts)}),
+f as (select r."ID", coalesce(s.subset, '') as subset, r.candidate, coalesce(r.prediction, '') as prediction,
+  {O.word_count('s.question')} as question_words, length(coalesce(s.question, '')) as question_chars,
+  {O.word_count('r.prediction')} as prediction_words, length(coalesce(r.prediction, '')) as prediction_chars,
+  {O.jaccard(O.lower_words('s.question'), O.lower_words('r.prediction'))} as word_jaccard,
+  {O.jaccard(O.lower_chars('s.question'), O.lower_chars('r.prediction'))} as char_jaccard,
+  cast(starts_with(coalesce(r.prediction, ''), coalesce(s.question, '')) as int) as starts_with_question,
+  coalesce(s.answer, '') as reference
+  from runs r join src s on s."ID" = r."ID"),
+t as ({O.rouge_select('(select distinct reference, prediction from f)', 'reference', 'prediction', 'reference, prediction')})"""
+
+
+@register(
+    "selector_features",
+    f"""{_selector_sql()}
+select f."ID", f.subset, f.candidate, question_words, question_chars, prediction_words, prediction_chars,
+  round(prediction_words / greatest(question_words, 1), 6) as pred_to_question_words,
+  round(word_jaccard, 6) as word_jaccard, round(char_jaccard, 6) as char_jaccard, starts_with_question,
+  round(0.5 * t.r1 + 0.5 * t.rl, 6) as target
+from f join t on t.reference = f.reference and t.prediction = f.prediction""",
+)
+def selector_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L2 + L3: long table over two saved runs and eight synthetic question/base hybrids."""
+    source, runs = _selector_runs(spark, sf_dir)
+    f = L.selector_features(source, runs)
+    return f.select(
+        "ID", "subset", "candidate", "question_words", "question_chars", "prediction_words", "prediction_chars",
+        r6(F.col("pred_to_question_words")).alias("pred_to_question_words"), r6(F.col("word_jaccard")).alias("word_jaccard"),
+        r6(F.col("char_jaccard")).alias("char_jaccard"), "starts_with_question", r6(F.col("target")).alias("target"),
+    )
+
+
+def _selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, runs = _selector_runs(spark, sf_dir)
+    f = L.selector_features(source, runs)
+    return L.cross_validated_select(
+        f, id_col="ID", features=L.SELECTOR_NUMERIC, categorical=["subset", "candidate"], folds=3, seed=42,
+        stratify_col="subset", order=[F.col("model_score").desc(), F.col("candidate")],
+    )
+
+
+@register("learned_selector")
+def learned_selector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L5 (+W2): subset-stratified 3-fold GBT with one-hot subset/candidate, best candidate per ID."""
+    return _selected(spark, sf_dir).select("ID", "subset", "candidate", "prediction",
+                                           r6(F.col("model_score")).alias("selector_score"))
+
+
+@register("selection_report")
+def selection_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each candidate was selected per subset."""
+    return CMP.selection_report(_selected(spark, sf_dir))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval_score(spark, sf_dir)

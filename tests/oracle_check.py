@@ -108,7 +108,12 @@ def main() -> None:
             r = compare(spark, sf_dir, n, con)
         except Exception as exc:  # report and continue
             r = {"name": n, "error": repr(exc)[:800]}
-        ok = r.get("hash_match") or (r.get("oracle") is None and "error" not in r)
+        if "error" in r:
+            ok = False
+        elif "oracle_rows" in r:
+            ok = bool(r["hash_match"] and r["cols_match"] and r["spark_rows"] == r["oracle_rows"])
+        else:
+            ok = True  # rows-only query (no oracle SQL)
         bad += 0 if ok else 1
         print(("OK  " if ok else "BAD ") + repr(r), flush=True)
     print(f"{len(names) - bad}/{len(names)} ok")
