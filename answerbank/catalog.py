@@ -1109,7 +1109,7 @@ _CF_INT = {"subset_code", "generator_count", "best_generator_index", "query_word
     f"""{_candidate_sql()}
 select f.qid, f.matched_id, f.rank,
   {', '.join((f'cast(f.{c} as bigint) as {c}' if c in _CF_INT else f'round(f.{c}, 5) as {c}') for c in _CF_COLS)},
-       round(0.5 * t.r1 + 0.5 * t.rl, 6) as target
+       round(0.5 * t.r1 + 0.5 * t.rl, 5) as target
 from f join t on t.reference = f.reference and t.prediction = f.prediction""",
 )
 def candidate_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -1118,7 +1118,7 @@ def candidate_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("qid", "matched_id", "rank",
                     *[(F.col(c).cast("long") if c in _CF_INT else F.round(F.col(c).cast("double"), 5)).alias(c)
                       for c in _CF_COLS],
-                    r6(F.col("target")).alias("target"))
+                    F.round(F.col("target"), 5).alias("target"))
 
 
 @register("learned_rerank")
