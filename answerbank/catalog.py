@@ -23,6 +23,7 @@ from answerbank.operators import sweep as SW
 from answerbank.plans.blocks import dense_topk
 from answerbank.operators import similarity as sim
 from answerbank.operators.tfidf import TfidfSettings
+from answerbank.sources import files as FS
 from answerbank.sources import tables as T
 
 QUERIES: dict = {}
@@ -1204,5 +1205,62 @@ def selection_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CMP.selection_report(_selected(spark, sf_dir))
 
 
+# --- S1-S4, S9, S10, S12: files ----------------------------------------------------------------
+
+@register(
+    "role_binding",
+    f"""select id as "ID", question, answer, subset from ({T.CONV_QA_SQL})""",
+)
+def role_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table with challenge-style names (ID/input/output) bound to canonical roles."""
+    qa = T.conv_qa(spark, sf_dir).select(
+        F.col("id").alias("ID"), F.col("question").alias("input"), F.col("answer").alias("output"), "subset"
+    )
+    return FS.bind_roles(qa, require_answer=True)
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    from answerbank.session import ensure_checkpoint_dir
+
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@register(
+    "prediction_roundtrip",
+    f"""with {_RUNS_SQL}
+select 'base' as run, cast("ID" as varchar) as "ID", prediction from base
+union all select 'alt' as run, cast("ID" as varchar) as "ID", prediction from alt""",
+)
+def prediction_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S9/S10 then S3/S4: two runs written as CSV (one in submission layout, multi-line quoted text)
+    to the shared folder and scanned back in one glob read; the folder name becomes the run."""
+    source, base, alt = _runs(spark, sf_dir)
+    root = _scratch(spark, "runs")
+    FS.write_table(base.select("ID", "prediction").coalesce(1), f"{root}/base", fmt="csv")
+    sub = B.build_submission(source, alt)
+    B.save_submission(sub.coalesce(1), f"{root}/alt", fmt="csv")
+    return FS.scan_runs(spark, f"{root}/*/*.csv")
+
+
+@register(
+    "vector_cache",
+    f"""with qa as ({T.CONV_QA_SQL}),
+cache as (select id, sha256(case when id % 4 = 0 then coalesce(question, '') || ' (old)' else coalesce(question, '') end)
+          as text_hash from qa where id % 2 = 0)
+select q.id, sha256(coalesce(q.question, '')) as text_hash from qa q
+where not exists (select 1 from cache c where c.id = q.id and c.text_hash = sha256(coalesce(q.question, '')))""",
+)
+def vector_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose vectors must be (re)computed against a content-keyed cache
+    (the cache holds even ids, a quarter of them keyed by an older text)."""
+    qa = T.conv_qa(spark, sf_dir)
+    old = F.when(F.col("id") % 4 == 0, F.concat(X.fill_empty("question"), F.lit(" (old)"))).otherwise(
+        X.fill_empty("question"))
+    cache = qa.where(F.col("id") % 2 == 0).select("id", F.sha2(old, 256).alias("text_hash"))
+    return FS.vectors_to_encode(qa.select("id", F.col("question").alias("text")), cache).select("id", "text_hash")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval_score(spark, sf_dir)
