@@ -1262,5 +1262,62 @@ def vector_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FS.vectors_to_encode(qa.select("id", F.col("question").alias("text")), cache).select("id", "text_hash")
 
 
+# --- P9/P10, A5+A9: request texts and gate metrics ---------------------------------------------
+
+# Template of a judge request (our wording; placeholders are filled per row).
+JUDGE_TEMPLATE = ("Two answers to the same question follow. Reply with JSON keys choice (A or B), "
+                  "confidence (0 to 1) and reason.\n\nQuestion:\n{question}\n\nAnswer A:\n{base}\n\n"
+                  "Answer B:\n{candidate}\n\nJSON:")
+
+
+def _sql_template(template: str, fields: dict[str, str]) -> str:
+    import re
+
+    parts = []
+    for piece in re.split(r"(\{[a-z_]+\})", template):
+        if not piece:
+            continue
+        if piece[1:-1] in fields and piece.startswith("{"):
+            parts.append(f"coalesce(cast({fields[piece[1:-1]]} as varchar), '')")
+        else:
+            parts.append("'" + piece.replace("'", "''").replace("\n", "' || chr(10) || '") + "'")
+    return " || ".join(parts)
+
+
+@register(
+    "judge_requests",
+    f"""with {_RUNS_SQL}
+select s."ID", {_sql_template(JUDGE_TEMPLATE, {'question': 's.question', 'base': O.strip('b.prediction'), 'candidate': O.strip('a.prediction')})}
+  as prompt
+from src s join base b on b."ID" = s."ID" join alt a on a."ID" = s."ID"
+where {O.strip('a.prediction')} <> '' and {O.strip('a.prediction')} <> {O.strip('b.prediction')}""",
+)
+def judge_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P10: the request table for a judge: one prompt per row whose two runs disagree."""
+    source, base, alt = _runs(spark, sf_dir)
+    j = source.join(base.select("ID", X.strip_text("prediction").alias("b")), "ID").join(
+        alt.select("ID", X.strip_text("prediction").alias("a")), "ID")
+    j = j.where((F.col("a") != "") & (F.col("a") != F.col("b")))
+    return j.select("ID", X.render(JUDGE_TEMPLATE, {"question": "question", "base": "b", "candidate": "a"}).alias("prompt"))
+
+
+@register(
+    "gate_metrics",
+    f"""with g as ({ORACLE['judge_gate']}), src as (select id as "ID", answer from ({T.CONV_QA_SQL}) where split = 'query'),
+j as (select g.prediction, coalesce(s.answer, '') as reference, g.used_candidate from g join src s on s."ID" = g."ID"),
+sc as ({O.rouge_select('j', 'reference', 'prediction', 'used_candidate')})
+select round(avg(r1), 6) as rouge1_f1, round(avg(rl), 6) as rouge_l_f1, round(0.5 * avg(r1) + 0.5 * avg(rl), 6)
+  as weighted_without_llm, sum(cast(used_candidate as bigint)) as switched_rows from sc""",
+)
+def gate_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5 + A9: metrics row of the judge-gated predictions, with the number of switched rows."""
+    g = judge_gate_q(spark, sf_dir)
+    refs = T.bank_and_queries(T.conv_qa(spark, sf_dir))[1].select(F.col("qid").alias("ID"), X.fill_empty("answer").alias("reference"))
+    s = g.join(refs, "ID").select("used_candidate", R.rouge("reference", "prediction").alias("r"))
+    a = s.agg(F.avg("r.rouge1").alias("r1"), F.avg("r.rouge_l").alias("rl"), B.switched_rows(s))
+    return a.select(r6(F.col("r1")).alias("rouge1_f1"), r6(F.col("rl")).alias("rouge_l_f1"),
+                    r6(0.5 * F.col("r1") + 0.5 * F.col("rl")).alias("weighted_without_llm"), "switched_rows")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval_score(spark, sf_dir)

@@ -190,3 +190,20 @@ def parse_decision(raw: Column | str, reason_chars: int = 160) -> Column:
         F.greatest(F.lit(0.0), F.least(F.lit(1.0), conf)).alias("confidence"),
         F.substring(reason, 1, reason_chars).alias("reason"),
     )
+
+
+# --- templates (P9, P10) ----------------------------------------------------------------
+
+def render(template: str, fields: dict[str, Column | str]) -> Column:
+    """Fill ``{name}`` placeholders from columns (null -> ''); split once on the driver into one ``concat``."""
+    import re
+
+    parts = []
+    for piece in re.split(r"(\{[a-z_]+\})", template):
+        if not piece:
+            continue
+        if piece.startswith("{") and piece.endswith("}") and piece[1:-1] in fields:
+            parts.append(fill_empty(fields[piece[1:-1]]))
+        else:
+            parts.append(F.lit(piece))
+    return F.concat(*parts) if parts else F.lit("")

@@ -183,3 +183,12 @@ def scoped_topk(
     ).drop("__g")
     outside = attach_answers(topk_scores(bank, q_all, settings, k, strategy=strategy), bank)
     return inside.unionByName(outside.select(*inside.columns))
+
+
+def test_bank(train: DataFrame, val: DataFrame, include_val: bool = True) -> DataFrame:
+    """The bank for unlabelled queries: train rows, then validation rows after them in position order."""
+    if not include_val:
+        return train
+    offset = train.agg(F.coalesce(F.max("pos") + 1, F.lit(0)).alias("__o"))
+    v = val.crossJoin(offset).withColumn("pos", F.col("pos") + F.col("__o")).drop("__o")
+    return train.unionByName(v, allowMissingColumns=True)
