@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass, replace
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,7 +158,8 @@ def fit_transform(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Fit on ``bank`` and vectorise both sides: ``(vocab, bank_postings, query_postings)``."""
     keys = keys or []
-    bank_counts = term_counts(bank, bank_id, text_col, s, keys)
+    # read twice (document frequencies, then weights): keep the exploded counts instead of re-deriving them
+    bank_counts = term_counts(bank, bank_id, text_col, s, keys).persist(StorageLevel.MEMORY_AND_DISK)
     n_docs = bank.groupBy(*keys).agg(F.count("*").alias("n"))
     vocab = fit_vocabulary(bank_counts, n_docs, s, keys)
     bank_post = weigh(bank_counts, vocab, s, keys)
