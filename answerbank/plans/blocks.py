@@ -148,11 +148,20 @@ def _cell_scores(q: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
     return scores
 
 
+def _empty_cell(key_names: list[str]) -> pd.DataFrame:
+    """Typed empty output (a cell where one side has no rows)."""
+    d = {c: pd.Series([], dtype="object") for c in key_names}
+    d["qid"] = pd.Series([], dtype="int64")
+    d["pos"] = pd.Series([], dtype="int64")
+    d["score"] = pd.Series([], dtype="float64")
+    return pd.DataFrame(d)
+
+
 def _topk_cell(k: int, key_names: list[str]):
     def fn(key, q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         cols = [*key_names, "qid", "pos", "score"]
         if q.empty or b.empty:
-            return pd.DataFrame({c: [] for c in cols})
+            return _empty_cell(key_names)
         b = b.sort_values("pos", kind="stable").reset_index(drop=True)
         pos = b["pos"].to_numpy(np.int64)
         qids = q["qid"].to_numpy(np.int64)
@@ -182,6 +191,10 @@ def _topk_cell(k: int, key_names: list[str]):
     return fn
 
 
+def _fresh(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def blocked_topk(
     q_post: DataFrame,
     b_post: DataFrame,
@@ -198,9 +211,11 @@ def blocked_topk(
     no vocabulary term: they score 0 and still take part in ties and padding.
     """
     spark = q_post.sparkSession
-    qp = pack(q_post, keys, "qid")
-    bp = pack(b_post, keys, "pos")
+    # fresh attributes on both sides: queries and bank usually come from one table
+    qp = _fresh(pack(q_post, keys, "qid"))
+    bp = _fresh(pack(b_post, keys, "pos"))
     if bank_rows is not None:
+        bank_rows = _fresh(bank_rows.select(*keys, "pos"))
         empty = (
             bank_rows.select(*keys, "pos")
             .join(bp.select(*keys, "pos"), [*keys, "pos"], "left_anti")
@@ -280,7 +295,7 @@ def _dense_cell(k: int, key_names: list[str]):
     def fn(key, q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         cols = [*key_names, "qid", "pos", "score"]
         if q.empty or b.empty:
-            return pd.DataFrame({c: [] for c in cols})
+            return _empty_cell(key_names)
         b = b.sort_values("pos", kind="stable").reset_index(drop=True)
         qm = np.vstack(q["vec"].to_list()).astype(np.float64)
         bm = np.vstack(b["vec"].to_list()).astype(np.float64)

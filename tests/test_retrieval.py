@@ -56,3 +56,24 @@ def test_group_settings_keep_every_query(spark):
     bank, q = T.bank_and_queries(T.conv_qa(spark, SF001))
     out = sim.group_settings_top1(bank, q, S, {"s1": {"analyzer": "word", "ngram_min": 1, "ngram_max": 1}})
     assert sorted(r["qid"] for r in out.collect()) == sorted(r["qid"] for r in q.collect())
+
+
+def test_blocked_scorer_with_tiny_blocks_equals_term_join(spark, monkeypatch):
+    """Many cells per key, several bank chunks, both dense and sparse term paths: same answers."""
+    from answerbank.plans import blocks
+
+    monkeypatch.setattr(blocks, "MAX_QUERY_BLOCK_ROWS", 2)
+    monkeypatch.setattr(blocks, "MAX_BANK_BLOCK_ROWS", 7)
+    monkeypatch.setattr(blocks, "CHUNK_BYTES", 4096)
+    monkeypatch.setattr(blocks, "PAIR_CHUNK", 50)
+    monkeypatch.setattr(blocks, "DENSE_RATIO", 4)
+    bank, q = T.bank_and_queries(T.conv_qa(spark, SF001))
+    s = TfidfSettings(analyzer="char_wb", ngram_min=2, ngram_max=3)
+    _, bp, qp = __import__("answerbank.operators.tfidf", fromlist=["fit_transform"]).fit_transform(
+        bank, q, s, keys=["subset"])
+    blocked = blocks.blocked_topk(qp, bp, 3, ["subset"], max_query_rows=2, max_bank_rows=7,
+                                  bank_rows=bank.select("subset", "pos"))
+    a = sim.topk_scores(bank, q, s, 3, keys=["subset"], strategy="term_join")
+    got = {(r["qid"], r["pos"]): round(r["score"], 6) for r in blocked.collect() if r["score"] > 0}
+    want = {(r["qid"], r["pos"]): round(r["score"], 6) for r in a.collect() if r["score"] > 0}
+    assert got == want
