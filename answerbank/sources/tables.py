@@ -7,6 +7,7 @@ every row takes part in the work.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,7 +75,13 @@ from documents
 
 
 def bank_and_queries(qa: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split a QA view into the bank (labelled) and the query side (``qid``)."""
+    """Split a QA view into the bank (labelled) and the query side (``qid``).
+
+    The view (a self-join of turns) is read by many branches of one plan — the
+    bank, the queries, padding, answer lookup — so it is materialised once
+    (memory, spilling to disk; recomputed from lineage if an executor is lost).
+    """
+    qa = qa.persist(StorageLevel.MEMORY_AND_DISK)
     bank = qa.where(F.col("split") == "bank")
     queries = qa.where(F.col("split") == "query").withColumnRenamed("id", "qid")
     return bank, queries
