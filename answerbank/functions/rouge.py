@@ -31,21 +31,29 @@ def tokens(text: str | None) -> list[str]:
     return TOKEN.findall((text or "").lower())
 
 
-def lcs_length(a: list[str], b: list[str]) -> int:
-    """LCS length by the bit-vector recurrence: V' = (V + (V & M[y])) | (V - (V & M[y]))."""
-    if not a or not b:
-        return 0
+def _masks(a: list[str]) -> dict[str, int]:
     masks: dict[str, int] = {}
     for i, tok in enumerate(a):
         masks[tok] = masks.get(tok, 0) | (1 << i)
-    full = (1 << len(a)) - 1
+    return masks
+
+
+def _lcs_with_masks(n: int, masks: dict[str, int], b: list[str]) -> int:
+    """LCS length by the bit-vector recurrence: V' = (V + (V & M[y])) | (V - (V & M[y]))."""
+    if not n or not b:
+        return 0
+    full = (1 << n) - 1
     v = full
     for tok in b:
         m = masks.get(tok)
         if m:
             u = v & m
             v = ((v + u) | (v - u)) & full
-    return len(a) - v.bit_count()
+    return n - v.bit_count()
+
+
+def lcs_length(a: list[str], b: list[str]) -> int:
+    return _lcs_with_masks(len(a), _masks(a), b)
 
 
 def _f(overlap: int, n_pred: int, n_ref: int) -> float:
@@ -54,15 +62,24 @@ def _f(overlap: int, n_pred: int, n_ref: int) -> float:
     return 0.0 if p + r == 0 else 2 * p * r / (p + r)
 
 
-def pair_scores(reference: str | None, prediction: str | None) -> tuple[float, float]:
-    """(rouge1 F, rougeL F) of one pair; the row-level reference implementation."""
-    ref = tokens(reference)
+def _reference(text: str | None) -> tuple[int, Counter, dict[str, int]]:
+    ref = tokens(text)
+    return len(ref), Counter(ref), _masks(ref)
+
+
+def _scores(ref_info: tuple[int, Counter, dict[str, int]], prediction: str | None) -> tuple[float, float]:
+    n_ref, rc, masks = ref_info
     pred = tokens(prediction)
-    if not ref or not pred:
+    if not n_ref or not pred:
         return 0.0, 0.0
-    rc, pc = Counter(ref), Counter(pred)
+    pc = Counter(pred)
     overlap = sum(min(c, pc[t]) for t, c in rc.items())
-    return _f(overlap, len(pred), len(ref)), _f(lcs_length(ref, pred), len(pred), len(ref))
+    return _f(overlap, len(pred), n_ref), _f(_lcs_with_masks(n_ref, masks, pred), len(pred), n_ref)
+
+
+def pair_scores(reference: str | None, prediction: str | None) -> tuple[float, float]:
+    """(rouge1 F, rougeL F) of one pair; the row-level reference implementation."""
+    return _scores(_reference(reference), prediction)
 
 
 ROUGE_TYPE = T.StructType([T.StructField("rouge1", T.DoubleType()), T.StructField("rouge_l", T.DoubleType())])
@@ -71,8 +88,12 @@ ROUGE_TYPE = T.StructType([T.StructField("rouge1", T.DoubleType()), T.StructFiel
 @pandas_udf(ROUGE_TYPE)
 def _rouge_udf(reference: pd.Series, prediction: pd.Series) -> pd.DataFrame:
     r1, rl = [], []
+    seen: dict[str, tuple] = {}  # one reference is often scored against many candidates in a batch
     for ref, pred in zip(reference.tolist(), prediction.tolist()):
-        a, b = pair_scores(ref, pred)
+        info = seen.get(ref)
+        if info is None:
+            info = seen[ref] = _reference(ref)
+        a, b = _scores(info, pred)
         r1.append(a)
         rl.append(b)
     return pd.DataFrame({"rouge1": r1, "rouge_l": rl})
