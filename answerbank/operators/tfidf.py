@@ -104,7 +104,8 @@ def fit_vocabulary(
     stats = stats.join(n_docs, keys, "inner") if keys else stats.crossJoin(F.broadcast(n_docs))
     stats = stats.where((F.col("df") >= F.lit(s.min_df)) & (F.col("df") <= F.lit(float(s.max_df)) * F.col("n")))
     if s.max_features is not None:
-        stats = _limit_features(stats, s.max_features, keys)
+        # read by the size check and by the vocabulary itself
+        stats = _limit_features(stats.persist(StorageLevel.MEMORY_AND_DISK), s.max_features, keys)
     n = F.col("n").cast("double")
     dfc = F.col("df").cast("double")
     if not s.use_idf:
