@@ -916,9 +916,8 @@ select subset, top_k, semantic_weight, n, round(weighted_without_llm, 6) as weig
 )
 def depth_weight_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W9 + A8: best grid point per subset (earlier point wins ties) and the row-weighted mean of the bests."""
-    best = SW.best_per_subset(_depth_frames(spark, sf_dir))
-    a8 = SW.weighted_mean_of_bests(best)
-    return best.crossJoin(a8).select(
+    best = SW.weighted_mean_of_bests(SW.best_per_subset(_depth_frames(spark, sf_dir)))
+    return best.select(
         "subset", "top_k", "semantic_weight", "n", r6(F.col("weighted_without_llm")).alias("weighted_without_llm"),
         r6(F.col("weighted_subset_best")).alias("weighted_subset_best"),
     )
@@ -1319,5 +1318,36 @@ def gate_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
                     r6(0.5 * F.col("r1") + 0.5 * F.col("rl")).alias("weighted_without_llm"), "switched_rows")
 
 
+@register("learned_apply")
+def learned_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fit the candidate model on the labelled subsets s0/s1, score the candidates of s2/s3
+    (treated as unseen), best candidate per query, joined back to the queries by ID."""
+    f = _candidate_frame(spark, sf_dir)
+    train = f.where(F.col("subset").isin("s0", "s1"))
+    unseen = f.where(~F.col("subset").isin("s0", "s1")).drop("target")
+    best = L.fit_and_select(
+        train, unseen, id_col="qid", features=L.CANDIDATE_FEATURES, seed=42,
+        order=[F.col("model_score").desc(), F.col("semantic_score").desc(), F.col("tfidf_score").desc(), F.col("pos")],
+    )
+    q = T.bank_and_queries(T.conv_qa(spark, sf_dir))[1].where(~F.col("subset").isin("s0", "s1")).select("qid")
+    return q.join(best.select("qid", "matched_id", "prediction", r6(F.col("model_score")).alias("model_score")), "qid", "left")
+
+
+_NULL_LIST = ", ".join("'" + t.replace("'", "''") + "'" for t in FS.NULL_TOKENS)
+
+
+@register(
+    "csv_roundtrip",
+    f"""select conv_id, turn, role, case when text in ({_NULL_LIST}) then null else text end as text from conversations""",
+)
+def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written as CSV (quoted multi-line text) to the shared folder and read back
+    with the declared schema, quote/escape rules and null tokens."""
+    path = _scratch(spark, "csv")
+    c = T.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    FS.write_table(c, path, fmt="csv")
+    return FS.load_csv(spark, path, "conv_id long, turn long, role string, text string")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval_score(spark, sf_dir)

@@ -20,6 +20,7 @@ def profile(df: DataFrame, question: str, answer: str | None = None, split_col:
     cols = df.columns
     missing = sum((F.col(c).isNull().cast("long") for c in cols), F.lit(0).cast("long"))
     rows = df.select(
+        *[F.col(c) for c in cols if c not in keys],
         *keys,
         missing.alias("__missing"),
         word_count(question).alias("__qw"),
@@ -37,10 +38,10 @@ def profile(df: DataFrame, question: str, answer: str | None = None, split_col:
             F.round(F.coalesce(F.avg("__aw"), F.lit(0.0)), 6).alias("answer_words_mean"),
             F.round(F.coalesce(F.percentile("__aw", 0.95), F.lit(0.0)), 6).alias("answer_words_p95"),
         ]
-    stats = rows.groupBy(*keys).agg(*aggs)
-    distinct = df.distinct().groupBy(*keys).agg(F.count("*").alias("__distinct"))
-    joined = stats.join(distinct, keys, "inner") if keys else stats.crossJoin(distinct)
-    return joined.withColumn("duplicate_rows", F.col("rows") - F.col("__distinct")).drop("__distinct")
+    # duplicates = rows - distinct full rows (a struct of all columns; nulls compare equal)
+    rows = rows.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in cols]))
+    aggs.append((F.count("*") - F.countDistinct("__row")).alias("duplicate_rows"))
+    return rows.groupBy(*keys).agg(*aggs)
 
 
 def value_counts(df: DataFrame, col: str, name: str = "value") -> DataFrame:

@@ -35,8 +35,13 @@ def _pad_rows(bank: DataFrame, queries: DataFrame, k: int, keys: list[str]) -> D
     w = Window.partitionBy(*keys).orderBy("pos")
     first = bank.select(*keys, "pos").withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).drop("__r")
     q = queries.select(*keys, "qid")
-    joined = q.join(F.broadcast(first), keys, "inner") if keys else q.crossJoin(F.broadcast(first))
-    return joined.select(*keys, "qid", "pos", F.lit(0.0).alias("score"))
+    if keys:  # k rows per key, joined on the key
+        joined = q.join(first, keys, "inner")
+        return joined.select(*keys, "qid", "pos", F.lit(0.0).alias("score"))
+    # without keys the pad is at most k positions: a literal array expanded per query
+    positions = [r["pos"] for r in first.orderBy("pos").collect()]
+    pad = F.array(*[F.lit(int(p)).cast("long") for p in positions]) if positions else F.array().cast("array<bigint>")
+    return q.select("qid", F.explode(pad).alias("pos"), F.lit(0.0).alias("score"))
 
 
 def topk_scores(
@@ -189,6 +194,6 @@ def test_bank(train: DataFrame, val: DataFrame, include_val: bool = True) -> Dat
     """The bank for unlabelled queries: train rows, then validation rows after them in position order."""
     if not include_val:
         return train
-    offset = train.agg(F.coalesce(F.max("pos") + 1, F.lit(0)).alias("__o"))
-    v = val.crossJoin(offset).withColumn("pos", F.col("pos") + F.col("__o")).drop("__o")
-    return train.unionByName(v, allowMissingColumns=True)
+    top = train.agg(F.max("pos").alias("m")).first()["m"]
+    offset = 0 if top is None else int(top) + 1
+    return train.unionByName(val.withColumn("pos", F.col("pos") + F.lit(offset)), allowMissingColumns=True)

@@ -101,7 +101,10 @@ def fit_vocabulary(
         F.count("*").alias("df"),
         (F.count("*") if s.binary else F.sum("tf")).alias("ctf"),
     )
-    stats = stats.join(n_docs, keys, "inner") if keys else stats.crossJoin(F.broadcast(n_docs))
+    if keys:
+        stats = stats.join(n_docs, keys, "inner")
+    else:  # one number: attach it as a literal
+        stats = stats.withColumn("n", F.lit(int(n_docs.first()["n"])))
     stats = stats.where((F.col("df") >= F.lit(s.min_df)) & (F.col("df") <= F.lit(float(s.max_df)) * F.col("n")))
     if s.max_features is not None:
         # read by the size check and by the vocabulary itself

@@ -191,6 +191,12 @@ def _topk_cell(k: int, key_names: list[str]):
     return fn
 
 
+def _one_row(qn: DataFrame, bn: DataFrame) -> DataFrame:
+    """The two single-row counts side by side (no join)."""
+    b = bn.first()
+    return qn.withColumn("nb_rows", F.lit(int(b["nb_rows"]) if b else 0))
+
+
 def _fresh(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(c) for c in df.columns])
 
@@ -233,7 +239,7 @@ def blocked_topk(
     totals = qn.agg(F.sum("nq_rows").alias("t")).first()["t"] or 0
     if totals == 0:
         return _empty_scores(spark, q_post, keys)
-    sizes = qn.join(bn, keys, "inner") if keys else qn.crossJoin(bn)
+    sizes = qn.join(bn, keys, "inner") if keys else _one_row(qn, bn)
     nb = F.greatest(F.lit(1), F.ceil(F.col("nb_rows") / F.lit(max_bank_rows)))
     share = F.ceil(F.lit(float(target)) * F.col("nq_rows") / F.lit(float(totals)) / nb)
     nq = F.least(
@@ -242,7 +248,10 @@ def blocked_topk(
     sizes = sizes.select(*keys, nq.cast("int").alias("nqb"), nb.cast("int").alias("nbb"))
     def join(df: DataFrame) -> DataFrame:
         # without keys ``sizes`` is one row; with keys it has one row per key
-        return df.crossJoin(F.broadcast(sizes)) if not keys else df.join(sizes, keys, "inner")
+        if keys:
+            return df.join(sizes, keys, "inner")
+        one = sizes.first()  # without keys the block counts are two numbers
+        return df.withColumn("nqb", F.lit(int(one["nqb"]))).withColumn("nbb", F.lit(int(one["nbb"])))
 
     qx = join(qp).select(
         *keys,
@@ -345,14 +354,17 @@ def dense_topk(
     )
     if totals == 0:
         return spark.createDataFrame([], schema)
-    sizes = qn.join(bn, keys, "inner") if keys else qn.crossJoin(bn)
+    sizes = qn.join(bn, keys, "inner") if keys else _one_row(qn, bn)
     nb = F.greatest(F.lit(1), F.ceil(F.col("nb_rows") / F.lit(max_bank_rows)))
     share = F.ceil(F.lit(float(target)) * F.col("nq_rows") / F.lit(float(totals)) / nb)
     nq = F.least(F.col("nq_rows"), F.greatest(F.lit(1), F.ceil(F.col("nq_rows") / F.lit(max_query_rows)), share))
     sizes = sizes.select(*keys, nq.cast("int").alias("nqb"), nb.cast("int").alias("nbb"))
 
     def join(df: DataFrame) -> DataFrame:
-        return df.crossJoin(F.broadcast(sizes)) if not keys else df.join(sizes, keys, "inner")
+        if keys:
+            return df.join(sizes, keys, "inner")
+        one = sizes.first()  # without keys the block counts are two numbers
+        return df.withColumn("nqb", F.lit(int(one["nqb"]))).withColumn("nbb", F.lit(int(one["nbb"])))
 
     qx = join(queries).select(
         *keys,

@@ -149,11 +149,10 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def qa_vectors(spark: SparkSession, sf_dir: str, qa: DataFrame) -> DataFrame:
     """Encoder output for QA rows, taken from the ``embeddings`` table: row ``id`` uses vector ``id mod n``."""
     v = vectors(spark, sf_dir)
-    n = v.agg(F.count("*").alias("n"))
+    n = v.count()
     return (
         qa.select("id")
-        .crossJoin(F.broadcast(n))
-        .select("id", F.pmod(F.col("id"), F.col("n")).alias("vid"))
+        .select("id", F.pmod(F.col("id"), F.lit(n)).alias("vid"))
         .join(v.select("vid", "vec"), "vid")
         .select("id", "vec")
     )
