@@ -122,3 +122,39 @@ def vectors_to_encode(texts: DataFrame, cache: DataFrame | None, text_col: str =
     if cache is None:
         return keyed
     return keyed.join(cache.select("id", "text_hash"), ["id", "text_hash"], "left_anti")
+
+
+def load_run_list(
+    spark: SparkSession, root: str, names: list[str], source: DataFrame, files: tuple[str, ...] = ("validation", "test")
+) -> DataFrame:
+    """``(candidate, ID, prediction)`` for every listed run whose files all exist under ``root/<name>/``.
+
+    A run missing any of its files is skipped; no run loading is an error. Each run
+    is left-joined from the source IDs, a missing prediction becomes ''. The
+    existence check lists paths (metadata only); the data is read in one scan.
+    """
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path  # noqa: SLF001 - Hadoop FS listing, no data read
+    conf = spark._jsc.hadoopConfiguration()  # noqa: SLF001
+    present = []
+    for name in names:
+        ok = True
+        for f in files:
+            p = jvm_path(f"{root.rstrip('/')}/{name}/{f}")
+            if not p.getFileSystem(conf).exists(p):
+                ok = False
+        if ok:
+            present.append(name)
+    if not present:
+        raise ValueError("No candidate predictions were loaded")
+    paths = [f"{root.rstrip('/')}/{n}/{files[0]}" for n in present]
+    df = _reader(spark).csv(paths)
+    run = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -3)
+    col = "prediction" if "prediction" in df.columns else "TargetRLF1"
+    runs = df.select(run.alias("candidate"), F.col("ID").cast("string").alias("ID"), F.col(col).alias("prediction"))
+    # every source ID meets every loaded run: the run names are a literal array expanded per ID
+    grid = source.select(F.col("ID").cast("string").alias("ID")).distinct().select(
+        "ID", F.explode(F.array(*[F.lit(n) for n in present])).alias("candidate")
+    )
+    return grid.join(runs, ["candidate", "ID"], "left").select(
+        "candidate", "ID", F.coalesce(F.col("prediction"), F.lit("")).alias("prediction")
+    )

@@ -46,3 +46,14 @@ def test_resume_processes_only_pending(spark):
     resume.append_done(first, path)
     todo = resume.pending(req, resume.read_done(spark, path, schema))
     assert sorted(r["ID"] for r in todo.collect()) == ["3", "4", "5"]
+
+
+def test_run_list_skips_incomplete_runs(spark):
+    root = _tmp()
+    for name, files in (("r1", ("validation", "test")), ("r2", ("validation",))):
+        for f in files:
+            spark.createDataFrame([("1", "p-" + name)], "ID string, prediction string").coalesce(1).write.option(
+                "header", True).csv(os.path.join(root, name, f))
+    src = spark.createDataFrame([("1",), ("2",)], "ID string")
+    out = sorted(tuple(r) for r in FS.load_run_list(spark, root, ["r1", "r2", "r3"], src).collect())
+    assert out == [("r1", "1", "p-r1"), ("r1", "2", "")]
