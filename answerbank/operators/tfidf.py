@@ -53,9 +53,6 @@ class TfidfSettings:
 # at run time once their real size is known).
 BROADCAST_VOCAB_LIMIT = 1_000_000
 
-# Settings of the script-level generators (character 2-4, sublinear, 100k terms).
-SCRIPT_DEFAULTS = TfidfSettings(analyzer="char", ngram_min=2, ngram_max=4, max_features=100_000, sublinear_tf=True)
-
 
 def term_counts(df: DataFrame, id_col: str, text_col: str, s: TfidfSettings, keys: list[str] | None = None) -> DataFrame:
     """``(keys…, id, term, tf)`` for every row with at least one n-gram.

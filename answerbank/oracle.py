@@ -126,10 +126,6 @@ def topk_ctes(s: TfidfSettings, bank: str, queries: str, kk: int, keys: list[str
    from {p}cand qualify rank <= {kk})"""
 
 
-def settings_sql_name(s: TfidfSettings) -> str:
-    return f"{s.analyzer}_{s.ngram_min}_{s.ngram_max}"
-
-
 def rouge_tokens(expr: str) -> str:
     return f"regexp_extract_all(lower(coalesce({expr}, '')), '[a-z0-9]+')"
 

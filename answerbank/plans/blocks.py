@@ -19,8 +19,6 @@ with one aggregate over the postings and picks A below a threshold.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -296,9 +294,6 @@ def _empty_scores(spark, q_post: DataFrame, keys: list[str]) -> DataFrame:
     return spark.createDataFrame([], T.StructType(fields))
 
 
-def blocks_needed(rows: int, max_rows: int) -> int:
-    return max(1, math.ceil(rows / max_rows))
-
 
 def _dense_cell(k: int, key_names: list[str]):
     def fn(key, q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
