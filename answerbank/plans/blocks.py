@@ -29,7 +29,9 @@ from pyspark.sql import types as T
 # this many digits before comparing, then the lower bank position wins.
 SCORE_DIGITS = 9
 
-TERM_JOIN_MAX_PAIRS = 30_000_000
+# Measured on local[8], whole texts, end to end: at ~47M term pairs the term join was ~10% faster,
+# at ~240M the blocked scorer was ~35% faster; the switch sits between the two.
+TERM_JOIN_MAX_PAIRS = 60_000_000
 MAX_QUERY_BLOCK_ROWS = 512
 MAX_BANK_BLOCK_ROWS = 4096
 CHUNK_BYTES = 64 << 20
