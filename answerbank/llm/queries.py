@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from answerbank.llm import bpe_tree
+from answerbank.llm import bpe_tree, html_template, langid, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_template": html_template.extracted_pages,
     "op2_bpe_tree": bpe_tree.roundtrip,
+    "op6_langid": langid.predicted_documents,
+    "op10_best_fit_packing": packing.packed_documents,
 }
 
 ORACLE: dict[str, str] = {}
