@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from answerbank.llm.common import table
+from answerbank.llm.common import checkpointed, table
 
 CLASS_SIZE, SUPPORT = 3, 5
 #: A template element is the main slot if it holds this share of the host's free text.
@@ -272,7 +272,8 @@ def extract(pages: DataFrame) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], ["page_id", "url", "text", "n_chars"]
             )
 
-    joined = pages.join(templates(pages), "host", "left").select("page_id", "url", "html", "texts", "main")
+    # From a written table both sides of the join are shuffled, so Spark can split a host's pages over tasks.
+    joined = pages.join(checkpointed(templates(pages)), "host", "left").select("page_id", "url", "html", "texts", "main")
     return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
 
 
