@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from answerbank.llm import bpe_tree, html_template, langid, merkle, packing
+from answerbank.llm import ann_collision, bpe_tree, html_template, langid, merkle, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_template": html_template.extracted_pages,
     "op2_bpe_tree": bpe_tree.roundtrip,
+    "op3_ann_collision": ann_collision.nearest_embeddings,
     "op5_merkle": merkle.fingerprinted_documents,
     "op6_langid": langid.predicted_documents,
     "op10_best_fit_packing": packing.packed_documents,
