@@ -1,6 +1,7 @@
 """Document fingerprints as Merkle trees over sections, paragraphs and pieces (operator 5).
 
-Only DataFrame functions.  A paragraph is a line, or each ``LEAF`` characters of a longer line; its hash is SHA-256 of its text.  A section is a run of paragraphs up to
+Only DataFrame functions.  A paragraph is a line, or each ``LEAF`` characters of a longer line; its hash is the first
+half of SHA-256 of its text.  A section is a run of paragraphs up to
 one whose hash ends in 0 to 3 (content decides, so an edit moves no other section's ends); its hash is
 SHA-256 over its paragraphs' hashes, and the root is SHA-256 over the sections' hashes.  Paragraphs also keep their lengths.
 For edits inside paragraphs the fingerprint has pieces: 32-bit hashes of neighbouring token pairs (a token: up to 5
@@ -35,8 +36,8 @@ LOWEST = -(1 << 63)
 def with_tree(df: DataFrame, text: str, out: str) -> DataFrame:
     """Add the struct ``root, sections, level, lengths, pieces`` of a text column (steps, so that nothing is computed twice)."""
     df = df.withColumn("__paragraphs", F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)))
-    paragraphs = F.transform("__paragraphs", lambda p: F.sha2(p, 256))
-    marked = F.concat_ws("", F.transform(paragraphs, lambda h: F.concat(h, F.when(F.substring(h, 64, 1) < "4", "|").otherwise(","))))
+    paragraphs = F.transform("__paragraphs", lambda p: F.substring(F.sha2(p, 256), 1, 32))
+    marked = F.concat_ws("", F.transform(paragraphs, lambda h: F.concat(h, F.when(F.substring(h, 32, 1) < "4", "|").otherwise(","))))
     df = df.withColumns(
         {
             "__lengths": F.transform("__paragraphs", lambda p: F.length(p)),
@@ -71,7 +72,7 @@ def fingerprint(of: Column) -> Column:
         lambda s: F.concat(
             F.substring(F.sha2(s, 256), 1, 8),
             F.lit("("),
-            F.regexp_replace(F.rtrim(s, F.lit(",")), "([0-9a-f]{8})[0-9a-f]{56}", "$1"),
+            F.regexp_replace(F.rtrim(s, F.lit(",")), "([0-9a-f]{8})[0-9a-f]{24}", "$1"),
             F.lit(")"),
         ),
     )
