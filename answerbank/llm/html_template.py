@@ -228,7 +228,7 @@ def occurrences(pages: DataFrame) -> DataFrame:
 
 def templates(pages: DataFrame) -> DataFrame:
     """Per host: the template's text tokens and the main slot's path (null if none stands out)."""
-    tokens = occurrences(pages).filter(F.col("pages") >= SUPPORT)
+    tokens = checkpointed(occurrences(pages).filter(F.col("pages") >= SUPPORT))
     differing = pages.filter(F.col("host").isNotNull()).groupBy("host").agg(F.approx_count_distinct(F.xxhash64("html")).alias("distinct"))
     whole = tokens.filter(F.col("token") == 0).select("host", F.col("pages").alias("all"), F.col("free").alias("all_free"))
     whole = whole.join(differing.filter(F.col("distinct") >= SUPPORT), "host").drop("distinct")
@@ -272,8 +272,9 @@ def extract(pages: DataFrame) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], ["page_id", "url", "text", "n_chars"]
             )
 
-    # From a written table both sides of the join are shuffled, so Spark can split a host's pages over tasks.
-    joined = pages.join(checkpointed(templates(pages)), "host", "left").select("page_id", "url", "html", "texts", "main")
+    # From a written table both sides of the join are shuffled, so Spark can split a host's pages over tasks;
+    # the templates are hashed, so pages need no sorting.
+    joined = pages.join(checkpointed(templates(pages)).hint("shuffle_hash"), "host", "left").select("page_id", "url", "html", "texts", "main")
     return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
 
 
