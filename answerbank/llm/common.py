@@ -80,21 +80,32 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
 
 
-def position_weights(n: int) -> np.ndarray:
-    """Random odd 64-bit weight of each byte position (multilinear hashing)."""
-    return mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+#: An odd 64-bit number and its inverse modulo 2^64 (fixed values; base of the polynomial hash).
+BASE = 0x9E3779B97F4A7C15
+BASE_INVERSE = pow(BASE, -1, 1 << 64)
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE^k and BASE^-k modulo 2^64 for k < n (kept per process up to 4 MB of text)."""
+
+    def build(size: int) -> tuple[np.ndarray, np.ndarray]:
+        factors = np.ones((2, size), dtype=np.uint64)
+        factors[0, 1:], factors[1, 1:] = BASE, BASE_INVERSE
+        return tuple(np.cumprod(factors, axis=1))
+
+    if n > 1 << 22:
+        return build(n)
+    size = max(1 << 16, 1 << (n - 1).bit_length()) if n else 1 << 16
+    return process_cache(f"powers_{size}", lambda: build(size))
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each non-empty, sorted, disjoint byte span ``[starts, ends)``."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    lengths = ends - starts
-    first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    place = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(first, lengths)
-    weights = position_weights(int(lengths.max()))
-    values = (data[place + np.repeat(starts, lengths)].astype(np.uint64) + np.uint64(1)) * weights[place]
-    return mix64(np.add.reduceat(values, first) + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """64-bit hash of each byte span ``[starts, ends)``: a polynomial in its bytes, mixed with its length."""
+    up, down = powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    values = (sums[ends] - sums[starts]) * down[starts]
+    return mix64(values + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -50,9 +50,7 @@ def line_rows(docs: DataFrame, least_chars: int) -> DataFrame:
                 part = batch.slice(low, high - low)
                 data, offsets = text_bytes(part.column("text"))
                 starts, ends, rows = line_edges(data, offsets)
-                solid = ends > starts
-                hashes = np.zeros(len(starts), dtype=np.uint64)
-                hashes[solid] = span_hashes(data, starts[solid], ends[solid])
+                hashes = span_hashes(data, starts, ends)
                 first = np.searchsorted(rows, np.arange(len(offsets)))
                 number = np.arange(len(rows)) - first[rows]
                 # Characters up to each line's end, over all texts; a run must stay in its text.
@@ -132,6 +130,7 @@ def later_copies(lines: DataFrame) -> DataFrame:
     runs = checkpointed(run_keys(ranked, levels))
     place = F.struct("d", "t", "i")
     firsts = runs.groupBy("m", "a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    firsts = checkpointed(firsts)  # so that the join shuffles both sides and Spark can split a common run
     copies = runs.join(firsts, ["m", "a", "b"]).filter(place != F.col("first"))
     return copies.groupBy("d", "t").agg(F.collect_list(F.struct("i", "m")).alias("copies"))
 
