@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from answerbank.llm import ann_collision, bpe_tree, html_template, langid, line_dedup, merkle, packing
+from answerbank.llm import ann_collision, bpe_tree, html_template, jaccard_join, langid, line_dedup, merkle, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_template": html_template.extracted_pages,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ann_collision": ann_collision.nearest_embeddings,
     "op5_merkle": merkle.fingerprinted_documents,
     "op6_langid": langid.predicted_documents,
+    "op7_jaccard_join": jaccard_join.linked_documents,
     "op9_line_dedup": line_dedup.deduped_lines,
     "op10_best_fit_packing": packing.packed_documents,
 }
