@@ -11,8 +11,9 @@ into all pairs: of each prefix token, all holders are first compared with the ho
 smallest id; what links forms a component, and only pairs of holders from different components are compared after that.
 Pairs left out lie in one component already, so no component changes.
 
-Frequent tokens are those that more than ``n / MOST_FREQUENT`` (``FREQUENT`` at least) documents hold among a quarter of their prefix,
+Frequent tokens are those that more than ``n / MOST_FREQUENT`` (``FREQUENT`` at least) documents hold in their prefix by hash,
 ``n`` being all such holdings: ``MOST_FREQUENT`` tokens at most, which every task knows.  Which tokens are frequent affects speed only.
+A pair of holders must also share so many prefix tokens that, with all tokens after the prefixes, it could link.
 
 Defined cases: a text without words (or null) has an empty set and links with nothing; with fewer words than ``WORDS`` the
 whole sequence is its one shingle; rows without an id link with nothing and have no component; rows with the same id are one node.
@@ -34,7 +35,7 @@ WORDS = 3
 LEAST = Fraction(90, 100)
 #: Odd factors of the further token orders (fixed values).
 ORDERS = (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-FREQUENT, MOST_FREQUENT = 8, 1 << 20
+FREQUENT, MOST_FREQUENT = 2, 1 << 20
 #: Tokens are compared by so many bytes of their hash.
 TOKEN_BYTES = 6
 
@@ -108,23 +109,18 @@ def frequent_tokens(docs: DataFrame, n_words: int, least: Fraction) -> tuple[np.
 
     def rows_of(key, tokens):
         if len(tokens):
-            held = first_under_hash(tokens, -(-prefix_length(len(tokens), least) // 4))
-            yield (held.astype(np.int64),)
+            yield (tokens[: prefix_length(len(tokens), least)].astype(np.int64),)  # tokens are hashes in ascending order
 
     held = per_text(docs, n_words, "tokens array<long>", rows_of).select(F.explode("tokens").alias("token"))
     counts = held.groupBy("token").agg(F.count("*").alias("n"))
-    counts = checkpointed(counts.filter(F.col("n") > FREQUENT // 2))
+    counts = checkpointed(counts.filter(F.col("n") >= FREQUENT))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    often = counts.filter(F.col("n") > max(FREQUENT, total // MOST_FREQUENT)).toArrow()  # MOST_FREQUENT rows at most
+    often = counts.filter(F.col("n") > total // MOST_FREQUENT).toArrow()  # MOST_FREQUENT rows at most
     tokens, n = often["token"].to_numpy(), often["n"].to_numpy()
     order = np.argsort(tokens)
     return tokens[order].astype(np.uint64), n[order]
 
 
-def first_under_hash(tokens: np.ndarray, count: int) -> np.ndarray:
-    return tokens[:count]  # tokens are hashes in ascending order
-
-
 def components(links: DataFrame) -> DataFrame:
     """``node, component`` (its smallest node) of every node of ``links`` (a, b), by alternating stars."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
@@ -181,7 +177,7 @@ def linked(docs: DataFrame, n_words: int = WORDS, least: Fraction = LEAST) -> Da
     num, den = least.numerator, least.denominator
 
     def described(key, tokens):
-        n, prefix = len(tokens), []
+        n, prefix, last = len(tokens), [], (0, 0)
         if n:
             often, counts = frequent.value
             at = np.searchsorted(often, tokens)
@@ -190,17 +186,19 @@ def linked(docs: DataFrame, n_words: int = WORDS, least: Fraction = LEAST) -> Da
                 hit = often[np.minimum(at, len(often) - 1)] == tokens
                 rank[hit] = counts[at[hit]]
             order = np.lexsort((tokens, rank))
-            prefix = tokens[order[: prefix_length(n, least)]].astype(np.int64)
+            order = order[: prefix_length(n, least)]
+            prefix, last = tokens[order].astype(np.int64), (int(rank[order[-1]]), int(tokens[order[-1]]))
         digest = mix64(tokens)
         sums = [int(digest.sum(dtype=np.uint64)), int(mix64(digest ^ np.uint64(ORDERS[0])).sum(dtype=np.uint64))]
-        yield key, n, *(x - (1 << 64) if x >> 63 else x for x in sums), prefix
+        yield key, n, *(x - (1 << 64) if x >> 63 else x for x in sums), prefix, *last
 
-    described = checkpointed(per_text(docs, n_words, "doc_id long, n int, d1 long, d2 long, prefix array<long>", described))
+    described = checkpointed(per_text(docs, n_words, "doc_id long, n int, d1 long, d2 long, prefix array<long>, rank long, last long", described))
     same = ["n", "d1", "d2"]
     with_words = described.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = checkpointed(with_words.groupBy(*same).agg(F.min("doc_id").alias("class_id")))
     chosen = classes.select(*same, F.col("class_id").alias("doc_id"))
-    holdings = with_words.join(chosen, [*same, "doc_id"], "left_semi").select(F.explode("prefix").alias("token"), F.col("doc_id").alias("id"), "n")
+    holdings = with_words.join(chosen, [*same, "doc_id"], "left_semi")
+    holdings = holdings.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("id"), "n", F.struct("rank", "last").alias("end"))
     # The holder with the smallest id is the centre of its token's star.
     shared = holdings.groupBy("token").agg(F.min(F.struct("id", "n")).alias("centre"), F.count("*").alias("holders")).filter("holders > 1")
     held = checkpointed(holdings.join(checkpointed(shared.drop("holders")), "token"))
@@ -213,13 +211,19 @@ def linked(docs: DataFrame, n_words: int = WORDS, least: Fraction = LEAST) -> Da
     links = checkpointed(verified(stars, sets, least))
     grouped = components(links)
     place = held.join(grouped.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    place = checkpointed(place.filter(F.col("id") != F.col("centre.id")).select("token", "id", "n", "component"))
+    place = checkpointed(place.filter(F.col("id") != F.col("centre.id")).select("token", "id", "n", "end", "component"))
     mixed = place.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
     place = checkpointed(place.join(checkpointed(mixed), "token", "left_semi"))
-    one = place.select("token", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    two = place.select("token", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    apart = one.join(two, "token").filter((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & near(F.col("n_a"), F.col("n_b")))
-    more = checkpointed(verified(checkpointed(apart.select("a", "b").distinct()), sets, least))
+    of = lambda side: place.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "end", "component")))
+    apart = of("a").join(of("b"), "token")
+    apart = apart.filter((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & near(F.col("n_a"), F.col("n_b")))
+    # Here every shared prefix token of a pair counts, but for pairs compared as stars already.  All other common tokens
+    # lie behind the prefix that ends first; together they must reach t / (1 + t) of both sizes.
+    ends_first = F.when(F.col("end_a") < F.col("end_b"), F.col("n_a")).otherwise(F.col("n_b"))
+    apart = apart.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "n_a", "n_b", ends_first.alias("first")).agg(F.count("*").alias("common"))
+    behind = F.ceil(F.col("first") * num / den)  # at most; n less the prefix is one less
+    apart = apart.filter((F.col("common") + behind) * (num + den) >= (F.col("n_a") + F.col("n_b")) * num).select("a", "b")
+    more = checkpointed(verified(checkpointed(apart), sets, least))
     members = with_words.select("doc_id", *same).join(classes, same).select("doc_id", "n", "class_id")
     twice = members.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b"), F.collect_set("class_id").alias("all"))
     twice = twice.filter("a <> b").select("a", F.explode("all").alias("b"))  # rows with the same id are one node
