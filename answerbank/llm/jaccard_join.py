@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answerbank.llm.common import checkpointed, lower_ascii, mix64, span_hashes, table, text_bytes, text_slices, words
+from answerbank.llm.common import checkpointed, lower_ascii, mix64, scratch_table, span_hashes, table, text_bytes, text_slices, words
 
 WORDS = 3
 LEAST = Fraction(90, 100)
@@ -192,38 +192,60 @@ def linked(docs: DataFrame, n_words: int = WORDS, least: Fraction = LEAST) -> Da
         sums = [int(digest.sum(dtype=np.uint64)), int(mix64(digest ^ np.uint64(ORDERS[0])).sum(dtype=np.uint64))]
         yield key, n, *(x - (1 << 64) if x >> 63 else x for x in sums), prefix, *last
 
-    described = checkpointed(per_text(docs, n_words, "doc_id long, n int, d1 long, d2 long, prefix array<long>, rank long, last long", described))
+    described = per_text(docs, n_words, "doc_id long, n int, d1 long, d2 long, prefix array<long>, rank long, last long", described)
+    described = scratch_table(described, "jaccard-docs")
     same = ["n", "d1", "d2"]
     with_words = described.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = checkpointed(with_words.groupBy(*same).agg(F.min("doc_id").alias("class_id")))
     chosen = classes.select(*same, F.col("class_id").alias("doc_id"))
-    holdings = with_words.join(chosen, [*same, "doc_id"], "left_semi")
-    holdings = holdings.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("id"), "n", F.struct("rank", "last").alias("end"))
+    holdings = with_words.select(*same, "doc_id", "prefix").join(chosen, [*same, "doc_id"], "left_semi")
+    holdings = holdings.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("id"), "n")
     # The holder with the smallest id is the centre of its token's star.
-    shared = holdings.groupBy("token").agg(F.min(F.struct("id", "n")).alias("centre"), F.count("*").alias("holders")).filter("holders > 1")
-    held = checkpointed(holdings.join(checkpointed(shared.drop("holders")), "token"))
+    shared = holdings.groupBy("token").agg(F.min(F.struct("id", "n")).alias("x"), F.count("*").alias("holders")).filter("holders > 1")
+    shared = checkpointed(shared.select("token", F.col("x.id").alias("centre"), F.col("x.n").alias("n_centre")))
+    held = scratch_table(holdings.join(shared, "token"), "jaccard-held")
     near = lambda x, y: F.least(x, y) * den >= F.greatest(x, y) * num
-    stars = held.filter((F.col("id") != F.col("centre.id")) & near(F.col("n"), F.col("centre.n")))
-    stars = checkpointed(stars.select(F.col("centre.id").alias("a"), F.col("id").alias("b")).distinct())
-    candidates = checkpointed(held.select(F.col("id").alias("doc_id")).distinct())
-    sets = per_text(docs.join(candidates, "doc_id", "left_semi"), n_words, "id long, tokens binary", lambda key, s: [(key, packed(s))])
-    sets = checkpointed(sets)
-    links = checkpointed(verified(stars, sets, least))
+    stars = held.filter((F.col("id") != F.col("centre")) & near(F.col("n"), F.col("n_centre")))
+    stars = checkpointed(stars.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct())
+
+    # All common tokens of a pair are shared prefix tokens or lie behind the prefix that ends first (n less the prefix
+    # are under t n); together they must reach t / (1 + t) of both sizes.
+    def could_link(common, n_a, n_b, end_a, end_b):
+        behind = F.ceil(F.when(end_a < end_b, n_a).otherwise(n_b) * num / den)
+        return (common + behind) * (num + den) >= (n_a + n_b) * num
+
+    end = F.struct("rank", "last").alias("end")
+
+    def facts(side: str, *columns) -> DataFrame:
+        found = with_words.select("doc_id", "n", end, *columns)
+        return found.select(*(F.col(c).alias(side if c == "doc_id" else f"{c}_{side}") for c in found.columns))
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """Pairs that link, from the whole texts of the documents in ``pairs``."""
+        pairs = checkpointed(pairs)
+        ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+        # As a file the ids have a known size, so Spark sends them to the texts if they are few, else the texts to them.
+        chosen = docs.join(scratch_table(ids, "jaccard-ids"), "doc_id", "left_semi")
+        sets = per_text(chosen, n_words, "id long, tokens binary", lambda key, s: [(key, packed(s))])
+        return checkpointed(verified(pairs, checkpointed(sets), least))
+
+    stars = stars.join(facts("b", "prefix"), "b").join(facts("a", "prefix"), "a")
+    common = F.size(F.array_intersect("prefix_a", "prefix_b"))
+    stars = stars.filter(could_link(common, *(F.col(c) for c in ("n_a", "n_b", "end_a", "end_b"))))
+    links = compared(stars.select("a", "b").distinct())
     grouped = components(links)
     place = held.join(grouped.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    place = checkpointed(place.filter(F.col("id") != F.col("centre.id")).select("token", "id", "n", "end", "component"))
+    place = scratch_table(place.filter(F.col("id") != F.col("centre")).select("token", "id", "n", "component"), "jaccard-place")
     mixed = place.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
     place = checkpointed(place.join(checkpointed(mixed), "token", "left_semi"))
-    of = lambda side: place.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "end", "component")))
+    of = lambda side: place.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "component")))
     apart = of("a").join(of("b"), "token")
     apart = apart.filter((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & near(F.col("n_a"), F.col("n_b")))
-    # Here every shared prefix token of a pair counts, but for pairs compared as stars already.  All other common tokens
-    # lie behind the prefix that ends first; together they must reach t / (1 + t) of both sizes.
-    ends_first = F.when(F.col("end_a") < F.col("end_b"), F.col("n_a")).otherwise(F.col("n_b"))
-    apart = apart.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "n_a", "n_b", ends_first.alias("first")).agg(F.count("*").alias("common"))
-    behind = F.ceil(F.col("first") * num / den)  # at most; n less the prefix is one less
-    apart = apart.filter((F.col("common") + behind) * (num + den) >= (F.col("n_a") + F.col("n_b")) * num).select("a", "b")
-    more = checkpointed(verified(checkpointed(apart), sets, least))
+    # Here every shared prefix token of a pair counts, but for pairs compared as stars already.
+    apart = checkpointed(apart.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.count("*").alias("common")))
+    apart = apart.join(facts("b"), "b").join(facts("a"), "a")
+    apart = apart.filter(could_link(*(F.col(c) for c in ("common", "n_a", "n_b", "end_a", "end_b"))))
+    more = compared(apart.select("a", "b").distinct())
     members = with_words.select("doc_id", *same).join(classes, same).select("doc_id", "n", "class_id")
     twice = members.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b"), F.collect_set("class_id").alias("all"))
     twice = twice.filter("a <> b").select("a", F.explode("all").alias("b"))  # rows with the same id are one node
