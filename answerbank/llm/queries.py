@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from answerbank.llm import ann_collision, bpe_tree, html_template, jaccard_join, langid, line_dedup, merkle, packing
+from answerbank.llm import ann_collision, bpe_tree, html_template, jaccard_join, langid, line_dedup, merkle, packing, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_template": html_template.extracted_pages,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_merkle": merkle.fingerprinted_documents,
     "op6_langid": langid.predicted_documents,
     "op7_jaccard_join": jaccard_join.linked_documents,
+    "op8_suffix_dedup": suffix_dedup.deduped_bytes,
     "op9_line_dedup": line_dedup.deduped_lines,
     "op10_best_fit_packing": packing.packed_documents,
 }
