@@ -8,7 +8,7 @@ permutations of the tokens) before the sets are compared exactly.
 
 Equal sets are one class, of which the smallest id takes part.  Groups of near copies are never expanded
 into all pairs: of each prefix token, all holders are first compared with the holder with the
-smallest id; what links forms a component, and only pairs of holders from different components are compared after that.
+smallest id and with a few others drawn by hash; what links forms a component, and only pairs of holders from different components are compared after that.
 Pairs left out lie in one component already, so no component changes.
 
 Frequent tokens are those that more than ``n / MOST_FREQUENT`` (``FREQUENT`` at least) documents hold in their prefix by hash,
@@ -36,6 +36,8 @@ LEAST = Fraction(90, 100)
 #: Odd factors of the further token orders (fixed values).
 ORDERS = (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 FREQUENT, MOST_FREQUENT = 2, 1 << 20
+#: Tokens with more holders than ``FEW`` get ``CENTRES`` more stars in each of ``ATTEMPTS`` rounds, to join near copies early.
+FEW, CENTRES, ATTEMPTS = 8, 4, 2
 #: Tokens are compared by so many bytes of their hash.
 TOKEN_BYTES = 6
 
@@ -202,16 +204,19 @@ def linked(docs: DataFrame, n_words: int = WORDS, least: Fraction = LEAST) -> Da
     holdings = holdings.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("id"), "n")
     # The holder with the smallest id is the centre of its token's star.
     shared = holdings.groupBy("token").agg(F.min(F.struct("id", "n")).alias("x"), F.count("*").alias("holders")).filter("holders > 1")
-    shared = checkpointed(shared.select("token", F.col("x.id").alias("centre"), F.col("x.n").alias("n_centre")))
+    shared = checkpointed(shared.select("token", F.col("x.id").alias("centre"), F.col("x.n").alias("n_centre"), "holders"))
     held = scratch_table(holdings.join(shared, "token"), "jaccard-held")
     near = lambda x, y: F.least(x, y) * den >= F.greatest(x, y) * num
     stars = held.filter((F.col("id") != F.col("centre")) & near(F.col("n"), F.col("n_centre")))
     stars = checkpointed(stars.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct())
 
-    # All common tokens of a pair are shared prefix tokens or lie behind the prefix that ends first (n less the prefix
-    # are under t n); together they must reach t / (1 + t) of both sizes.
+    # All common tokens of a pair are shared prefix tokens or lie behind the prefix that ends first (as many as n less the
+    # prefix); together they must reach t / (1 + t) of both sizes.
+    def after_prefix(n):
+        return F.floor((n.cast("long") * num + den - 1) / den) - 1
+
     def could_link(common, n_a, n_b, end_a, end_b):
-        behind = F.ceil(F.when(end_a < end_b, n_a).otherwise(n_b) * num / den)
+        behind = after_prefix(F.when(end_a < end_b, n_a).otherwise(n_b))
         return (common + behind) * (num + den) >= (n_a + n_b) * num
 
     end = F.struct("rank", "last").alias("end")
@@ -229,11 +234,35 @@ def linked(docs: DataFrame, n_words: int = WORDS, least: Fraction = LEAST) -> Da
         sets = per_text(chosen, n_words, "id long, tokens binary", lambda key, s: [(key, packed(s))])
         return checkpointed(verified(pairs, checkpointed(sets), least))
 
-    stars = stars.join(facts("b", "prefix"), "b").join(facts("a", "prefix"), "a")
-    common = F.size(F.array_intersect("prefix_a", "prefix_b"))
-    stars = stars.filter(could_link(common, *(F.col(c) for c in ("n_a", "n_b", "end_a", "end_b"))))
-    links = compared(stars.select("a", "b").distinct())
+    def further_stars(held: DataFrame, attempt: int) -> DataFrame:
+        """Pairs of each holder with ``CENTRES`` other centres, drawn by hash, of a token with many holders."""
+        many = held.filter(F.col("holders") > FEW)
+        drawn = [F.min(F.struct(F.xxhash64("id", "token", F.lit(CENTRES * attempt + k)), "id", "n"))["id"] for k in range(CENTRES)]
+        centres = checkpointed(many.groupBy("token").agg(F.array(*drawn).alias("centres")))
+        pairs = many.join(centres, "token").select(F.explode("centres").alias("x"), "id").filter("x <> id")
+        return pairs.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+
+    def near_enough(pairs: DataFrame) -> DataFrame:
+        """Pairs that could link by their sizes and whole prefixes."""
+        pairs = pairs.join(facts("b", "prefix"), "b").join(facts("a", "prefix"), "a").filter(near(F.col("n_a"), F.col("n_b")))
+        common = F.size(F.array_intersect("prefix_a", "prefix_b"))
+        return pairs.filter(could_link(common, *(F.col(c) for c in ("n_a", "n_b", "end_a", "end_b")))).select("a", "b")
+
+    def across(pairs: DataFrame, grouped: DataFrame) -> DataFrame:
+        """Pairs whose ends lie in different components."""
+        for side in ("a", "b"):
+            own = grouped.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
+            pairs = pairs.join(own, side, "left").withColumn(f"c_{side}", F.coalesce(f"c_{side}", side))
+        return pairs.filter("c_a <> c_b").select("a", "b")
+
+    links = compared(near_enough(stars.unionByName(further_stars(held, 0)).distinct()))
     grouped = components(links)
+    for attempt in range(1, ATTEMPTS):  # groups of near copies grow together before the rest is compared
+        found = compared(near_enough(checkpointed(across(further_stars(held, attempt), grouped))))
+        if found.isEmpty():
+            break
+        links = links.unionByName(found)
+        grouped = components(links)
     place = held.join(grouped.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     place = scratch_table(place.filter(F.col("id") != F.col("centre")).select("token", "id", "n", "component"), "jaccard-place")
     mixed = place.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
@@ -242,7 +271,11 @@ def linked(docs: DataFrame, n_words: int = WORDS, least: Fraction = LEAST) -> Da
     apart = of("a").join(of("b"), "token")
     apart = apart.filter((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & near(F.col("n_a"), F.col("n_b")))
     # Here every shared prefix token of a pair counts, but for pairs compared as stars already.
-    apart = checkpointed(apart.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.count("*").alias("common")))
+    apart = apart.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.col("n_a").alias("x"), F.col("n_b").alias("y"))
+    apart = apart.agg(F.count("*").alias("common"))
+    # First by whichever prefix could end first, then by the one that does.
+    behind = after_prefix(F.greatest("x", "y"))
+    apart = checkpointed(apart.filter((F.col("common") + behind) * (num + den) >= (F.col("x") + F.col("y")) * num))
     apart = apart.join(facts("b"), "b").join(facts("a"), "a")
     apart = apart.filter(could_link(*(F.col(c) for c in ("common", "n_a", "n_b", "end_a", "end_b"))))
     more = compared(apart.select("a", "b").distinct())
