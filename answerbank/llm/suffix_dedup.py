@@ -7,8 +7,8 @@ the input.  Suffixes are compared only as far as ``LENGTH`` bytes, one bucket at
   strings sample the same place, so two equal strings always share an aligned sample.  (A cover by place modulo
   v, as in the classic construction, needs 6 of 31 places; sampling by content needs about 1 of 18.)
 * Sample ranks: sampled strings are counted over all documents; those of a single document rank alone and end there.
-* Buckets: the other samples, with the bytes round them, are dealt by sampled string.  A bucket holds all suffixes that start
-  at most ``LENGTH - KMER`` bytes before this string; they are sorted by their first ``LENGTH`` bytes (as 64-bit
+* Buckets: the other samples, with the bytes round them, are dealt by sampled string.  A bucket holds all suffixes whose
+  first ``LENGTH`` bytes sample this string; they are sorted by their first ``LENGTH`` bytes (as 64-bit
   names) and distance to it.  Of equal suffixes those outside the smallest id's document are repeats.
 
 Of documents with equal texts only the one with the smallest id enters the buckets; the others go whole.
@@ -34,7 +34,6 @@ KMER = 16
 #: Bytes on each side of a sampled string that a string of LENGTH bytes over it can reach.
 REACH = LENGTH - KMER
 LAST = (1 << 63) - 1
-PARTS_PER_PARTITION = 4
 
 
 def kmer_hashes(data: np.ndarray) -> np.ndarray:
@@ -50,10 +49,10 @@ def kmer_hashes(data: np.ndarray) -> np.ndarray:
     return mix64(value)
 
 
-def samples(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the cover sample of all texts, and all places' hashes."""
+def samples(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The cover sample of all texts: places, their hashes, and the first and last string of LENGTH bytes that each covers."""
     if len(data) < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     hashes = kmer_hashes(data)
     # Smallest hash first, then the leftmost place: 32 bits each.
     least = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
@@ -65,8 +64,16 @@ def samples(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     least = np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
     starts = np.arange(len(least))
     ends = offsets[np.searchsorted(offsets, starts, side="right")] if len(starts) else starts
-    places = np.unique(least[starts + LENGTH <= ends] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    return places, hashes
+    starts = starts[starts + LENGTH <= ends]
+    chosen = (least[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)  # never goes back
+    first = np.flatnonzero(np.concatenate(([True], chosen[1:] != chosen[:-1]))) if len(chosen) else np.zeros(0, np.int64)
+    places = chosen[first]
+    return places, hashes[places], starts[first], starts[np.append(first[1:], len(starts))[: len(first)] - 1]
+
+
+def short(hashes: np.ndarray) -> np.ndarray:
+    """The half of a hash that counting goes by; samples that only seem shared cost time, no more."""
+    return (hashes >> np.uint64(32)).astype(np.uint32)
 
 
 def sample_blocks(docs: DataFrame, parts: int) -> DataFrame:
@@ -77,13 +84,13 @@ def sample_blocks(docs: DataFrame, parts: int) -> DataFrame:
             for low, high in text_slices(batch, "text"):
                 part = batch.slice(low, high - low)
                 data, offsets = text_bytes(part.column("text"))
-                places, hashes = samples(data, offsets)
+                places, values, _, _ = samples(data, offsets)
                 if not len(places):
                     continue
                 ids = part.column("d").to_numpy(zero_copy_only=False)
                 rows = (np.searchsorted(offsets, places, side="right") - 1).astype(np.uint32)
-                values = hashes[places]
                 to = (values % np.uint64(parts)).astype(np.int32)
+                values = short(values)
                 order = np.lexsort((rows, values, to))
                 to, rows, values = to[order], rows[order], values[order]
                 new = np.ones(len(to), dtype=bool)
@@ -97,7 +104,7 @@ def sample_blocks(docs: DataFrame, parts: int) -> DataFrame:
                         pa.array([x[0] for x in out], pa.int32()),
                         pa.array([x[1].astype("<i8").tobytes() for x in out], pa.binary()),
                         pa.array([x[2].astype("<u2" if high - low < 1 << 16 else "<u4").tobytes() for x in out], pa.binary()),
-                        pa.array([x[3].astype("<u8").tobytes() for x in out], pa.binary()),
+                        pa.array([x[3].astype("<u4").tobytes() for x in out], pa.binary()),
                     ],
                     ["part", "docs", "rows", "hashes"],
                 )
@@ -109,7 +116,7 @@ def shared_samples(blocks: pa.Table) -> pa.Table:
     """``d, hashes``: of each document the samples that some other document has, too."""
     ids, values = [], []
     for docs, rows, hashes in zip(*(blocks[c].to_pylist() for c in ("docs", "rows", "hashes"))):
-        hashes = np.frombuffer(hashes, "<u8")
+        hashes = np.frombuffer(hashes, "<u4")
         rows = np.frombuffer(rows, "<u2" if len(rows) == 2 * len(hashes) else "<u4")
         ids.append(np.frombuffer(docs, "<i8")[rows])
         values.append(hashes)
@@ -137,23 +144,23 @@ def surroundings(found: DataFrame) -> DataFrame:
             for low, high in text_slices(batch, "text"):
                 part = batch.slice(low, high - low)
                 data, offsets = text_bytes(part.column("text"))
-                places, hashes = samples(data, offsets)
+                places, hashes, lowest, highest = samples(data, offsets)
                 rows = np.searchsorted(offsets, places, side="right") - 1
                 keep = np.zeros(len(places), dtype=bool)
                 bounds = np.searchsorted(rows, np.arange(len(offsets)))
                 for k, blobs in enumerate(part.column("shared").to_pylist()):
                     a, b = bounds[k], bounds[k + 1]
                     if blobs and b > a:
-                        keep[a:b] = np.isin(hashes[places[a:b]], np.frombuffer(b"".join(blobs), "<u8"))
-                places, rows = places[keep], rows[keep]
+                        keep[a:b] = np.isin(short(hashes[a:b]), np.frombuffer(b"".join(blobs), "<u4"))
+                places, rows, hashes = places[keep], rows[keep], hashes[keep]
                 if not len(places):
                     continue
-                begin, end = np.maximum(offsets[rows], places - REACH), np.minimum(offsets[rows + 1], places + KMER + REACH)
+                begin, end = lowest[keep], highest[keep] + LENGTH
                 raw = data.tobytes()
                 around = [raw[a:b] for a, b in zip(begin.tolist(), end.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(hashes[places].view(np.int64), pa.int64()),
+                        pa.array(hashes.view(np.int64), pa.int64()),
                         part.column("d").take(pa.array(rows, pa.int64())),
                         pa.array(places - offsets[rows], pa.int64()),
                         pa.array((places - begin).astype(np.int8), pa.int8()),
@@ -236,26 +243,28 @@ def merged(spans: list[dict], n_bytes: int) -> list[tuple[int, int]]:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """``d, spans, copy`` of the documents (d, text) that lose bytes; ``copy``: all of them."""
-    parts = PARTS_PER_PARTITION * shuffle_partitions(docs.sparkSession)
+    parts = shuffle_partitions(docs.sparkSession)
     digests = docs.select("d", F.xxhash64("text").alias("t"), F.hash("text").alias("u"), F.octet_length("text").alias("n")).filter(F.col("n") >= LENGTH)
     same = ["t", "u", "n"]
     firsts = checkpointed(digests.groupBy(*same).agg(F.min("d").alias("first"), F.count("*").alias("rows")).filter("rows > 1"))
     copies = checkpointed(digests.join(firsts, same).filter("first < d").select("d", F.lit(True).alias("copy")).distinct())
     shared = sample_blocks(docs, parts).groupBy("part").applyInArrow(shared_samples, "d long, hashes binary")
     shared = shared.groupBy("d").agg(F.collect_list("hashes").alias("shared"))  # of one document
-    shared = checkpointed(shared).join(copies, "d", "left_anti")
+    shared = shared.join(copies, "d", "left_anti")
     around = surroundings(docs.join(shared, "d"))
     around = around.withColumn("part", F.pmod("sample", F.lit(parts)))
     spans = around.groupBy("part").applyInArrow(lambda x: repeats(x), "d long, start long, end long")
     spans = spans.groupBy("d").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return checkpointed(spans.join(copies, "d", "full"))
+    return spans.join(copies, "d", "full")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` (the remaining bytes) of every row of ``docs``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    docs = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), text_or_empty().alias("text"))
-    joined = docs.join(repeated_spans(docs.select("d", "text")), "d", "left").select("doc_id", "text", "spans", "copy")
+    # Both joins read the same two columns, so Spark shuffles the texts once for both.
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), text_or_empty().alias("text"))
+    joined = docs.join(repeated_spans(docs), "d", "left")
+    joined = joined.select(F.nullif("d", F.lit(LAST)).cast(kind).alias("doc_id"), "text", "spans", "copy")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
