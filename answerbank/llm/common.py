@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Text handled at once inside a task, in bytes; larger single texts are handled alone.
 SLICE_BYTES = 1 << 20
@@ -130,3 +131,8 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def widened(schema: StructType, **more: str) -> StructType:
+    """A copy of ``schema`` with more columns (``StructType.add`` would change the DataFrame's own)."""
+    return StructType([*schema.fields, *StructType.fromDDL(", ".join(f"`{name}` {kind}" for name, kind in more.items())).fields])

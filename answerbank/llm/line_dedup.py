@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from answerbank.llm.common import checkpointed, span_hashes, table, text_bytes, text_slices
+from answerbank.llm.common import checkpointed, span_hashes, table, text_bytes, text_slices, widened
 
 LEAST_CHARS = 100
 LAST = (1 << 63) - 1
@@ -143,7 +143,7 @@ def remove_repeats(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame
     copies = later_copies(lines).select(F.col("d").alias("__d"), F.col("t").alias("__t"), F.col("copies").alias("__copies"))
     joined = keyed.join(copies, ["__d", "__t"], "left").select(*docs.columns, "__copies")
     kept = [f.name for f in docs.schema.fields]
-    schema = docs.schema.add("__lines", "long").add("__removed", "long")
+    schema = widened(docs.schema, __lines="long", __removed="long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

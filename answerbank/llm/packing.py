@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from answerbank.llm.bpe_tree import MergeTree, load_encoding
-from answerbank.llm.common import checkpointed, table, text_or_empty
+from answerbank.llm.common import checkpointed, table, text_or_empty, widened
 
 CAPACITY = 1024
 END_ID = 2
@@ -125,7 +125,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_P
     """
     columns = pieces.columns
     pieces = checkpointed(pieces.withColumn("__row", F.monotonically_increasing_id()))
-    schema = pieces.schema.add("__part", "long").add("sequence_id", "long").add("offset", "long").add("__open", "boolean")
+    schema = widened(pieces.schema, __part="long", sequence_id="long", offset="long", __open="boolean")
 
     def packer(k: int, last: bool):
         def run(rows: pa.Table) -> pa.Table:

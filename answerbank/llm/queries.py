@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from answerbank.llm import ann_collision, bpe_tree, html_template, jaccard_join, langid, line_dedup, merkle, packing, suffix_dedup
+from answerbank.llm import ann_collision, bpe_tree, html_template, jaccard_join, langid, line_dedup, merkle, packing, pii_feistel, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_template": html_template.extracted_pages,
     "op2_bpe_tree": bpe_tree.roundtrip,
     "op3_ann_collision": ann_collision.nearest_embeddings,
+    "op4_pii_feistel": pii_feistel.pseudonymised_documents,
     "op5_merkle": merkle.fingerprinted_documents,
     "op6_langid": langid.predicted_documents,
     "op7_jaccard_join": jaccard_join.linked_documents,

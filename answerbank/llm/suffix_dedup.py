@@ -34,6 +34,7 @@ KMER = 16
 #: Bytes on each side of a sampled string that a string of LENGTH bytes over it can reach.
 REACH = LENGTH - KMER
 LAST = (1 << 63) - 1
+LEAST_PARTS = 48
 
 
 def kmer_hashes(data: np.ndarray) -> np.ndarray:
@@ -243,7 +244,7 @@ def merged(spans: list[dict], n_bytes: int) -> list[tuple[int, int]]:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """``d, spans, copy`` of the documents (d, text) that lose bytes; ``copy``: all of them."""
-    parts = shuffle_partitions(docs.sparkSession)
+    parts = max(LEAST_PARTS, shuffle_partitions(docs.sparkSession))
     digests = docs.select("d", F.xxhash64("text").alias("t"), F.hash("text").alias("u"), F.octet_length("text").alias("n")).filter(F.col("n") >= LENGTH)
     same = ["t", "u", "n"]
     firsts = checkpointed(digests.groupBy(*same).agg(F.min("d").alias("first"), F.count("*").alias("rows")).filter("rows > 1"))
