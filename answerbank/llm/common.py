@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Text handled at once inside a task, in bytes; larger single texts are handled alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,7 +96,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
     if n > 1 << 22:
         return build(n)
-    size = max(1 << 16, 1 << (n - 1).bit_length()) if n else 1 << 16
+    size = max(1 << 19, 1 << (n - 1).bit_length()) if n else 1 << 19
     return process_cache(f"powers_{size}", lambda: build(size))
 
 

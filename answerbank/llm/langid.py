@@ -166,17 +166,18 @@ def predict(
     """The columns ``keep``, the language, its proportion (score) and all proportions, named ``names``."""
     fields = [docs.schema[c] for c in keep]
     columns = [f.name for f in fields]
+    text_name = "text" if "text" in columns else "__text"
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields)
     schema += "{} string, {} double, {} map<string,double>".format(*names)
-    limit = max(1 << 14, (1 << 22) // max(1, len(model.languages)))
+    limit = max(1 << 14, (1 << 20) // max(1, len(model.languages)))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x MAX_LANGUAGES floats at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            for low, high in text_slices(batch, "__text", limit):
+            for low, high in text_slices(batch, text_name, limit):
                 part = batch.slice(low, high - low)
-                texts = part.column("__text")
+                texts = part.column(text_name)
                 shares = mixtures(model, texts)
                 lang, score, all_shares = [], [], []
                 for text, share in zip(texts, shares):
@@ -193,7 +194,7 @@ def predict(
                 out |= {names[0]: pa.array(lang, pa.string()), names[1]: pa.array(score, pa.float64())}
                 yield pa.RecordBatch.from_pydict(out | {names[2]: pa.array(all_shares, pa.map_(pa.string(), pa.float64()))})
 
-    return docs.select(*columns, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*columns, *([] if "text" in columns else [F.col("text").alias(text_name)])).mapInArrow(run, schema)
 
 
 def predicted_documents(spark, sf_dir: str) -> DataFrame:
