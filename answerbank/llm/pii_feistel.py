@@ -43,8 +43,8 @@ FORMATS = {
     "number": r"(?<![A-Za-z0-9])[0-9](?:[ -]?[0-9]){11,18}(?![A-Za-z0-9])",
 }
 FINDER = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in FORMATS.items()))
-#: Any value holds an @, or two digits, or is a long run of hexadecimal letters.
-HINT = re.compile(r"@|[0-9]{2}|[0-9][.][0-9]|[a-fA-F]{32}")
+#: Any value holds an @, or two digits, or is a long run of hexadecimal digits.
+HINT = re.compile(r"@|[0-9]{2}|[0-9][.][0-9]|[0-9a-fA-F]{32}")
 
 
 class Feistel:
