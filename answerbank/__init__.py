@@ -6,5 +6,5 @@ try:  # ship this package's functions to Python workers by value (no install nee
     from pyspark import cloudpickle as _cloudpickle
 
     _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
-except Exception:  # pragma: no cover - older cloudpickle
+except ImportError:  # pragma: no cover - no bundled cloudpickle
     pass
