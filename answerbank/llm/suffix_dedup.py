@@ -138,7 +138,7 @@ def shared_samples(blocks: pa.Table) -> pa.Table:
 
 
 def surroundings(found: DataFrame) -> DataFrame:
-    """``part, d, place, ahead, around``: shared samples with the bytes round them (``ahead`` of them before)."""
+    """``sample, d, place, ahead, around``: shared samples with the bytes round them (``ahead`` of them before)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,7 +188,8 @@ def repeats(bucket: pa.Table) -> pa.Table:
     powers, inverse = np.cumprod(powers), np.cumprod(inverse)
     out_ids, out_start, out_end = [], [], []
     # Rows of one sampled string stay together; a bucket is sorted at a time, in runs of bounded size.
-    sample = bucket["sample"].to_numpy()
+    at = (bounds[:-1] + ahead)[:, None] + np.arange(8)
+    sample = data[at].view("<u8").reshape(-1) if len(at) else np.zeros(0, np.uint64)  # its first bytes
     order = np.argsort(sample, kind="stable")
     edges = np.flatnonzero(np.concatenate(([True], sample[order][1:] != sample[order][:-1], [True])))
     cuts, last = [0], 0
@@ -253,7 +254,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     shared = shared.groupBy("d").agg(F.collect_list("hashes").alias("shared"))  # of one document
     shared = shared.join(copies, "d", "left_anti")
     around = surroundings(docs.join(shared, "d"))
-    around = around.withColumn("part", F.pmod("sample", F.lit(parts)))
+    around = around.withColumn("part", F.pmod("sample", F.lit(parts)).cast("int")).drop("sample")
     spans = around.groupBy("part").applyInArrow(lambda x: repeats(x), "d long, start long, end long")
     spans = spans.groupBy("d").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     return spans.join(copies, "d", "full")
