@@ -13,7 +13,9 @@ Pairs left out lie in one component already, so no component changes.
 
 Frequent tokens are those that more than ``n / MOST_FREQUENT`` (``FREQUENT`` at least) documents hold in their prefix by hash,
 ``n`` being all such holdings: ``MOST_FREQUENT`` tokens at most, which every task knows.  Which tokens are frequent affects speed only.
-A pair of holders must also share so many prefix tokens that, with all tokens after the prefixes, it could link.
+A pair of holders must also share so many prefix tokens that, with all tokens after the prefixes, it could link, and the parity
+words of its sets (bit b: whether an odd number of tokens falls into cell b) must differ in no more bits than linked sets have
+tokens of their own: each such token flips one bit, so the filter is exact.
 
 Defined cases: a text without words (or null) has an empty set and links with nothing; with fewer words than ``WORDS`` the
 whole sequence is its one shingle; rows without an id link with nothing and have no component; rows with the same id are one node.
@@ -40,6 +42,8 @@ FREQUENT, MOST_FREQUENT = 2, 1 << 20
 FEW, CENTRES, ATTEMPTS = 8, 4, 2
 #: Tokens are compared by so many bytes of their hash.
 TOKEN_BYTES = 6
+#: Columns of 64 parity bits a set has.
+PARITY = ("p0", "p1", "p2", "p3")
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,6 +92,12 @@ def first_under(tokens: np.ndarray, factor: int, count: int) -> np.ndarray:
     return np.partition(keys, count - 1)[:count] if count < len(keys) else keys
 
 
+def parity_words(digest: np.ndarray) -> list[int]:
+    """The parity bits of a set, from mixed hashes of its tokens, as signed 64-bit numbers."""
+    cells = np.bincount((digest % np.uint64(64 * len(PARITY))).astype(np.int64), minlength=64 * len(PARITY)) & 1
+    return np.packbits(cells.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
 def per_text(docs: DataFrame, n_words: int, schema: str, rows_of: Callable) -> DataFrame:
     """Rows that ``rows_of(id, tokens)`` yields for each text, by columns of ``schema``."""
     names = [part.split()[0] for part in schema.split(", ")]
@@ -192,9 +202,10 @@ def linked(docs: DataFrame, n_words: int = WORDS, least: Fraction = LEAST) -> Da
             prefix, last = tokens[order].astype(np.int64), (int(rank[order[-1]]), int(tokens[order[-1]]))
         digest = mix64(tokens)
         sums = [int(digest.sum(dtype=np.uint64)), int(mix64(digest ^ np.uint64(ORDERS[0])).sum(dtype=np.uint64))]
-        yield key, n, *(x - (1 << 64) if x >> 63 else x for x in sums), prefix, *last
+        yield key, n, *(x - (1 << 64) if x >> 63 else x for x in sums), prefix, *last, *parity_words(digest)
 
-    described = per_text(docs, n_words, "doc_id long, n int, d1 long, d2 long, prefix array<long>, rank long, last long", described)
+    schema = "doc_id long, n int, d1 long, d2 long, prefix array<long>, rank long, last long, " + ", ".join(f"{p} long" for p in PARITY)
+    described = per_text(docs, n_words, schema, described)
     described = scratch_table(described, "jaccard-docs")
     same = ["n", "d1", "d2"]
     with_words = described.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
@@ -207,6 +218,12 @@ def linked(docs: DataFrame, n_words: int = WORDS, least: Fraction = LEAST) -> Da
     shared = checkpointed(shared.select("token", F.col("x.id").alias("centre"), F.col("x.n").alias("n_centre"), "holders"))
     held = scratch_table(holdings.join(shared, "token"), "jaccard-held")
     near = lambda x, y: F.least(x, y) * den >= F.greatest(x, y) * num
+
+    def alike():
+        """Whether the parity words of ``a`` and ``b`` leave room for a link."""
+        differing = sum(F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in PARITY)
+        return differing * (num + den) <= (F.col("n_a") + F.col("n_b")).cast("long") * (den - num)
+
     stars = held.filter((F.col("id") != F.col("centre")) & near(F.col("n"), F.col("n_centre")))
     stars = checkpointed(stars.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct())
 
@@ -222,7 +239,7 @@ def linked(docs: DataFrame, n_words: int = WORDS, least: Fraction = LEAST) -> Da
     end = F.struct("rank", "last").alias("end")
 
     def facts(side: str, *columns) -> DataFrame:
-        found = with_words.select("doc_id", "n", end, *columns)
+        found = with_words.select("doc_id", "n", *columns)
         return found.select(*(F.col(c).alias(side if c == "doc_id" else f"{c}_{side}") for c in found.columns))
 
     def compared(pairs: DataFrame) -> DataFrame:
@@ -244,7 +261,8 @@ def linked(docs: DataFrame, n_words: int = WORDS, least: Fraction = LEAST) -> Da
 
     def near_enough(pairs: DataFrame) -> DataFrame:
         """Pairs that could link by their sizes and whole prefixes."""
-        pairs = pairs.join(facts("b", "prefix"), "b").join(facts("a", "prefix"), "a").filter(near(F.col("n_a"), F.col("n_b")))
+        pairs = pairs.join(facts("b", *PARITY), "b").join(facts("a", *PARITY), "a").filter(near(F.col("n_a"), F.col("n_b")) & alike())
+        pairs = pairs.select("a", "b").join(facts("b", end, "prefix"), "b").join(facts("a", end, "prefix"), "a")
         common = F.size(F.array_intersect("prefix_a", "prefix_b"))
         return pairs.filter(could_link(common, *(F.col(c) for c in ("n_a", "n_b", "end_a", "end_b")))).select("a", "b")
 
@@ -266,9 +284,10 @@ def linked(docs: DataFrame, n_words: int = WORDS, least: Fraction = LEAST) -> Da
     place = held.join(grouped.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     place = scratch_table(place.filter(F.col("id") != F.col("centre")).select("token", "id", "n", "component"), "jaccard-place")
     mixed = place.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
-    place = checkpointed(place.join(checkpointed(mixed), "token", "left_semi"))
-    of = lambda side: place.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "component")))
-    apart = of("a").join(of("b"), "token")
+    place = place.join(checkpointed(mixed), "token", "left_semi")
+    place = checkpointed(place.join(with_words.select(F.col("doc_id").alias("id"), *PARITY), "id"))
+    of = lambda side: place.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "component", *PARITY)))
+    apart = of("a").join(of("b"), "token").filter(alike())
     apart = apart.filter((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & near(F.col("n_a"), F.col("n_b")))
     # Here every shared prefix token of a pair counts, but for pairs compared as stars already.
     apart = apart.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.col("n_a").alias("x"), F.col("n_b").alias("y"))
@@ -276,7 +295,7 @@ def linked(docs: DataFrame, n_words: int = WORDS, least: Fraction = LEAST) -> Da
     # First by whichever prefix could end first, then by the one that does.
     behind = after_prefix(F.greatest("x", "y"))
     apart = checkpointed(apart.filter((F.col("common") + behind) * (num + den) >= (F.col("x") + F.col("y")) * num))
-    apart = apart.join(facts("b"), "b").join(facts("a"), "a")
+    apart = apart.join(facts("b", end), "b").join(facts("a", end), "a")
     apart = apart.filter(could_link(*(F.col(c) for c in ("common", "n_a", "n_b", "end_a", "end_b"))))
     more = compared(apart.select("a", "b").distinct())
     members = with_words.select("doc_id", *same).join(classes, same).select("doc_id", "n", "class_id")

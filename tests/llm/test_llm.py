@@ -176,6 +176,16 @@ def test_jaccard(spark):
     assert found == jaccard_brute(docs, 3, Fraction(9, 10))
 
 
+def test_parity_words_bound_the_difference():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        shared, mine, other = (rng.integers(0, 1 << 48, rng.integers(0, 90), dtype=np.uint64) for _ in range(3))
+        a, b = np.unique(np.concatenate((shared, mine))), np.unique(np.concatenate((shared, other)))
+        x, y = (jaccard_join.parity_words(jaccard_join.mix64(s)) for s in (a, b))
+        differing = sum(((p ^ q) & (1 << 64) - 1).bit_count() for p, q in zip(x, y))
+        assert len(x) == len(jaccard_join.PARITY) and differing <= len(np.setxor1d(a, b))
+
+
 def test_bytes(spark):
     rng = random.Random(2)
     pool = ["".join(rng.choice("abcdé \n") for _ in range(rng.choice((10, 49, 50, 51, 120)))) for _ in range(20)] + ["a" * 120, "ab" * 60]
