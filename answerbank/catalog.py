@@ -97,14 +97,15 @@ def score_corpus(pred: DataFrame, refs: DataFrame) -> DataFrame:
     A reference without a prediction is an error (never paired by position).
     """
     j = refs.select(F.col("qid"), F.col("answer").alias("reference")).join(
-        pred.select("qid", "prediction"), "qid", "left"
+        pred.select("qid", "prediction", F.lit(True).alias("__found")), "qid", "left"
     )
-    s = j.select(R.rouge("reference", "prediction").alias("r"), F.col("prediction").isNull().alias("missing"))
+    missing = F.raise_error(F.concat(F.lit("no prediction for "), F.col("qid").cast("string")))
+    j = j.withColumn("prediction", F.when(F.col("__found").isNull(), missing).otherwise(F.col("prediction")))
+    s = j.select(R.rouge("reference", "prediction").alias("r"))
     return s.agg(
         F.coalesce(F.avg("r.rouge1"), F.lit(0.0)).alias("rouge1_f1"),
         F.coalesce(F.avg("r.rouge_l"), F.lit(0.0)).alias("rouge_l_f1"),
         F.count("*").alias("rows"),
-        F.sum(F.col("missing").cast("int")).alias("missing"),
     ).select(
         r6(F.col("rouge1_f1")).alias("rouge1_f1"),
         r6(F.col("rouge_l_f1")).alias("rouge_l_f1"),
@@ -1238,9 +1239,9 @@ def prediction_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     to the shared folder and scanned back in one glob read; the folder name becomes the run."""
     source, base, alt = _runs(spark, sf_dir)
     root = _scratch(spark, "runs")
-    FS.write_table(base.select("ID", "prediction").coalesce(1), f"{root}/base", fmt="csv")
+    FS.write_table(base.select("ID", "prediction"), f"{root}/base", fmt="csv")
     sub = B.build_submission(source, alt)
-    B.save_submission(sub.coalesce(1), f"{root}/alt", fmt="csv")
+    B.save_submission(sub, f"{root}/alt", fmt="csv")
     return FS.scan_runs(spark, f"{root}/*/*.csv")
 
 

@@ -162,33 +162,46 @@ def clean_translation(c: Column | str) -> Column:
 def parse_decision(raw: Column | str, reason_chars: int = 160) -> Column:
     """Reply text -> struct(choice, confidence, reason).
 
-    ``<think>…</think>`` blocks are removed; the first ``{…}`` is read as JSON
-    (choice, confidence, reason); otherwise the first standalone A/B letter and
-    a number after "confidence"/"score" are taken. Unknown choice -> A;
+    ``<think>…</think>`` blocks are removed and the first ``{…}`` is read as strict JSON. Of the object a
+    missing key takes its default (A, 0.0, "json"); a null reason reads "None", a boolean one "True" or "False", a boolean confidence 1 or 0,
+    a confidence in quotes as its number. Any other confidence (null, list, word) makes the whole reply plain text: then the first
+    standalone A/B letter and a number after "confidence"/"score" are taken. Unknown choice -> A;
     confidence clamped to [0, 1]; reason cut to ``reason_chars`` characters.
     """
     cleaned = strip_text(F.regexp_replace(fill_empty(raw), r"(?is)<think>.*?</think>", ""))
-    obj = F.regexp_extract(cleaned, r"(?s)(\{.*?\})", 1)
-    has_obj = obj != ""
-    j_choice = F.upper(F.trim(F.get_json_object(obj, "$.choice")))
-    j_conf_raw = F.get_json_object(obj, "$.confidence")
-    j_conf = j_conf_raw.try_cast("double")
-    j_reason = F.coalesce(F.get_json_object(obj, "$.reason"), F.lit("json"))
-    # JSON object that parses: all three come from it (missing keys take defaults).
-    json_ok = has_obj & F.get_json_object(obj, "$").isNotNull() & (j_conf_raw.isNull() | j_conf.isNotNull())
-    f_choice = F.regexp_extract(F.upper(cleaned), r"\b([AB])\b", 1)
-    f_conf = F.regexp_extract(cleaned, r"(?i)(?:confidence|score)\D+([01](?:\.\d+)?)", 1)
-    choice = F.when(json_ok, F.coalesce(j_choice, F.lit("A"))).otherwise(
-        F.when(f_choice == "", F.lit("A")).otherwise(f_choice)
+    reply = F.try_parse_json(F.regexp_extract(cleaned, r"(?s)(\{.*?\})", 1))
+
+    def kind(key: str) -> Column:  # VOID is a JSON null; no value at all is a missing key
+        return F.schema_of_variant(F.try_variant_get(reply, f"$.{key}", "variant"))
+
+    def said(key: str) -> Column:
+        return strip_text(F.try_variant_get(reply, f"$.{key}", "string"))
+
+    number = said("confidence")
+    special = number.rlike(r"(?i)^[+-]?(inf|infinity|nan)$")
+    in_quotes = F.when(special, F.when(number.rlike("(?i)^-i"), 0.0).otherwise(1.0)).when(
+        number.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), number.try_cast("double")
+    )
+    j_conf = (
+        F.when(kind("confidence").isNull(), 0.0)
+        .when(kind("confidence") == "BOOLEAN", F.when(F.lower(number) == "true", 1.0).otherwise(0.0))
+        .otherwise(in_quotes)
     )
-    conf = F.when(json_ok, F.coalesce(j_conf, F.lit(0.0))).otherwise(
-        F.when(f_conf == "", F.lit(0.0)).otherwise(f_conf.cast("double"))
+    j_reason = (
+        F.when(kind("reason").isNull(), "json")
+        .when(kind("reason") == "VOID", "None")
+        .when(kind("reason") == "BOOLEAN", F.initcap(said("reason")))
+        .otherwise(F.try_variant_get(reply, "$.reason", "string"))
     )
-    reason = F.when(json_ok, j_reason).otherwise(F.lit("fallback_parse"))
+    as_json = reply.isNotNull() & j_conf.isNotNull()
+    letter = F.regexp_extract(F.upper(cleaned), r"\b([AB])\b", 1)
+    share = F.regexp_extract(cleaned, r"(?i)(?:confidence|score)\D+([01](?:\.\d+)?)", 1)
+    choice = F.when(as_json, F.upper(said("choice"))).otherwise(letter)
+    conf = F.when(as_json, j_conf).otherwise(F.coalesce(share.try_cast("double"), F.lit(0.0)))
     return F.struct(
-        F.when(choice.isin("A", "B"), choice).otherwise(F.lit("A")).alias("choice"),
+        F.when(choice == "B", "B").otherwise("A").alias("choice"),
         F.greatest(F.lit(0.0), F.least(F.lit(1.0), conf)).alias("confidence"),
-        F.substring(reason, 1, reason_chars).alias("reason"),
+        F.substring(F.when(as_json, j_reason).otherwise("fallback_parse"), 1, reason_chars).alias("reason"),
     )
 
 

@@ -214,20 +214,25 @@ def parse_decision(raw: str) -> tuple[str, str, str]:
     obj = f"regexp_extract({cleaned}, '(?s)(\\{{.*?\\}})', 1)"
     valid = f"({obj} <> '' and coalesce(json_valid({obj}), false))"
 
-    def jx(path: str) -> str:
-        return f"(case when {valid} then json_extract_string({obj}, '{path}') end)"
-
-    conf_raw = jx("$.confidence")
-    j_conf = f"try_cast({conf_raw} as double)"
-    ok = f"({valid} and ({conf_raw} is null or {j_conf} is not null))"
-    j_choice = f"coalesce(upper(trim({jx('$.choice')})), 'A')"
+    doc = f"(case when {valid} then {obj} end)"
+    typ = lambda key: f"json_type({doc}, '$.{key}')"  # noqa: E731 - SQL null: no such key; 'NULL': a JSON null
+    txt = lambda key: f"json_extract_string({doc}, '$.{key}')"
+    num = strip(txt("confidence"))
+    j_conf = (
+        f"(case when {typ('confidence')} is null then 0.0 when {typ('confidence')} = 'BOOLEAN' then (case when {num} = 'true' then 1.0 else 0.0 end) "
+        f"when {typ('confidence')} in ('NULL', 'ARRAY', 'OBJECT') then null else try_cast({num} as double) end)"
+    )
+    ok = f"({valid} and {j_conf} is not null)"
     f_choice = f"regexp_extract(upper({cleaned}), '\\b([AB])\\b', 1)"
     f_conf = f"regexp_extract({cleaned}, '(?i)(?:confidence|score)\\D+([01](?:\\.\\d+)?)', 1)"
-    choice = f"(case when {ok} then {j_choice} else (case when {f_choice} = '' then 'A' else {f_choice} end) end)"
-    conf = f"(case when {ok} then coalesce({j_conf}, 0.0) else (case when {f_conf} = '' then 0.0 else cast({f_conf} as double) end) end)"
-    reason = f"(case when {ok} then coalesce({jx('$.reason')}, 'json') else 'fallback_parse' end)"
+    choice = f"(case when {ok} then coalesce(upper({strip(txt('choice'))}), 'A') else {f_choice} end)"
+    conf = f"(case when {ok} then {j_conf} when {f_conf} = '' then 0.0 else cast({f_conf} as double) end)"
+    reason = (
+        f"(case when not {ok} then 'fallback_parse' when {typ('reason')} is null then 'json' when {typ('reason')} = 'NULL' then 'None' "
+        f"when {typ('reason')} = 'BOOLEAN' then (case when {txt('reason')} = 'true' then 'True' else 'False' end) else {txt('reason')} end)"
+    )
     return (
-        f"(case when {choice} in ('A', 'B') then {choice} else 'A' end)",
+        f"(case when {choice} = 'B' then 'B' else 'A' end)",
         f"greatest(0.0, least(1.0, {conf}))",
         f"substr({reason}, 1, 160)",
     )

@@ -9,8 +9,11 @@ from ``_metadata.file_path`` so one scan covers every run.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 # Text tokens read as missing (the pandas CSV defaults that occur in text data).
 NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -21,6 +24,11 @@ ID_NAMES = ("ID", "Id", "id")
 QUESTION_NAMES = ("Question", "question", "Input", "input", "Source", "source")
 ANSWER_NAMES = ("Answer", "answer", "Target", "target", "Response", "response", "Output", "output")
 LANGUAGE_NAMES = ("Language", "language", "lang", "Lang")
+PREDICTION_NAMES = ("prediction", "TargetRLF1")
+#: What an empty text is written as: quoted, so that it is told from a null (nothing between the commas).
+EMPTY_TEXT = '""'
+#: Stands for a null while a file is read (Spark's own choice, '', would turn quoted empty text into nulls).
+NO_TEXT = "\x00"
 
 
 def _reader(spark: SparkSession):
@@ -46,20 +54,13 @@ def load_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
 
 def infer_roles(columns: list[str], require_answer: bool) -> dict[str, str | None]:
     """First present name per role; ID and question required, answer on demand."""
-    def first(names, required, label):
-        for n in names:
-            if n in columns:
-                return n
-        if required:
-            raise ValueError(f"Could not infer {label} column from columns: {sorted(columns)}")
-        return None
-
-    return {
-        "id": first(ID_NAMES, True, "ID"),
-        "question": first(QUESTION_NAMES, True, "question"),
-        "answer": first(ANSWER_NAMES, require_answer, "answer"),
-        "language": first(LANGUAGE_NAMES, False, "language"),
-    }
+    aliases = {"id": ID_NAMES, "question": QUESTION_NAMES, "answer": ANSWER_NAMES, "language": LANGUAGE_NAMES}
+    roles = {role: next((n for n in names if n in columns), None) for role, names in aliases.items()}
+    needed = ["id", "question"] + ["answer"] * require_answer
+    absent = [role for role in needed if roles[role] is None]
+    if absent:
+        raise ValueError(f"no column serves as {', '.join(absent)} among {columns}")
+    return roles
 
 
 def bind_roles(df: DataFrame, require_answer: bool = False) -> DataFrame:
@@ -78,24 +79,61 @@ def bind_roles(df: DataFrame, require_answer: bool = False) -> DataFrame:
 
 def prediction_layout(df: DataFrame) -> DataFrame:
     """S3: ``(ID, prediction)`` from either layout (``prediction`` or the submission's ``TargetRLF1``)."""
-    col = "prediction" if "prediction" in df.columns else "TargetRLF1"
-    if col not in df.columns or "ID" not in df.columns:
-        raise ValueError("Unsupported prediction format")
+    col = next((c for c in PREDICTION_NAMES if c in df.columns), None)
+    if col is None or "ID" not in df.columns:
+        raise ValueError(f"no ID and prediction among the columns {df.columns}")
     return df.select(F.col("ID").cast("string").alias("ID"), F.col(col).alias("prediction"))
 
 
+def _files_under(spark: SparkSession, pattern: str) -> list[str]:
+    """Non-empty data files that ``pattern`` names, directly or as parts of a folder (a listing; no data is read)."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path  # noqa: SLF001
+    path = jvm_path(pattern)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())  # noqa: SLF001
+    found = []
+    for status in fs.globStatus(path) or []:
+        for entry in fs.listStatus(status.getPath()) if status.isDirectory() else [status]:
+            hidden = entry.getPath().getName().startswith(("_", "."))
+            if entry.isFile() and entry.getLen() and not hidden:
+                found.append(entry.getPath().toString())
+    return sorted(found)
+
+
+def scan_predictions(spark: SparkSession, patterns: list[str]) -> DataFrame:
+    """``(__path, ID, prediction)`` of prediction files that may differ in their columns.
+
+    A CSV scan binds columns by place, so files are grouped by their header (that of the first part, for the parts of one
+    folder) and every layout is one scan. Files without an ID and a known prediction column are left out.
+    """
+    folders: dict[str, list[str]] = {}
+    for pattern in patterns:
+        for path in _files_under(spark, pattern):
+            folder, name = path.rsplit("/", 1)
+            folders.setdefault(folder if name.startswith("part-") else path, []).append(path)
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for paths in folders.values():
+        layouts.setdefault(tuple(_reader(spark).csv(paths[0]).columns), []).extend(paths)
+    out = spark.createDataFrame([], "__path string, ID string, prediction string")
+    for columns, paths in layouts.items():
+        text = next((c for c in PREDICTION_NAMES if c in columns), None)
+        if text is None or "ID" not in columns:
+            continue
+        schema = StructType([StructField(c, StringType()) for c in columns])
+        rows = _reader(spark).schema(schema).option("nullValue", NO_TEXT).csv(paths)
+        out = out.unionByName(rows.select(F.col("_metadata.file_path").alias("__path"), "ID", F.col(text).alias("prediction")))
+    return out
+
+
 def scan_runs(spark: SparkSession, pattern: str) -> DataFrame:
-    """Every run file matching ``pattern`` in one scan: ``(run, ID, prediction)``; run = parent folder."""
-    df = _reader(spark).csv(pattern).select("*", F.col("_metadata.file_path").alias("__path"))
+    """Every run file matching ``pattern``: ``(run, ID, prediction)``; run = parent folder."""
     run = F.element_at(F.split(F.col("__path"), "/"), -2)
-    pred = F.coalesce(F.col("prediction"), F.lit(None)) if "prediction" in df.columns else F.col("TargetRLF1")
-    if "prediction" in df.columns and "TargetRLF1" in df.columns:
-        pred = F.coalesce(F.col("prediction"), F.col("TargetRLF1"))
-    return df.select(run.alias("run"), F.col("ID").cast("string").alias("ID"), pred.alias("prediction"))
+    return scan_predictions(spark, [pattern]).select(run.alias("run"), "ID", "prediction")
 
 
 def read_experiment_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Permissive scan keeping malformed lines in ``_corrupt_record`` (count them, do not fail)."""
+    """Permissive scan keeping malformed lines in ``_corrupt_record`` (count them, do not fail); no file: no rows."""
+    if not _files_under(spark, path):
+        return spark.createDataFrame([], schema + ", _corrupt_record string")
     return (
         _reader(spark)
         .schema(schema + ", _corrupt_record string")
@@ -110,7 +148,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+        w = w.option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", EMPTY_TEXT)
+        w.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     else:
         w.parquet(path)
     return path
@@ -129,28 +168,20 @@ def load_run_list(
 ) -> DataFrame:
     """``(candidate, ID, prediction)`` for every listed run whose files all exist under ``root/<name>/``.
 
-    A run missing any of its files is skipped; no run loading is an error. Each run
-    is left-joined from the source IDs, a missing prediction becomes ''. The
-    existence check lists paths (metadata only); the data is read in one scan.
+    A run missing any of its files is skipped; no run loading is an error. Every file of a run is read (the files
+    hold different IDs; of an ID in several, the first listed file counts). Each run is left-joined from the source IDs, a missing prediction becomes ''.
+    The existence check lists paths (metadata only).
     """
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path  # noqa: SLF001 - Hadoop FS listing, no data read
-    conf = spark._jsc.hadoopConfiguration()  # noqa: SLF001
-    present = []
-    for name in names:
-        ok = True
-        for f in files:
-            p = jvm_path(f"{root.rstrip('/')}/{name}/{f}")
-            if not p.getFileSystem(conf).exists(p):
-                ok = False
-        if ok:
-            present.append(name)
+    root = root.rstrip("/")
+    present = [n for n in names if all(_files_under(spark, f"{root}/{n}/{f}") for f in files)]
     if not present:
-        raise ValueError("No candidate predictions were loaded")
-    paths = [f"{root.rstrip('/')}/{n}/{files[0]}" for n in present]
-    df = _reader(spark).csv(paths)
-    run = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -3)
-    col = "prediction" if "prediction" in df.columns else "TargetRLF1"
-    runs = df.select(run.alias("candidate"), F.col("ID").cast("string").alias("ID"), F.col(col).alias("prediction"))
+        raise ValueError(f"none of the runs {names} under {root} has all of {list(files)}")
+    found = scan_predictions(spark, [f"{root}/{n}/{f}" for n in present for f in files])
+    # a file is <root>/<run>/<file> or, written by Spark, a part below that
+    part = lambda k: F.regexp_extract("__path", f"/([^/]+)/({'|'.join(map(re.escape, files))})(?:/[^/]+)?$", k)
+    run, place = part(1), F.array_position(F.array(*map(F.lit, files)), part(2))
+    first = F.min(F.struct(place.alias("place"), "prediction"))["prediction"].alias("prediction")
+    runs = found.groupBy(run.alias("candidate"), "ID").agg(first)
     # every source ID meets every loaded run: the run names are a literal array expanded per ID
     grid = source.select(F.col("ID").cast("string").alias("ID")).distinct().select(
         "ID", F.explode(F.array(*[F.lit(n) for n in present])).alias("candidate")

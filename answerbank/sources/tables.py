@@ -87,12 +87,28 @@ def bank_and_queries(qa: DataFrame) -> tuple[DataFrame, DataFrame]:
     return bank, queries
 
 
+#: Replies that look like JSON but need care: padding, null, boolean, quoted and broken values.
+ODD_REPLIES = (
+    '{"choice": " b\\n", "confidence": 0.9}',
+    '{"choice": "B", "confidence": true, "reason": false}',
+    '{"choice": "B", "confidence": null, "reason": "x"}',
+    '{"choice": "B", "confidence": " 0.75 ", "reason": null}',
+    '{"choice": "B", "confidence": "high"} score: 0.4',
+    "{'choice': 'B', 'confidence': 0.8}",
+    '{"choice": "B", "confidence": 0.7',
+    '{"choice": null, "reason": 12}',
+    '{"confidence": [0.9], "choice": "B"}',
+)
+
+
 def judge_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Judge replies in four shapes (JSON after a think block, free text, no decision, other JSON)."""
+    """Judge replies: JSON after a think block, free text, no decision, other JSON, and every eleventh an odd shape."""
     e = table(spark, sf_dir, "events")
     num = F.lpad(F.regexp_extract("props", r"([0-9]+)", 1), 2, "0")
+    odd = F.element_at(F.array(*map(F.lit, ODD_REPLIES)), (F.floor(F.col("event_id") / 11) % len(ODD_REPLIES) + 1).cast("int"))
     raw = (
-        F.when(
+        F.when(F.col("event_id") % 11 == 0, odd)
+        .when(
             F.col("event_id") % 4 == 0,
             F.concat(
                 F.lit('<think>n</think>{"choice": "B", "confidence": 0.'),
@@ -109,12 +125,13 @@ def judge_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("id"), raw.alias("raw"))
 
 
-JUDGE_RAW_SQL = """
-select event_id as id, case event_id % 4
-  when 0 then concat('<think>n</think>{"choice": "B", "confidence": 0.',
-                     lpad(regexp_extract(props,'([0-9]+)',1),2,'0'), ', "reason": "', event_type, '"}')
+_ODD_SQL = ", ".join("'" + reply.replace("'", "''") + "'" for reply in ODD_REPLIES)
+JUDGE_RAW_SQL = f"""
+select event_id as id, case when event_id % 11 = 0 then ([{_ODD_SQL}])[(event_id // 11) % {len(ODD_REPLIES)} + 1] else case event_id % 4
+  when 0 then concat('<think>n</think>{{"choice": "B", "confidence": 0.',
+                     lpad(regexp_extract(props,'([0-9]+)',1),2,'0'), ', "reason": "', event_type, '"}}')
   when 1 then concat('Choice b, confidence: 0.', lpad(regexp_extract(props,'([0-9]+)',1),2,'0'))
-  when 2 then 'I am not sure.' else props end as raw
+  when 2 then 'I am not sure.' else props end end as raw
 from events
 """
 

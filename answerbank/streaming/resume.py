@@ -3,9 +3,10 @@
 The reference has no stream operators; its only incremental behaviour is a
 results cache that is appended row by row and skipped on restart. Here the
 cache is a Parquet table in the shared folder: the pending work is an
-anti-join on ID, and every finished batch is appended atomically (a failed
-task re-runs, a failed job leaves no partial files behind), so a restarted
-job continues where the last committed batch ended.
+anti-join on ID and every finished batch is appended, so a restarted job
+continues where the last batch ended. A batch that broke off while its files
+were moved may be there in part: its other IDs stay pending, and
+``latest_per_id`` keeps one row of an ID that was done twice.
 """
 
 from __future__ import annotations
@@ -19,7 +20,9 @@ def read_done(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The results committed so far (empty when the table does not exist yet)."""
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
@@ -29,7 +32,7 @@ def pending(requests: DataFrame, done: DataFrame, id_col: str = "ID") -> DataFra
 
 
 def append_done(results: DataFrame, path: str) -> None:
-    """Commit one batch of results (append mode; the job commit makes it all-or-nothing)."""
+    """Append one batch of results; read them back through ``latest_per_id``."""
     results.write.mode("append").parquet(path)
 
 

@@ -76,3 +76,39 @@ def test_profile_counts(spark):
 def test_rule_grid_size():
     assert len(SW.rule_specs()) == 142
     assert len(SW.retrieval_grid_settings()) == 288
+
+
+def test_repeated_ids_are_errors(spark):
+    src = spark.createDataFrame([("1", "s", 1), ("2", "s", 2)], "ID string, subset string, pos int")
+    runs = spark.createDataFrame([("1", "a"), ("2", "b")], "ID string, prediction string")
+    twice = runs.unionByName(spark.createDataFrame([("1", "c")], runs.schema))
+    dec = spark.createDataFrame([("1", "B", 0.9, "x"), ("1", "A", 0.9, "y")], "ID string, choice string, confidence double, reason string")
+    caps = spark.createDataFrame([("s", 1), ("s", 2)], "subset string, max_words int")
+    for build in (
+        lambda: B.override_by_id(src, runs, twice),
+        lambda: B.override_by_subset(src, twice, runs, ["s"]),
+        lambda: B.judge_gate(src, runs, runs.withColumn("prediction", F.lit("z")), dec, ["s"]),
+        lambda: B.generation_override(src, runs, twice, ["s"]),
+        lambda: B.cap_by_subset(src, runs, caps),
+        lambda: B.build_submission(src, twice),
+    ):
+        with pytest.raises(Exception, match="more than one row for"):
+            build().collect()
+    once = B.build_submission(src, runs)
+    B.validate_submission(once)
+    with pytest.raises(ValueError):
+        B.validate_submission(once.unionByName(once))
+
+
+def test_missing_vector_or_prediction_is_an_error(spark):
+    from answerbank import catalog
+    from answerbank.operators import fusion
+
+    cands = spark.createDataFrame([(1, 1, 0.5), (2, 1, 0.5)], "qid long, pos long, score double")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0])], "id long, vec array<double>")
+    assert fusion.with_dense(cands.where("qid = 1"), vectors, vectors).first()["dense_score"] == 1.0
+    with pytest.raises(Exception, match="no vector for query 2"):
+        fusion.with_dense(cands, vectors, vectors).collect()
+    refs = spark.createDataFrame([(1, "a"), (2, "b")], "qid long, answer string")
+    with pytest.raises(Exception, match="no prediction for 2"):
+        catalog.score_corpus(spark.createDataFrame([(1, "a")], "qid long, prediction string"), refs).collect()

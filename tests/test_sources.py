@@ -57,3 +57,34 @@ def test_run_list_skips_incomplete_runs(spark):
     src = spark.createDataFrame([("1",), ("2",)], "ID string")
     out = sorted(tuple(r) for r in FS.load_run_list(spark, root, ["r1", "r2", "r3"], src).collect())
     assert out == [("r1", "1", "p-r1"), ("r1", "2", "")]
+
+
+def test_csv_keeps_blanks_empty_text_and_nulls(spark):
+    rows = [("1", "  lead and trail  "), ("2", ""), ("3", None), ("4", 'two\nlines, "quoted"'), ("5", " ")]
+    path = os.path.join(_tmp(), "run")
+    FS.write_table(spark.createDataFrame(rows, "ID string, prediction string"), path, fmt="csv")
+    assert sorted(tuple(r) for r in FS.scan_predictions(spark, [path]).select("ID", "prediction").collect()) == rows
+
+
+def test_runs_of_three_layouts(spark):
+    root = _tmp()
+    layouts = {
+        "a": ("ID,prediction", "x,one"),
+        "b": ("ID,matched_id,similarity,prediction,reference", "x,m1,0.5,two,ref"),
+        "c": ("ID,TargetRLF1,TargetR1F1,TargetLLM", "x,three,three,three"),
+        "d": ("ID,score", "x,0.1"),
+    }
+    for name, lines in layouts.items():
+        os.makedirs(os.path.join(root, name))
+        for file, row_id in (("validation.csv", "v"), ("test.csv", "t")):
+            with open(os.path.join(root, name, file), "w") as f:
+                f.write(f"{lines[0]}\n{row_id}{lines[1][1:]}\n")
+    found = sorted(tuple(r) for r in FS.scan_runs(spark, f"{root}/*/test.csv").collect())
+    assert found == [("a", "t", "one"), ("b", "t", "two"), ("c", "t", "three")]
+    source = spark.createDataFrame([("v",), ("t",)], "ID string")
+    listed = FS.load_run_list(spark, root, ["b", "c", "gone"], source, ("validation.csv", "test.csv"))
+    assert sorted(tuple(r) for r in listed.collect()) == [("b", "t", "two"), ("b", "v", "two"), ("c", "t", "three"), ("c", "v", "three")]
+
+
+def test_missing_log_is_empty(spark):
+    assert FS.read_experiment_log(spark, os.path.join(_tmp(), "none.csv"), "experiment_id string").count() == 0
