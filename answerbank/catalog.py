@@ -636,33 +636,44 @@ GATE_SUBSETS = ("s0", "s2")
 GATE_LIMIT = 5
 
 
-@register(
-    "judge_gate",
-    f"""with {_RUNS_SQL}, {_REPLIES_SQL},
+def _judge_gate_sql(which: str) -> str:
+    return f"""with {_RUNS_SQL}, {_REPLIES_SQL},
 dec as (select "ID", {_RC} as choice, {_RF} as confidence, {_RR} as reason from replies),
 j as (select s."ID", s.subset, s.pos, {O.strip('b.prediction')} as bp, {O.strip('a.prediction')} as cp
       from src s left join base b on b."ID" = s."ID" left join alt a on a."ID" = s."ID"),
 e as (select *, subset in {GATE_SUBSETS} and cp <> '' and cp <> bp as elig from j),
 n as (select *, case when elig then row_number() over (partition by subset, elig order by pos) end as n from e),
-g as (select n.*, d.choice, d.confidence as cf, d.reason as rs, elig and n <= {GATE_LIMIT} as judged
+g as (select n.*, d.choice, d.confidence as cf, d.reason as rs, elig and {which} as judged
       from n left join dec d on d."ID" = n."ID")
 select "ID", subset,
   case when judged and choice = 'B' and cf >= 0.68 then cp else bp end as prediction,
   coalesce(judged and choice = 'B' and cf >= 0.68, false) as used_candidate,
   round(case when judged then cf else 0.0 end, 6) as confidence,
   case when judged then rs when elig then 'limit_reached' else 'not_target_subset' end as decision_reason
-from g""",
-)
-def judge_gate_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J20 (+P13 on the replies, A9 via ``used_candidate``): base vs second run, judged on two subsets."""
+from g"""
+
+
+def _judge_gate(spark: SparkSession, sf_dir: str, limit: int | None) -> DataFrame:
     source, base, alt = _runs(spark, sf_dir)
     replies = _qa_replies(source)
     dec = replies.select("ID", X.parse_decision("raw").alias("d")).select("ID", "d.choice", "d.confidence", "d.reason")
-    g = B.judge_gate(source, base, alt, dec, list(GATE_SUBSETS), limit_per_subset=GATE_LIMIT)
+    g = B.judge_gate(source, base, alt, dec, list(GATE_SUBSETS), limit_per_subset=limit)
     return g.select("ID", "subset", "prediction", "used_candidate", r6(F.col("confidence")).alias("confidence"),
                     "decision_reason")
 
 
+@register("judge_gate", _judge_gate_sql("true"))
+def judge_gate_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J20 (+P13 on the replies, A9 via ``used_candidate``): base vs second run, every eligible row of two subsets judged."""
+    return _judge_gate(spark, sf_dir, None)
+
+
+@register("judge_gate_limited", _judge_gate_sql(f"n <= {GATE_LIMIT}"))
+def judge_gate_limited_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J20 with its limit option: the first ``GATE_LIMIT`` eligible rows of a subset in source order are judged."""
+    return _judge_gate(spark, sf_dir, GATE_LIMIT)
+
+
 def _raw_generations(source: DataFrame) -> DataFrame:
     i = F.col("ID")
     raw = (
@@ -678,19 +689,33 @@ _GEN_SQL = f"""gen as (select "ID", {O.clean_generation("raw")} as prediction fr
   when 1 then answer || chr(10) || chr(10) || 'I removed repeated sentences.' else '' end as raw from src))"""
 
 
-@register(
-    "generation_override",
-    f"""with {_RUNS_SQL}, {_GEN_SQL},
+def _generation_override_sql(which: str) -> str:
+    return f"""with {_RUNS_SQL}, {_GEN_SQL},
 j as (select s."ID", s.subset, s.pos, {O.strip('b.prediction')} as bp, {O.strip('g.prediction')} as gp
       from src s left join base b on b."ID" = s."ID" left join gen g on g."ID" = s."ID"),
-t as (select *, subset = 's1' and row_number() over (partition by subset = 's1', subset order by pos) <= 4 as target from j)
-select "ID", case when target and coalesce(gp, '') <> '' then gp else bp end as prediction from t""",
-)
-def generation_override_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J21 + P11: cleaned generated answers for the first 4 rows of subset s1, base elsewhere."""
+t as (select *, subset = 's1' and {which} as target from j)
+select "ID", case when target and coalesce(gp, '') <> '' then gp else bp end as prediction from t"""
+
+
+def _generation_override(spark: SparkSession, sf_dir: str, limit: int | None) -> DataFrame:
     source, base, _ = _runs(spark, sf_dir)
     gen = _raw_generations(source).select("ID", X.clean_generation("raw").alias("prediction"))
-    return B.generation_override(source, base, gen, ["s1"], limit_per_subset=4)
+    return B.generation_override(source, base, gen, ["s1"], limit_per_subset=limit)
+
+
+@register("generation_override", _generation_override_sql("true"))
+def generation_override_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J21 + P11: cleaned generated answers for every row of subset s1, base elsewhere."""
+    return _generation_override(spark, sf_dir, None)
+
+
+@register(
+    "generation_override_limited",
+    _generation_override_sql("row_number() over (partition by subset = 's1', subset order by pos) <= 4"),
+)
+def generation_override_limited_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J21 with its limit option: the first 4 rows of subset s1 in source order."""
+    return _generation_override(spark, sf_dir, 4)
 
 
 @register(

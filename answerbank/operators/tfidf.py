@@ -142,7 +142,7 @@ def weigh(counts: DataFrame, vocab: DataFrame, s: TfidfSettings, keys: list[str]
         v = F.broadcast(v)
     joined = counts.join(v, [*keys, "term"], "inner")
     raw = joined.select(*keys, "id", "term", "tid", (_tf_weight(s) * F.col("idf")).alias("raw"))
-    # The norm is a window over the row key: counts are already clustered by it, so no exchange.
+    # The norm is a window over the row key, so its groups are the terms of one row.
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(*keys, "id")))
     return raw.select(*keys, "id", "term", "tid", (F.col("raw") / norm).alias("w")).where(F.col("w").isNotNull())
 
@@ -162,41 +162,9 @@ def fit_transform(
     # read twice (document frequencies, then weights): keep the exploded counts instead of re-deriving them
     bank_counts = term_counts(bank, bank_id, text_col, s, keys).persist(StorageLevel.MEMORY_AND_DISK)
     n_docs = bank.groupBy(*keys).agg(F.count("*").alias("n"))
-    if s.max_features is None:
-        vocab, bank_post = _fit_uncapped(bank_counts, n_docs, s, keys)
-    else:
-        vocab = fit_vocabulary(bank_counts, n_docs, s, keys)
-        bank_post = weigh(bank_counts, vocab, s, keys)
+    # Document frequencies are counted before the shuffle, and the join back on the term is one AQE can split: a term that
+    # most rows hold never lands in one task.
+    vocab = fit_vocabulary(bank_counts, n_docs, s, keys)
+    bank_post = weigh(bank_counts, vocab, s, keys)
     query_post = weigh(term_counts(queries, query_id, text_col, s, keys), vocab, s, keys)
     return vocab, bank_post, query_post
-
-
-def _fit_uncapped(counts: DataFrame, n_docs: DataFrame, s: TfidfSettings, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Vocabulary and bank postings without a ``max_features`` cut, in two exchanges.
-
-    Document frequency is a window over the term-partitioned counts (no separate
-    aggregate and join back); the l2 norm is a window over the row key. The
-    vocabulary is the distinct terms of the same term-partitioned rows.
-    """
-    if keys:
-        c = counts.join(n_docs, keys, "inner")
-    else:
-        c = counts.withColumn("n", F.lit(int(n_docs.first()["n"])))
-    c = c.withColumn("df", F.count("*").over(Window.partitionBy(*keys, "term")))
-    c = c.where((F.col("df") >= F.lit(s.min_df)) & (F.col("df") <= F.lit(float(s.max_df)) * F.col("n")))
-    n = F.col("n").cast("double")
-    dfc = F.col("df").cast("double")
-    if not s.use_idf:
-        idf = F.lit(1.0)
-    elif s.smooth_idf:
-        idf = F.log((n + 1.0) / (dfc + 1.0)) + 1.0
-    else:
-        idf = F.log(n / dfc) + 1.0
-    c = c.select(*keys, "id", "term", F.xxhash64("term").alias("tid"), "tf", "df", idf.alias("idf")).persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
-    vocab = c.select(*keys, "term", "tid", "df", "idf").dropDuplicates([*keys, "term"])
-    raw = c.select(*keys, "id", "term", "tid", (_tf_weight(s) * F.col("idf")).alias("raw"))
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(*keys, "id")))
-    post = raw.select(*keys, "id", "term", "tid", (F.col("raw") / norm).alias("w")).where(F.col("w").isNotNull())
-    return vocab, post

@@ -77,3 +77,18 @@ def test_blocked_scorer_with_tiny_blocks_equals_term_join(spark, monkeypatch):
     got = {(r["qid"], r["pos"]): round(r["score"], 6) for r in blocked.collect() if r["score"] > 0}
     want = {(r["qid"], r["pos"]): round(r["score"], 6) for r in a.collect() if r["score"] > 0}
     assert got == want
+
+
+def test_a_term_in_every_row_is_counted_before_the_shuffle(spark):
+    from answerbank.operators import tfidf
+
+    bank = spark.createDataFrame([(i, f"common w{i % 7} u{i}") for i in range(300)], "pos long, question string")
+    queries = spark.createDataFrame([(1, "common w3 u10"), (2, "common")], "qid long, question string")
+    settings = tfidf.TfidfSettings(analyzer="word", ngram_min=1, ngram_max=1)
+    vocab, post, asked = tfidf.fit_transform(bank, queries, settings)
+    found = {r["term"]: r["df"] for r in vocab.collect()}
+    assert found["common"] == 300 and found["w3"] == 43 and found["u10"] == 1
+    assert post.count() == 900 and asked.count() == 4
+    plan = post._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and not any("term" in line.split("],", 1)[-1] for line in windows)
