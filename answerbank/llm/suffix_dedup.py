@@ -13,6 +13,8 @@ the input.  Suffixes are compared only as far as ``LENGTH`` bytes, one bucket at
 
 Of documents with equal texts only the one with the smallest id enters the buckets; the others go whole.
 
+Rows are told apart by a hash of id and text, ``r``: what a row loses is found and removed by row, whose it is by id.
+
 Defined cases: a null text reads as empty; texts under ``LENGTH`` bytes lose nothing; rows without an id come after all
 others; rows with the same id lose nothing to each other; other columns are not read.
 """
@@ -35,6 +37,8 @@ KMER = 16
 REACH = LENGTH - KMER
 LAST = (1 << 63) - 1
 LEAST_PARTS = 48
+#: What stands before the bytes round a sampled string: its place in the text, and how many of the bytes come before it.
+HEAD = np.dtype([("place", "<u4"), ("ahead", "u1")])
 
 
 def kmer_hashes(data: np.ndarray) -> np.ndarray:
@@ -78,7 +82,7 @@ def short(hashes: np.ndarray) -> np.ndarray:
 
 
 def sample_blocks(docs: DataFrame, parts: int) -> DataFrame:
-    """``part, docs, rows, hashes``: the samples of a slice of texts by part, packed."""
+    """``part, keys, rows, hashes``: the samples of a slice of texts by part, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,7 +92,7 @@ def sample_blocks(docs: DataFrame, parts: int) -> DataFrame:
                 places, values, _, _ = samples(data, offsets)
                 if not len(places):
                     continue
-                ids = part.column("d").to_numpy(zero_copy_only=False)
+                keys = part.column("r").to_numpy(zero_copy_only=False)
                 rows = (np.searchsorted(offsets, places, side="right") - 1).astype(np.uint32)
                 to = (values % np.uint64(parts)).astype(np.int32)
                 values = short(values)
@@ -99,7 +103,7 @@ def sample_blocks(docs: DataFrame, parts: int) -> DataFrame:
                 to, rows, values = to[new], rows[new], values[new]
                 first = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
                 ends = np.append(first[1:], len(to))
-                out = [(int(to[a]), ids[np.unique(rows[a:b])], np.unique(rows[a:b], return_inverse=True)[1], values[a:b]) for a, b in zip(first, ends)]
+                out = [(int(to[a]), keys[np.unique(rows[a:b])], np.unique(rows[a:b], return_inverse=True)[1], values[a:b]) for a, b in zip(first, ends)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([x[0] for x in out], pa.int32()),
@@ -107,38 +111,38 @@ def sample_blocks(docs: DataFrame, parts: int) -> DataFrame:
                         pa.array([x[2].astype("<u2" if high - low < 1 << 16 else "<u4").tobytes() for x in out], pa.binary()),
                         pa.array([x[3].astype("<u4").tobytes() for x in out], pa.binary()),
                     ],
-                    ["part", "docs", "rows", "hashes"],
+                    ["part", "keys", "rows", "hashes"],
                 )
 
-    return docs.select("d", "text").mapInArrow(run, "part int, docs binary, rows binary, hashes binary")
+    return docs.select("r", "text").mapInArrow(run, "part int, keys binary, rows binary, hashes binary")
 
 
 def shared_samples(blocks: pa.Table) -> pa.Table:
-    """``d, hashes``: of each document the samples that some other document has, too."""
-    ids, values = [], []
-    for docs, rows, hashes in zip(*(blocks[c].to_pylist() for c in ("docs", "rows", "hashes"))):
+    """``r, hashes``: of each row the samples that some other row has, too."""
+    keys, values = [], []
+    for blob, rows, hashes in zip(*(blocks[c].to_pylist() for c in ("keys", "rows", "hashes"))):
         hashes = np.frombuffer(hashes, "<u4")
         rows = np.frombuffer(rows, "<u2" if len(rows) == 2 * len(hashes) else "<u4")
-        ids.append(np.frombuffer(docs, "<i8")[rows])
+        keys.append(np.frombuffer(blob, "<i8")[rows])
         values.append(hashes)
-    ids, values = np.concatenate(ids), np.concatenate(values)
+    keys, values = np.concatenate(keys), np.concatenate(values)
     order = np.argsort(values, kind="stable")
-    ids, values = ids[order], values[order]
+    keys, values = keys[order], values[order]
     first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
     sizes = np.diff(np.append(first, len(values)))
-    several = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
+    several = np.minimum.reduceat(keys, first) != np.maximum.reduceat(keys, first)
     keep = np.repeat(several, sizes)
-    ids, values = ids[keep], values[keep]
-    order = np.argsort(ids, kind="stable")
-    ids, values = ids[order], values[order]
-    first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.zeros(0, np.int64)
-    ends = np.append(first[1:], len(ids)) if len(ids) else first
+    keys, values = keys[keep], values[keep]
+    order = np.argsort(keys, kind="stable")
+    keys, values = keys[order], values[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    ends = np.append(first[1:], len(keys)) if len(keys) else first
     blobs = [values[a:b].tobytes() for a, b in zip(first, ends)]
-    return pa.table({"d": pa.array(ids[first], pa.int64()), "hashes": pa.array(blobs, pa.binary())})
+    return pa.table({"r": pa.array(keys[first], pa.int64()), "hashes": pa.array(blobs, pa.binary())})
 
 
 def surroundings(found: DataFrame) -> DataFrame:
-    """``sample, d, place, ahead, around``: shared samples with the bytes round them (``ahead`` of them before)."""
+    """``sample, d, r, around``: shared samples with the bytes round them, behind a ``HEAD``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,37 +162,41 @@ def surroundings(found: DataFrame) -> DataFrame:
                     continue
                 begin, end = lowest[keep], highest[keep] + LENGTH
                 raw = data.tobytes()
-                around = [raw[a:b] for a, b in zip(begin.tolist(), end.tolist())]
+                heads = np.empty(len(places), HEAD)
+                heads["place"], heads["ahead"] = places - offsets[rows], places - begin
+                heads, n = heads.tobytes(), HEAD.itemsize
+                around = [heads[n * k : n * k + n] + raw[a:b] for k, (a, b) in enumerate(zip(begin.tolist(), end.tolist()))]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(hashes.view(np.int64), pa.int64()),
                         part.column("d").take(pa.array(rows, pa.int64())),
-                        pa.array(places - offsets[rows], pa.int64()),
-                        pa.array((places - begin).astype(np.int8), pa.int8()),
+                        part.column("r").take(pa.array(rows, pa.int64())),
                         pa.array(around, pa.binary()),
                     ],
-                    ["sample", "d", "place", "ahead", "around"],
+                    ["sample", "d", "r", "around"],
                 )
 
-    return found.select("d", "text", "shared").mapInArrow(run, "sample long, d long, place long, ahead byte, around binary")
+    return found.select("d", "r", "text", "shared").mapInArrow(run, "sample long, d long, r long, around binary")
 
 
 def repeats(bucket: pa.Table) -> pa.Table:
-    """``d, start, end``: byte ranges of strings that also start in a document with a smaller id."""
-    ids, place = bucket["d"].to_numpy(), bucket["place"].to_numpy()
-    ahead = bucket["ahead"].to_numpy().astype(np.int64)
+    """``r, start, end``: byte ranges of strings that also start in a document with a smaller id."""
+    ids, keys = bucket["d"].to_numpy(), bucket["r"].to_numpy()
     around = bucket["around"].combine_chunks().cast(pa.large_binary())
     around = pa.concat_arrays(around.chunks) if isinstance(around, pa.ChunkedArray) else around
     bounds = np.frombuffer(around.buffers()[1], np.int64)[around.offset : around.offset + len(around) + 1]
     data = np.frombuffer(around.buffers()[2], np.uint8)
-    sizes = np.diff(bounds)
+    heads = data[bounds[:-1, None] + np.arange(HEAD.itemsize)].view(HEAD).reshape(-1)
+    place, ahead = heads["place"].astype(np.int64), heads["ahead"].astype(np.int64)
+    begins = bounds[:-1] + HEAD.itemsize
+    sizes = bounds[1:] - begins
     span = KMER + 2 * REACH
     powers, inverse = np.ones(span + 1, np.uint64), np.ones(span + 1, np.uint64)
     powers[1:], inverse[1:] = BASE, BASE_INVERSE
     powers, inverse = np.cumprod(powers), np.cumprod(inverse)
-    out_ids, out_start, out_end = [], [], []
+    out_keys, out_start, out_end = [], [], []
     # Rows of one sampled string stay together; a bucket is sorted at a time, in runs of bounded size.
-    at = (bounds[:-1] + ahead)[:, None] + np.arange(8)
+    at = (begins + ahead)[:, None] + np.arange(8)
     sample = data[at].view("<u8").reshape(-1) if len(at) else np.zeros(0, np.uint64)  # its first bytes
     order = np.argsort(sample, kind="stable")
     edges = np.flatnonzero(np.concatenate(([True], sample[order][1:] != sample[order][:-1], [True])))
@@ -203,7 +211,7 @@ def repeats(bucket: pa.Table) -> pa.Table:
         rows = order[low:high]
         column = np.arange(span)
         shift = REACH - ahead[rows]
-        source = bounds[rows][:, None] + column - shift[:, None]
+        source = begins[rows][:, None] + column - shift[:, None]
         inside = (column >= shift[:, None]) & (column < (shift + sizes[rows])[:, None])
         letters = np.where(inside, data[np.clip(source, 0, len(data) - 1)], 0).astype(np.uint64) + np.uint64(1)
         sums = np.zeros((len(rows), span + 1), np.uint64)
@@ -225,11 +233,11 @@ def repeats(bucket: pa.Table) -> pa.Table:
         row, begin = np.nonzero(change == 1)
         _, stop = np.nonzero(change == -1)
         base = place[rows][row] - REACH
-        out_ids.append(ids[rows][row])
+        out_keys.append(keys[rows][row])
         out_start.append(base + begin)
         out_end.append(base + stop - 1 + LENGTH)
     join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    return pa.table({"d": pa.array(join(out_ids), pa.int64()), "start": pa.array(join(out_start), pa.int64()), "end": pa.array(join(out_end), pa.int64())})
+    return pa.table({"r": pa.array(join(out_keys), pa.int64()), "start": pa.array(join(out_start), pa.int64()), "end": pa.array(join(out_end), pa.int64())})
 
 
 def merged(spans: list[dict], n_bytes: int) -> list[tuple[int, int]]:
@@ -244,28 +252,29 @@ def merged(spans: list[dict], n_bytes: int) -> list[tuple[int, int]]:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """``d, spans, copy`` of the documents (d, text) that lose bytes; ``copy``: all of them."""
+    """``r, spans, copy`` of the rows (d, r, text) that lose bytes; ``copy``: all of them."""
     parts = max(LEAST_PARTS, shuffle_partitions(docs.sparkSession))
-    digests = docs.select("d", F.xxhash64("text").alias("t"), F.hash("text").alias("u"), F.octet_length("text").alias("n")).filter(F.col("n") >= LENGTH)
+    digests = docs.select("d", "r", F.xxhash64("text").alias("t"), F.hash("text").alias("u"), F.octet_length("text").alias("n")).filter(F.col("n") >= LENGTH)
     same = ["t", "u", "n"]
     firsts = checkpointed(digests.groupBy(*same).agg(F.min("d").alias("first"), F.count("*").alias("rows")).filter("rows > 1"))
-    copies = checkpointed(digests.join(firsts, same).filter("first < d").select("d", F.lit(True).alias("copy")).distinct())
-    shared = sample_blocks(docs, parts).groupBy("part").applyInArrow(shared_samples, "d long, hashes binary")
-    shared = shared.groupBy("d").agg(F.collect_list("hashes").alias("shared"))  # of one document
-    shared = shared.join(copies, "d", "left_anti")
-    around = surroundings(docs.join(shared, "d"))
+    copies = checkpointed(digests.join(firsts, same).filter("first < d").select("r", F.lit(True).alias("copy")).distinct())
+    shared = sample_blocks(docs, parts).groupBy("part").applyInArrow(shared_samples, "r long, hashes binary")
+    shared = shared.groupBy("r").agg(F.collect_list("hashes").alias("shared"))  # of one row
+    shared = shared.join(copies, "r", "left_anti")
+    around = surroundings(docs.join(shared, "r"))
     around = around.withColumn("part", F.pmod("sample", F.lit(parts)).cast("int")).drop("sample")
-    spans = around.groupBy("part").applyInArrow(lambda x: repeats(x), "d long, start long, end long")
-    spans = spans.groupBy("d").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return spans.join(copies, "d", "full")
+    spans = around.groupBy("part").applyInArrow(lambda x: repeats(x), "r long, start long, end long")
+    spans = spans.groupBy("r").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return spans.join(copies, "r", "full")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` (the remaining bytes) of every row of ``docs``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    # Both joins read the same two columns, so Spark shuffles the texts once for both.
+    # Both joins read the same three columns, so Spark shuffles the texts once for both.
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), text_or_empty().alias("text"))
-    joined = docs.join(repeated_spans(docs), "d", "left")
+    docs = docs.select("d", F.xxhash64("d", "text").alias("r"), "text")
+    joined = docs.join(repeated_spans(docs), "r", "left")
     joined = joined.select(F.nullif("d", F.lit(LAST)).cast(kind).alias("doc_id"), "text", "spans", "copy")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

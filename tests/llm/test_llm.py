@@ -208,6 +208,28 @@ def test_bytes(spark):
         assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == (len(data), sum(gone), spans, kept)
 
 
+def test_bytes_of_rows_that_share_an_id(spark):
+    rng = random.Random(6)
+    pool = ["".join(rng.choice("abcdé \n") for _ in range(rng.choice((49, 50, 60, 120)))) for _ in range(14)]
+    docs = [(rng.choice((None, None, 3, 4, 5, 6, 7, 8)), "".join(rng.choice(pool) for _ in range(rng.randint(0, 4)))) for _ in range(90)]
+    docs += [(1, pool[0] + pool[1]), (None, pool[0] + pool[1]), (None, "only here " * 9), (2, "x" * 70), (2, pool[2] + pool[0])]
+    first = {}
+    for key, text in docs:
+        data = text.encode()
+        for p in range(len(data) - 49):
+            first[data[p : p + 50]] = min(first.get(data[p : p + 50], 1 << 63), 1 << 62 if key is None else key)
+    wanted = []
+    for key, text in docs:
+        data = text.encode()
+        gone = bytearray(len(data))
+        for p in range(len(data) - 49):
+            if first[data[p : p + 50]] < (1 << 62 if key is None else key):
+                gone[p : p + 50] = b"\1" * 50
+        wanted.append((str(key), len(data), bytes(x for x, out in zip(data, gone) if not out)))
+    found = suffix_dedup.without_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, bytes(r.kept)) for r in found) == sorted(wanted)
+
+
 def test_lines(spark):
     rng = random.Random(3)
     pool = ["", "a", "bb", "é" * 30, "dd dd", "x" * 40, "y" * 7]
