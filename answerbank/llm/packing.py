@@ -12,7 +12,9 @@ that does not lower the number of bins is discarded, and the rounds end.
 
 from __future__ import annotations
 
+import json
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from answerbank.llm.bpe_tree import MergeTree, load_encoding
-from answerbank.llm.common import checkpointed, table, text_or_empty, widened
+from answerbank.llm.common import checkpointed, process_cache, table, text_or_empty, widened
 
 CAPACITY = 1024
 END_ID = 2
@@ -33,12 +35,34 @@ ROUNDS = 8
 RELEASE_PER_GAP, RELEASE_LEAST = 16, 32
 
 
+class TokenizerIds:
+    """Ids as the tokenizer file gives them without special tokens of its own: its added tokens count where they stand in the text."""
+
+    def __init__(self, vocabulary: str):
+        def build() -> dict[str, int]:
+            import public_tokenizers
+
+            with open(public_tokenizers.path(vocabulary.removesuffix(".tiktoken") + ".json"), "rb") as file:
+                found = json.load(file)["added_tokens"]
+            if any(x["single_word"] or x["lstrip"] or x["rstrip"] for x in found):
+                raise ValueError(f"{vocabulary}: an added token that is more than its literal text")
+            return {x["content"]: x["id"] for x in found}
+
+        self.tree, self.added = MergeTree(load_encoding(vocabulary)), process_cache("added_" + vocabulary, build)
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.finder = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if longest_first else None
+
+    def encode(self, text: str) -> np.ndarray:
+        parts = self.finder.split(text) if self.finder else [text]  # every second part is an added token
+        return np.concatenate([np.array([self.added[x]], "<u4") if k % 2 else self.tree.encode(x) for k, x in enumerate(parts)])
+
+
 def token_pieces(
     docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", capacity: int = CAPACITY, end_id: int | None = END_ID
 ) -> DataFrame:
     """Pieces of every document: ``doc_id, piece, start, length, ids_crc32``.
 
-    The rank file holds the same vocabulary as ``byte_bpe_50k.json``, hence the same ids.  A null
+    The rank file holds the same vocabulary as ``byte_bpe_50k.json``, hence the same ids; the added tokens come from the latter.  A null
     text reads as empty: its only id is ``end_id`` (without one it has no piece).  A document over
     ``capacity`` is cut so that only its first piece is shorter.  Null and repeated ids are kept:
     each row gives its own pieces.  Other columns are not read.
@@ -46,12 +70,12 @@ def token_pieces(
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = MergeTree(load_encoding(vocabulary))
+        tokenizer = TokenizerIds(vocabulary)
         tail = np.array([] if end_id is None else [end_id], dtype="<u4")
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for k, text in enumerate(batch.column(1)):
-                ids = np.concatenate((tree.encode(text.as_py()), tail))
+                ids = np.concatenate((tokenizer.encode(text.as_py()), tail))
                 first = len(ids) % capacity
                 cuts = [0, *range(first or capacity, len(ids), capacity), len(ids)] if len(ids) else [0]
                 for j, (low, high) in enumerate(zip(cuts, cuts[1:])):

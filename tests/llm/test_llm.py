@@ -68,6 +68,27 @@ def test_rank_file_gives_the_tokenizer_files_ids():
         assert reference.encode(text, add_special_tokens=False).ids == encoding.encode_ordinary(text)
 
 
+def test_pieces_have_the_tokenizer_files_ids(spark):
+    import zlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"a{end}b", end, f"{end}{end} x", f"tail  {end}\n\n y", f"two  {end}  three {end[:-1]} {end.upper()}", f"é{end}" * 700, "none of it"]
+    texts.append("word " * 3000 + end + " \n" * 3000)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r.doc_id, r.start): (r.length, r.ids_crc32) for r in packing.token_pieces(docs).collect()}
+    wanted = {}
+    for k, text in enumerate(texts):
+        ids = [*reference.encode(text, add_special_tokens=False).ids, packing.END_ID]
+        cuts = [0, *range(len(ids) % packing.CAPACITY or packing.CAPACITY, len(ids) + 1, packing.CAPACITY)]
+        for low, high in zip(cuts, cuts[1:]):
+            wanted[k, low] = (high - low, zlib.crc32(np.array(ids[low:high], "<u4").tobytes()))
+    assert found == wanted
+
+
 def test_html():
     page = (
         "<html><head><title>t</title></head><body><header><h1>Site</h1></header><div class='cookie-notice'>cookies</div><nav><a>menu</a></nav>"
