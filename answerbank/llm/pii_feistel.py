@@ -8,6 +8,9 @@ permuted and the sum is made anew, or the permutation is walked on until the val
 So equal values have equal pseudonyms in all documents, different ones different pseudonyms, and nothing but
 the key links them; with the key, values can be read back.  A number that fails the Luhn sum stays a number that fails it.
 
+An IBAN has the length of its country, so words that follow it are not taken for a part of it; for other countries or lengths the
+longest start of the match with a right check sum counts.  Where none has one, the search goes on inside the match.
+
 Defined cases: a null text stays null; a text without such a value stays as it is; other columns stay.
 """
 
@@ -41,8 +44,26 @@ FORMATS = {
     "phone": r"(?<![A-Za-z0-9+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}"
     r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])",
     "number": r"(?<![A-Za-z0-9])[0-9](?:[ -]?[0-9]){11,18}(?![A-Za-z0-9])",
+    # Behind numbers, of which it could be the beginning.
+    "spaced": r"(?<![A-Za-z0-9+])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
+}
+#: IBAN lengths by country.
+IBAN_LENGTHS = {
+    country: int(length)
+    for length, countries in (
+        x.split(":")
+        for x in (
+            "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA"
+            " 23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM"
+            " 28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU"
+        ).split()
+    )
+    for country in countries.split(",")
 }
 FINDER = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in FORMATS.items()))
+IBAN, SECRET = re.compile(FORMATS["iban"]), re.compile(FORMATS["secret"])
+#: What follows a value and can belong to the match of an IBAN pattern, at most.
+CONTEXT = 64
 #: Any value holds an @, or two digits, or is a long run of hexadecimal digits.
 HINT = re.compile(r"@|[0-9]{2}|[0-9][.][0-9]|[0-9a-fA-F]{32}")
 
@@ -151,7 +172,8 @@ def pseudonym(feistel: Feistel, kind: str, value: str, back: bool = False) -> st
     if kind == "ssn":
         valid = lambda x: (a := x[0] * 100 + x[1] * 10 + x[2]) not in (0, 666) and a < 900 and any(x[3:5]) and any(x[5:])
         return put_back(value, "".join(map(str, feistel.walk(kind, digits, [10] * 9, valid, back)))) if valid(digits) else None
-    if kind == "phone":
+    if kind in ("phone", "spaced"):
+        kind = "phone"
         country = len(re.match(r"\+?([0-9]{1,3})(?=[ .(-])|", value)[1] or "") if value[0] == "+" else 0
         rest = feistel.permute(kind, digits[country:], [10] * (len(digits) - country), back)
         return put_back(value, "".join(map(str, digits[:country] + rest)))
@@ -162,20 +184,43 @@ def pseudonym(feistel: Feistel, kind: str, value: str, back: bool = False) -> st
     return put_back(value, "".join(map(str, feistel.walk(kind, digits, [10] * len(digits), fails, back))))
 
 
+def iban_or_secret(text: str, start: int) -> tuple[str, int] | None:
+    """Kind and end of the IBAN or secret that begins at ``start``."""
+    if found := IBAN.match(text, start):
+        ends = [found.end(), *(k for k in range(start, found.end()) if text[k] == " ")]
+        values = [("".join(text[start:end].split(" ")), end) for end in ends]
+        length = IBAN_LENGTHS.get(text[start : start + 2])
+        for compact, end in sorted(values, key=lambda x: (len(x[0]) != length, -len(x[0]))):
+            if 15 <= len(compact) <= 34 and iban_remainder(compact) == 1:
+                return "iban", end
+    found = SECRET.match(text, start)
+    return ("secret", found.end()) if found else None
+
+
 def replace(feistel: Feistel, text: str, back: bool = False) -> tuple[str, int]:
     """``text`` with pseudonyms, and how many values were replaced."""
     if not HINT.search(text):
         return text, 0
-    n = 0
-
-    def one(found: re.Match) -> str:
-        nonlocal n
-        value = pseudonym(feistel, found.lastgroup, found[0], back)
-        n += value is not None
-        return found[0] if value is None else value
-
-    text = FINDER.sub(one, text)
-    return text, n
+    out, n, done, at = [], 0, 0, 0  # done: end of the last value; at: where the search goes on
+    while found := FINDER.search(text, at):
+        kind, (start, end) = found.lastgroup, found.span()
+        if kind in ("iban", "secret"):
+            taken = iban_or_secret(text, start)
+            if taken is None:
+                at = start + 1
+                continue
+            kind, end = taken
+            value = pseudonym(feistel, kind, text[start:end], back)
+            # Walk on until it is found again as the same kind, of the same length.
+            while iban_or_secret(value + text[end : end + CONTEXT], 0) != (kind, len(value)):
+                value = pseudonym(feistel, kind, value, back)
+        else:
+            value = pseudonym(feistel, kind, found[0], back)
+        at = end
+        if value is not None:
+            out += text[done:start], value
+            n, done = n + 1, end
+    return "".join(out) + text[done:], n
 
 
 def pseudonymised(docs: DataFrame, key: bytes = KEY, back: bool = False) -> DataFrame:
