@@ -9,7 +9,8 @@ if tags are among its tokens.  The valid classes of a host nest into its templat
 text that stands once in the same place of every page.  What the template leaves open are slots.
 The main slot is the article: by its tag or role where the page has one, else the deepest template element
 that holds most of the host's free text, else the whole body.  Menus, adverts and the like are told
-by fixed names of tags, roles and classes; template text is never article text.
+by fixed names of tags, roles and classes.  Text in an article or in the main slot stays, however often it repeats: pages share passages,
+and hosts hold near copies.  Template text goes from pages that have neither.
 
 Vectors are unbounded, so they are compared by a fingerprint: two sums of a hash of (page, count)
 over the pages, which Spark adds up before the shuffle.  A template has at most twice as many tokens
@@ -249,11 +250,13 @@ def templates(pages: DataFrame) -> DataFrame:
 
 def main_text(html: str, texts: set[int], slot: int | None, known: dict) -> str:
     """The article's blocks joined by a blank line."""
-    blocks = [b for b in read_page(html, known)[1] if not b[4] and signed(text_token(b[1], b[0])) not in texts]
+    blocks = [b for b in read_page(html, known)[1] if not b[4]]
     if any(b[3] for b in blocks):
         blocks = [b for b in blocks if b[3]]
     elif slot is not None and any(slot in map(signed, b[2]) for b in blocks):
         blocks = [b for b in blocks if slot in map(signed, b[2])]
+    else:
+        blocks = [b for b in blocks if signed(text_token(b[1], b[0])) not in texts]
     return "\n\n".join(b[0] for b in blocks)
 
 

@@ -108,6 +108,24 @@ def test_template_text_goes(spark):
     assert all("own" in found[k] for k in range(9))
 
 
+def test_text_that_pages_share_stays(spark):
+    top, end = "<div>Home of all things</div>", "<div>Made with care</div>"
+    pages, wanted = [], {}
+    for k in range(12):  # a passage on all pages
+        own = f"Own words of page {k} " * 5
+        pages.append((k, f"http://a.example/{k}", f"<html><body>{top}<article><h2>Series</h2><p>{own}</p><p>Shared words</p></article>{end}</body></html>"))
+        wanted[k] = f"Series\n\n{own.strip()}\n\nShared words"
+    same = [f"Paragraph {k} of the copied text " * 4 for k in range(4)]
+    for tag, close, host, base in (("<article>", "</article>", "b", 100), ("<div class=text>", "</div>", "c", 200)):
+        for k in range(12):  # near copies on half of the host, with a list that the others lack
+            texts = [*same, f"copy {k}"] if k % 2 else [f"Other words {k} {j} " * 4 for j in range(5)]
+            body = "".join(f"<p>{x}</p>" for x in texts) + ("<ul><li>An item</li></ul>" if k % 2 else "")
+            pages.append((base + k, f"http://{host}.example/{k}", f"<html><body>{top}{tag}{body}{close}{end}</body></html>"))
+            wanted[base + k] = "\n\n".join([x.strip() for x in texts] + ["An item"] * (k % 2))
+    found = {r.page_id: r.text for r in html_template.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert found == wanted
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(0)
     vectors = rng.normal(size=(600, 16)) * rng.uniform(0.5, 2, size=(600, 1))
