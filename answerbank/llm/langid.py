@@ -151,8 +151,6 @@ def mixtures(model: Model, column: pa.Array) -> np.ndarray:
         better = value > best_value
         best = np.where(better[:, None], share, best)
         best_value = np.maximum(value, best_value)
-        if not better.any():
-            break
     out[some] = best
     return out
 

@@ -198,6 +198,26 @@ def test_languages_of_held_out_rows(spark):
     assert len(rows) > 20 and sum(r.lang == r.lang_pred for r in rows) >= 0.95 * len(rows)
 
 
+def test_shares_do_not_depend_on_the_batch():
+    import pyarrow as pa
+
+    # Languages a and b have the same letters, so two languages are no better than one for a text of a and c; three are.
+    rng = random.Random(9)
+    letters = ("abcdefgh", "abcdefgh", "qrstuvwx", "yz012345")
+    text = lambda k, n: " ".join("".join(rng.choice(letters[k]) for _ in range(5)) for _ in range(n))
+    counts = np.full((langid.BUCKETS, 4), langid.SMOOTHING)
+    for k in (0, 2, 3):
+        np.add.at(counts[:, k], langid.trigrams(pa.array([text(k, 4000)]))[0], 1)
+    counts[:, 1] = counts[:, 0]
+    model = langid.Model(tuple("abcd"), np.log(counts / counts.sum(axis=0)).astype(np.float32))
+    mixed = text(0, 140) + " " + text(2, 60)
+    texts = [mixed, text(2, 90) + " " + text(3, 60), text(3, 40), "", mixed]
+    together = langid.mixtures(model, pa.array(texts))
+    for k, one in enumerate(texts):
+        assert np.array_equal(langid.mixtures(model, pa.array([one]))[0], together[k])
+    assert together[0][2] > 0.2 and together[0][3] == 0
+
+
 def jaccard_brute(docs, width, least):
     sets = []
     for _, text in docs:
