@@ -168,10 +168,11 @@ def predict(
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields)
     schema += "{} string, {} double, {} map<string,double>".format(*names)
     limit = max(1 << 14, (1 << 20) // max(1, len(model.languages)))
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x MAX_LANGUAGES floats at most
+    # Plain values, BUCKETS x MAX_LANGUAGES floats at most: a task needs no install of this package to read them.
+    sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.log_p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        model = Model(*sent.value)
         for batch in batches:
             for low, high in text_slices(batch, text_name, limit):
                 part = batch.slice(low, high - low)
