@@ -21,11 +21,12 @@ repeated ids are judged each by itself; other columns are not read.  A text is h
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from answerbank.llm.common import mix64, table, text_or_empty, text_slices
@@ -173,8 +174,13 @@ def best_of(runs: list[Run]) -> Run | None:
 RUN = "struct<start:long,length:long,period:long>"
 
 
-def periodic_runs(docs: DataFrame, least_exponent: int = LEAST_EXPONENT, least_length: int = LEAST_LENGTH) -> DataFrame:
-    """``doc_id, n_words, runs, best, collapsed`` of every row of ``docs`` (doc_id, text).
+def periodic_runs(
+    docs: DataFrame,
+    least_exponent: int = LEAST_EXPONENT,
+    least_length: int = LEAST_LENGTH,
+    rewrite: Callable[[object, list[bytes]], list[bytes]] | None = None,
+) -> DataFrame:
+    """``doc_id, n_words, runs, best, collapsed`` of every row of ``docs`` (doc_id, text); ``rewrite(doc_id, words)`` may change a text's words first.
 
     ``runs`` are ordered by start and period; ``best`` has the greatest exponent (null without a run); ``collapsed`` is the text's words
     without those that any run holds after its first period, joined by one space.
@@ -189,6 +195,8 @@ def periodic_runs(docs: DataFrame, least_exponent: int = LEAST_EXPONENT, least_l
             for low, high in text_slices(batch, "text"):
                 part = batch.slice(low, high - low)
                 words = [text.as_py().encode().split() for text in part.column("text")]  # splits at just these six bytes
+                if rewrite is not None:
+                    words = [rewrite(key.as_py(), row) for key, row in zip(part.column("doc_id"), words)]
                 numbers: dict[bytes, int] = {}
                 flat = np.array([numbers.setdefault(w, len(numbers)) for row in words for w in row], dtype=np.int64)
                 counts = np.array([len(row) for row in words], dtype=np.int64)
@@ -223,21 +231,21 @@ def periodic_runs(docs: DataFrame, least_exponent: int = LEAST_EXPONENT, least_l
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, schema)
 
 
-def with_periods(doc_id: Column, text: Column) -> Column:
-    """``text`` whose words from place a on repeat with period p, where crc32 of the id is divisible by 10."""
-    h = F.crc32(doc_id.cast("string").cast("binary"))
-    words = F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    n, g = F.size(words).cast("long"), F.floor(h / 10)
+def with_periods(doc_id, words: list[bytes]) -> list[bytes]:
+    """The words of a tenth of all documents repeat, from a place and with a period that crc32 of the id as text gives."""
+    h, n = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1, len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
     a = g % n
-    p = 1 + F.floor((n - a) / (3 + g % 8))
-    repeated = F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + (i - a) % p).cast("int"))))
-    return F.when((h % 10 == 0) & (n > 0), F.array_join(repeated, " ")).otherwise(text)
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + k % p] for k in range(n - a)]
 
 
 def documents_runs(spark, sf_dir: str) -> DataFrame:
     """Query op11: runs of whole texts of documents, of which a tenth repeat words with a period given by their id."""
     docs = table(spark, sf_dir, "documents")
-    found = periodic_runs(docs.select("doc_id", with_periods(F.col("doc_id"), F.col("text")).alias("text")))
+    found = periodic_runs(docs, rewrite=with_periods)
     lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
     listed = F.array_join(F.transform(lines, lambda line: F.concat(line, F.lit("\n"))), "")
     return found.select(
