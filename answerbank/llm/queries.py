@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from answerbank.llm import ann_collision, bpe_tree, html_template, jaccard_join, langid, line_dedup, merkle, packing, periodic_runs, pii_feistel, suffix_dedup, warc
+from answerbank.llm import ann_collision, bpe_tree, cross_tokenizer, html_template, jaccard_join, langid, line_dedup, merkle, packing, periodic_runs, pii_feistel, suffix_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_template": html_template.extracted_pages,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": packing.packed_documents,
     "op11_periodic_runs": periodic_runs.documents_runs,
     "op12_warc": warc.archived_pages,
+    "op13_cross_tokenizer": cross_tokenizer.aligned_documents,
 }
 
 ORACLE: dict[str, str] = {}
