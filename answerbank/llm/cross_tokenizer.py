@@ -7,18 +7,17 @@ texts first.  Byte offsets where tokens of both sides end cut them into groups;
   sequences.  Anchors (and the texts' starts) split a text into windows of token ids; no group crosses one.
 * Memo: a window's groups depend on its ids alone, so they are found once per distinct pair of id tuples and looked up after
   that.  Equal windows of a slice are found by a hash and then compared id by id.
-* Counts: a task keeps its documents in blocks.  A block lists its distinct windows and id pairs with the number of its documents that
-  hold each pair; a document keeps its windows' numbers and how often each occurs.  Pairs are summed over blocks by
+* Counts: a task keeps its documents in blocks.  A block lists its distinct id pairs with the number of its documents that hold each; a
+  document keeps its pairs' numbers in that list and how often each is linked.  Pairs are summed over blocks by
   a grouping, and each block joins the counts of its own pairs back: hot pairs cost one row per block, never one per document.
 
-Defined cases: texts that are null, empty, or not given back byte for byte by either side have no tokens (zeros and an empty
+Defined cases: texts that are null, empty, or not given back byte for byte by side B have no tokens (zeros and an empty
 digest); each row is a document, also with a null or repeated id; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +30,14 @@ from answerbank.llm.bpe_tree import MergeTree, load_encoding
 from answerbank.llm.common import mix64, process_cache, scratch_table, table, text_or_empty, text_slices
 
 SIDE_A, SIDE_B = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
-#: A block ends with the slice that brings it to so many windows, or so many distinct ones.
-BLOCK_WINDOWS, BLOCK_DISTINCT = 1 << 21, 60_000
+#: A block ends with the slice that brings it to so many pairs, each counted once per document.
+BLOCK_PAIRS = 1 << 20
+#: Bytes of text aligned at once; longer texts are handled alone.
+SLICE = 1 << 19
 #: Alignments kept per worker; beyond that the memo starts anew.
-MEMO = 60_000
+MEMO = 100_000
+#: Links of a group from which on its distinct pairs are found first.
+HUGE = 1 << 12
 SPACE = "▁"
 
 
@@ -53,22 +56,25 @@ class Tokenizers:
         self.bytes_b = [self.piece_bytes(k) for k in range(self.pieces.get_piece_size())]
         self.sizes = tuple(np.array([len(x) for x in side], dtype=np.int64) for side in (self.bytes_a, self.bytes_b))
         self.marked = tuple(np.array([x[:1] == b" " for x in side]) for side in (self.bytes_a, self.bytes_b))
+        self.width = len(self.bytes_b)
+        if not {bytes([x]) for x in range(256)} <= set(self.bytes_a):
+            raise ValueError(f"{side_a}: some bytes are no tokens")
+        if len(self.bytes_a) * self.width > 1 << 32:
+            raise ValueError("id pairs of these vocabularies do not fit 32 bits")
+        self.written = [f"{k}{mark}" for k in range(len(self.bytes_a)) for mark in ",|"] + [f"{k}{mark}" for k in range(self.width) for mark in ",;"]
 
     def piece_bytes(self, k: int) -> bytes:
         piece = self.pieces.id_to_piece(k)
         return bytes([int(piece[3:5], 16)]) if self.pieces.is_byte(k) else piece.replace(SPACE, " ").encode()
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
-        """Ids of both sides; None for texts that either side does not give back."""
+        """Ids of both sides; None for texts that side B does not give back (side A has all bytes as tokens and changes none)."""
         out: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(texts)
         some = [k for k, text in enumerate(texts) if text]
         for k, b in zip(some, self.pieces.encode([texts[k] for k in some], num_threads=1)):
             raw = (" " + texts[k]).encode()
-            if b"".join([self.bytes_b[x] for x in b]) != raw:
-                continue
-            a = self.tree.encode(" " + texts[k])
-            if b"".join([self.bytes_a[x] for x in a.tolist()]) == raw:
-                out[k] = a.astype(np.int64), np.array(b, dtype=np.int64)
+            if b"".join(map(self.bytes_b.__getitem__, b)) == raw:
+                out[k] = self.tree.encode(" " + texts[k]).astype(np.int64), np.array(b, dtype=np.int64)
         return out
 
 
@@ -76,31 +82,54 @@ def load_tokenizers(side_a: str, side_b: str) -> Tokenizers:
     return process_cache(f"aligned_{side_a}_{side_b}", lambda: Tokenizers(side_a, side_b))
 
 
-#: Of a window: groups, links, distinct id pairs (a << 32 | b), how often each is linked, the groups as text.
-Alignment = tuple[int, int, tuple[int, ...], tuple[int, ...], str]
-
-
-def alignment(a: list[int], b: list[int], sizes_a: list[int], sizes_b: list[int]) -> Alignment:
-    """Groups and links of one window, whose sides span the same bytes."""
-    found, groups, links = Counter(), [], 0
-    i = j = first_a = first_b = end_a = end_b = 0
-    while i < len(a) or j < len(b):
-        if end_a <= end_b and i < len(a):
-            end_a += sizes_a[i]
-            i += 1
-        else:
-            end_b += sizes_b[j]
-            j += 1
-        if end_a == end_b:
-            mine, theirs = a[first_a:i], b[first_b:j]
-            links += len(mine) * len(theirs)
-            times_b = Counter(theirs)
-            for x, n in Counter(mine).items():
-                for y, m in times_b.items():
-                    found[x << 32 | y] += n * m
-            groups.append(",".join(map(str, mine)) + "|" + ",".join(map(str, theirs)))
-            first_a, first_b = i, j
-    return len(groups), links, tuple(found), tuple(found.values()), ";".join(groups)
+#: Of a window: groups, links, its id pairs (a * ids of B + b), how often each is linked, the groups as text.
+Alignment = tuple[int, int, np.ndarray, np.ndarray, str]
+
+
+def group_product(mine: list[int], theirs: list[int], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct id pairs of one group and how often each is linked."""
+    x, n = np.unique(mine, return_counts=True)
+    y, m = np.unique(theirs, return_counts=True)
+    return (x[:, None] * width + y).ravel(), (n[:, None] * m).ravel()
+
+
+def aligned_windows(a: np.ndarray, b: np.ndarray, count_a: np.ndarray, count_b: np.ndarray, tools: Tokenizers) -> list[Alignment]:
+    """Groups and links of windows given one behind the other; both sides of a window span the same bytes."""
+    ends_a, ends_b = np.cumsum(tools.sizes[0][a]), np.cumsum(tools.sizes[1][b])
+    common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+    of_a, of_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+    n_a, n_b = np.bincount(of_a, minlength=len(common)), np.bincount(of_b, minlength=len(common))
+    first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+    window = np.searchsorted(ends_a[np.cumsum(count_a) - 1], common)  # of each group
+    bounds = np.searchsorted(window, np.arange(len(count_a) + 1))
+    links = n_a * n_b
+    huge = links > HUGE
+    # Every A token with each B token of its group.
+    times = np.where(huge, 0, n_b)[of_a]
+    partner = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first_b[of_a], times)
+    pairs = np.repeat(a, times) * tools.width + b[partner]
+    pair_bounds = np.searchsorted(np.repeat(window[of_a], times), np.arange(len(count_a) + 1)).tolist()
+    # The groups as text: A tokens end with "," or "|", B tokens with "," or ";".
+    written = np.empty(len(a) + len(b), dtype=np.int64)
+    last_a, last_b = np.append(of_a[1:] != of_a[:-1], True), np.append(of_b[1:] != of_b[:-1], True)
+    written[np.arange(len(a)) + first_b[of_a]] = 2 * a + last_a
+    written[np.arange(len(b)) + (first_a + n_a)[of_b]] = 2 * (b + len(tools.bytes_a)) + last_b
+    parts = list(map(tools.written.__getitem__, written.tolist()))
+    ends = np.cumsum(count_a + count_b).tolist()
+    sums = np.concatenate(([0], np.cumsum(links)))
+    totals, n_groups = (sums[bounds[1:]] - sums[bounds[:-1]]).tolist(), np.diff(bounds).tolist()
+    ones = np.ones(max(np.diff(pair_bounds), default=0), dtype=np.int64)
+    out: list[Alignment] = []
+    low = 0
+    for k, high in enumerate(ends):
+        x = pairs[pair_bounds[k] : pair_bounds[k + 1]]
+        out.append((n_groups[k], totals[k], x, ones[: len(x)], "".join(parts[low:high])[:-1]))
+        low = high
+    for g in np.flatnonzero(huge).tolist():
+        more = group_product(a[first_a[g] : first_a[g] + n_a[g]], b[first_b[g] : first_b[g] + n_b[g]], tools.width)
+        n, total, x, often, text = out[window[g]]
+        out[window[g]] = n, total, np.concatenate((x, more[0])), np.concatenate((often, more[1])), text
+    return out
 
 
 class Side:
@@ -145,15 +174,33 @@ def sliced_windows(pair: list[tuple[np.ndarray, np.ndarray]], tools: Tokenizers)
     return *sides, np.searchsorted(base, anchors, side="right") - 1, first, kind
 
 
+def varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Non-negative numbers as bytes of seven bits, the last without the top bit, and the bytes of each."""
+    sizes = np.ones(len(values), dtype=np.int64)
+    for k in range(1, 10):
+        sizes += values >> np.int64(7 * k) > 0
+    starts = np.cumsum(sizes) - sizes
+    out = np.empty(int(sizes.sum()), dtype=np.uint8)
+    for k in range(int(sizes.max(initial=0))):
+        some = sizes > k
+        out[starts[some] + k] = (values[some] >> np.int64(7 * k) & 127) | np.where(sizes[some] > k + 1, 128, 0)
+    return out, sizes
+
+
+def from_varints(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    starts = np.concatenate(([0], np.flatnonzero(raw[:-1] < 128) + 1)) if len(raw) else np.zeros(0, np.int64)
+    shift = 7 * (np.arange(len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw)))))
+    return np.add.reduceat((raw & 127).astype(np.int64) << shift, starts) if len(raw) else np.zeros(0, np.int64)
+
+
 class Block:
     """Documents of a task that look up their counts together."""
 
     def __init__(self) -> None:
-        self.number: dict[tuple[bytes, bytes], int] = {}  # of each distinct window
-        self.known: list[Alignment] = []
         self.docs: list[dict[str, object]] = []
-        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # of each slice: document, window, times
-        self.n_windows = 0
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # of each slice: document, pair, times
+        self.n_held = 0
 
     def add(self, keys: pa.Array, texts: list[str], tools: Tokenizers, memo: dict, groups: bool) -> None:
         encoded = tools.encode(texts)
@@ -165,56 +212,67 @@ class Block:
         if not rows:
             return
         a, b, text_of, first, kind = sliced_windows([encoded[k] for k in rows], tools)
-        number = np.empty(len(first), dtype=np.int64)
-        for k, w in enumerate(first.tolist()):
-            x, y = a.ids[a.low[w] : a.low[w] + a.count[w]], b.ids[b.low[w] : b.low[w] + b.count[w]]
-            key = x.tobytes(), y.tobytes()
-            at = self.number.get(key)
-            if at is None:
-                found = memo.get(key)
-                if found is None:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    found = memo[key] = alignment(x.tolist(), y.tolist(), tools.sizes[0][x].tolist(), tools.sizes[1][y].tolist())
-                at = self.number[key] = len(self.known)
-                self.known.append(found)
-            number[k] = at
-        windows = number[kind]
-        bounds = np.searchsorted(text_of, np.arange(len(rows) + 1)).tolist()
-        listed = windows.tolist()
+        known = self.looked_up(a, b, first, tools, memo)
+        bounds = np.searchsorted(text_of, np.arange(len(rows) + 1))
+        n_groups, n_links = (np.add.reduceat(np.array([x[f] for x in known])[kind], bounds[:-1]).tolist() for f in (0, 1))
+        fragments = list(map([x[4] for x in known].__getitem__, kind.tolist()))
         for t, k in enumerate(rows):
-            mine = [self.known[w] for w in listed[bounds[t] : bounds[t + 1]]]
-            written = ";".join([x[4] for x in mine])
-            docs[k] |= {"n_a": len(encoded[k][0]), "n_b": len(encoded[k][1]), "n_groups": sum([x[0] for x in mine]), "n_links": sum([x[1] for x in mine])}
+            written = ";".join(fragments[bounds[t] : bounds[t + 1]])
+            docs[k] |= {"n_a": len(encoded[k][0]), "n_b": len(encoded[k][1]), "n_groups": n_groups[t], "n_links": n_links[t]}
             docs[k] |= {"groups_sha256": hashlib.sha256(written.encode()).hexdigest()} | ({"groups": written} if groups else {})
-        held, times = np.unique((base + np.array(rows, np.int64)[text_of]) << 32 | windows, return_counts=True)
+        # All pairs of all windows by document, each once with how often it is linked.
+        sizes = np.array([len(x[2]) for x in known], dtype=np.int64)
+        starts, n = np.cumsum(sizes) - sizes, sizes[kind]
+        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[kind], n)
+        document = np.repeat(base + np.array(rows, np.int64)[text_of], n)
+        pairs, often = np.concatenate([x[2] for x in known]), np.concatenate([x[3] for x in known])
+        every = document << 32 | pairs[at]
+        held, times = np.unique(every, return_counts=True)
+        if often.max() > 1:
+            place = np.searchsorted(held, every)
+            times = np.zeros(len(held), dtype=np.int64)
+            np.add.at(times, place, often[at])
         self.held.append((held >> 32, held & 0xFFFFFFFF, times))
-        self.n_windows += len(windows)
+        self.n_held += len(held)
+
+    @staticmethod
+    def looked_up(a: Side, b: Side, first: np.ndarray, tools: Tokenizers, memo: dict) -> list[Alignment]:
+        """The alignment of each window in ``first``, from the memo where its ids were seen before."""
+        raw_a, raw_b, size = a.ids.astype("<u4").tobytes(), b.ids.astype("<u4").tobytes(), 4
+        low_a, low_b = (size * a.low[first]).tolist(), (size * b.low[first]).tolist()
+        end_a, end_b = (size * (a.low + a.count)[first]).tolist(), (size * (b.low + b.count)[first]).tolist()
+        keys = [(raw_a[i:j], raw_b[k:m]) for i, j, k, m in zip(low_a, end_a, low_b, end_b)]
+        found = [memo.get(key) for key in keys]
+        new = np.array([k for k, x in enumerate(found) if x is None], dtype=np.int64)
+        if len(new):
+            counts = a.count[first[new]], b.count[first[new]]
+            ids = [side.ids[np.repeat(side.low[first[new]] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))] for side, n in zip((a, b), counts)]
+            if len(memo) + len(new) > MEMO:
+                memo.clear()
+            for k, one in zip(new.tolist(), aligned_windows(*ids, *counts, tools)):
+                found[k] = memo[keys[k]] = one
+        return found
 
     def full(self) -> bool:
-        return self.n_windows >= BLOCK_WINDOWS or len(self.known) >= BLOCK_DISTINCT
+        return self.n_held >= BLOCK_PAIRS
 
     def rows(self, number: int) -> tuple[list[dict[str, object]], dict[str, object]]:
         """Rows of the documents and of the block."""
-        sizes = np.array([len(x[2]) for x in self.known], dtype=np.int64)
-        starts = np.cumsum(sizes) - sizes
-        pairs = np.array([p for x in self.known for p in x[2]], dtype=np.int64)
-        times = np.array([n for x in self.known for n in x[3]], dtype=np.int64)
-        distinct, codes = np.unique(pairs, return_inverse=True)
+        distinct = np.unique(np.concatenate([x[1] for x in self.held])) if self.held else np.zeros(0, np.int64)
         count = np.zeros(len(distinct), dtype=np.int64)
         for doc in self.docs:
-            doc |= {"block": number, "windows": b"", "times": b""}
-        for doc, window, often in self.held:
-            n = sizes[window]
-            at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[window], n)
-            once = np.unique(np.repeat(doc, n) * len(distinct) + codes[at])
-            count += np.bincount(once % len(distinct), minlength=len(distinct))
-            edges = np.append(np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))), len(doc)).tolist()
-            for low, high in zip(edges, edges[1:]):
-                steps = np.diff(window[low:high], prepend=0)
-                self.docs[int(doc[low])] |= {"windows": steps.astype("<i4").tobytes(), "times": often[low:high].astype("<i4").tobytes()}
-        block = {"block": number, "pairs": distinct, "held_by": count, "sizes": sizes.astype("<i4").tobytes()}
-        return self.docs, block | {"codes": codes.astype("<i4").tobytes(), "links": times.astype("<i8").tobytes()}
+            doc |= {"block": number, "held": b"", "times": b""}
+        for doc, pair, often in self.held:
+            code = np.searchsorted(distinct, pair)
+            count += np.bincount(code, minlength=len(distinct))
+            new = np.concatenate(([True], doc[1:] != doc[:-1]))
+            steps, sizes = varints(np.where(new, code, np.diff(code, prepend=0)))
+            times, more = varints(often)
+            edges = np.flatnonzero(new)
+            cuts = [np.append(np.add.reduceat(x, edges).cumsum() - np.add.reduceat(x, edges), x.sum()).tolist() for x in (sizes, more)]
+            for k, d in enumerate(doc[edges].tolist()):
+                self.docs[d] |= {"held": steps[cuts[0][k] : cuts[0][k + 1]].tobytes(), "times": times[cuts[1][k] : cuts[1][k + 1]].tobytes()}
+        return self.docs, {"block": number, "pairs": distinct, "held_by": count}
 
 
 def blocks(docs: DataFrame, side_a: str = SIDE_A, side_b: str = SIDE_B, groups: bool = False) -> DataFrame:
@@ -222,12 +280,12 @@ def blocks(docs: DataFrame, side_a: str = SIDE_A, side_b: str = SIDE_B, groups:
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = (
         f"block long, doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string, "
-        "windows binary, times binary, pairs array<long>, held_by array<long>, sizes binary, codes binary, links binary"
+        "held binary, times binary, pairs array<long>, held_by array<long>"
     )
     longs = pa.list_(pa.int64())
     kinds = {"groups_sha256": pa.string(), "groups": pa.string(), "pairs": longs, "held_by": longs}
     kinds |= dict.fromkeys(("block", "n_a", "n_b", "n_groups", "n_links"), pa.int64())
-    kinds |= dict.fromkeys(("windows", "times", "sizes", "codes", "links"), pa.binary())
+    kinds |= dict.fromkeys(("held", "times"), pa.binary())
     names = [part.strip().split()[0] for part in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +300,7 @@ def blocks(docs: DataFrame, side_a: str = SIDE_A, side_b: str = SIDE_B, groups:
 
         for batch in batches:
             out = out or pa.schema([(name, kinds.get(name) or batch.schema.field("doc_id").type) for name in names])
-            for low, high in text_slices(batch, "text"):
+            for low, high in text_slices(batch, "text", SLICE):
                 part = batch.slice(low, high - low)
                 block.add(part.column("doc_id"), part.column("text").to_pylist(), tools, memo, groups)
                 if block.full():
@@ -260,47 +318,41 @@ def alignments(docs: DataFrame, side_a: str = SIDE_A, side_b: str = SIDE_B) -> D
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups")
 
 
-def pair_counts(found: DataFrame) -> DataFrame:
-    """``pair, a, b, n, best`` over all ``blocks``: documents that hold the pair linked, and whether none of this A id has more."""
+def pair_counts(found: DataFrame, width: int) -> DataFrame:
+    """``pair, a, b, n, best`` over all ``blocks``: documents that hold the pair linked, and whether no pair of its A id has more.
+
+    ``width``: ids of side B.
+    """
     rows = found.filter("pairs is not null").select(F.explode(F.arrays_zip("pairs", "held_by")).alias("x"))
     counts = rows.groupBy(F.col("x.pairs").alias("pair")).agg(F.sum("x.held_by").alias("n"))
-    counts = counts.select("pair", F.shiftright("pair", 32).alias("a"), F.col("pair").bitwiseAND(0xFFFFFFFF).alias("b"), "n")
-    # The pairs of one A id are as many as side B has ids, at most.
+    counts = counts.select("pair", F.expr(f"pair div {width}").alias("a"), (F.col("pair") % width).alias("b"), "n")
+    # One A id has ``width`` pairs at most.
     return counts.withColumn("best", F.col("n") == F.max("n").over(Window.partitionBy("a")))
 
 
 def linked_counts(docs: DataFrame, side_a: str = SIDE_A, side_b: str = SIDE_B) -> DataFrame:
     """``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256`` of every row of ``docs``."""
     found = scratch_table(blocks(docs, side_a, side_b).drop("groups"), "aligned-blocks")
-    counts = scratch_table(pair_counts(found).select("pair", "n", "best"), "aligned-counts")
+    counts = scratch_table(pair_counts(found, load_tokenizers(side_a, side_b).width).select("pair", "n", "best"), "aligned-counts")
     asked = found.filter("pairs is not null").select(F.col("block").alias("asking"), F.posexplode("pairs").alias("at", "pair"))
     asked = asked.join(counts, "pair").select("asking", "at", "n", "best")
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
-    def summed(left: pa.Table, right: pa.Table) -> pa.Table:
-        is_block = left["sizes"].is_valid()
-        block, docs = left.filter(is_block).to_pylist()[0], left.filter(pa.compute.invert(is_block))
-        n = np.zeros((2, right.num_rows), dtype=np.int64)
-        n[:, right["at"].to_numpy()] = right["n"].to_numpy(), right["best"].to_numpy().astype(np.int64)
-        read = lambda blob, kind: np.frombuffer(blob, kind).astype(np.int64)
-        sizes, codes, links = read(block["sizes"], "<i4"), read(block["codes"], "<i4"), read(block["links"], "<i8")
-        # Each window's links by count and by best, as differences of running sums.
-        sums = np.zeros((2, len(codes) + 1), dtype=np.int64)
-        np.cumsum(n[:, codes] * links, axis=1, out=sums[:, 1:])
-        ends = np.cumsum(sizes)
-        per_window = sums[:, ends] - sums[:, ends - sizes]
+    def summed(docs: pa.Table, counts: pa.Table) -> pa.Table:
+        n = np.zeros((2, counts.num_rows), dtype=np.int64)
+        n[:, counts["at"].to_numpy()] = counts["n"].to_numpy(), counts["best"].to_numpy().astype(np.int64)
         totals = np.zeros((2, docs.num_rows), dtype=np.int64)
-        for k, (steps, often) in enumerate(zip(docs["windows"].to_pylist(), docs["times"].to_pylist())):
+        for k, (steps, often) in enumerate(zip(docs["held"].to_pylist(), docs["times"].to_pylist())):
             if steps:
-                totals[:, k] = per_window[:, np.cumsum(np.frombuffer(steps, "<i4"))] @ np.frombuffer(often, "<i4").astype(np.int64)
+                totals[:, k] = (n[:, np.cumsum(from_varints(steps))] * from_varints(often)).sum(axis=1)
         out = {name: docs[name] for name in names if name not in ("n_best", "count_sum")}
         out |= {"count_sum": pa.array(totals[0]), "n_best": pa.array(totals[1])}
         return pa.table({name: out[name] for name in names})
 
-    left = found.drop("pairs", "held_by").groupBy("block")
+    rows = found.filter("pairs is null").drop("pairs", "held_by").groupBy("block")
     schema = f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-    return left.cogroup(asked.groupBy("asking")).applyInArrow(summed, schema)
+    return rows.cogroup(asked.groupBy("asking")).applyInArrow(summed, schema)
 
 
 def aligned_documents(spark, sf_dir: str) -> DataFrame:

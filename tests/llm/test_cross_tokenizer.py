@@ -98,6 +98,22 @@ def test_small_blocks_and_memo_change_nothing():
     assert dict(zip(block["pairs"], block["held_by"])) == dict(zip(other["pairs"], other["held_by"]))
 
 
+def test_huge_groups_and_varints(monkeypatch):
+    import pyarrow as pa
+
+    tools = X.load_tokenizers(X.SIDE_A, X.SIDE_B)
+    texts = ["🙂🙂 世界 naïve naïve", "it's re-do", "x" * 300]
+    plain, split = X.Block(), X.Block()
+    plain.add(pa.array([0, 1, 2]), texts, tools, {}, True)
+    monkeypatch.setattr(X, "HUGE", 1)
+    split.add(pa.array([0, 1, 2]), texts, tools, {}, True)
+    for x, y in zip(plain.held, split.held):
+        assert all((p == q).all() for p, q in zip(x, y))
+    values = np.array([0, 1, 127, 128, 300, 2**31, 2**40, 5], dtype=np.int64)
+    data, sizes = X.varints(values)
+    assert X.from_varints(data.tobytes()).tolist() == values.tolist() and sizes.sum() == len(data)
+
+
 def test_equal_hashes_of_other_ids_are_told_apart(monkeypatch):
     tools = X.load_tokenizers(X.SIDE_A, X.SIDE_B)
     monkeypatch.setattr(X.Side, "hashes", lambda self, factor: np.zeros(len(self.low), np.uint64))
