@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answerbank.llm.common import BASE, BASE_INVERSE, checkpointed, mix64, shuffle_partitions, table, text_bytes, text_or_empty, text_slices
+from answerbank.llm.common import BASE, checkpointed, mix64, shuffle_partitions, table, text_bytes, text_or_empty, text_slices
 
 LENGTH = 50
 KMER = 16
@@ -190,54 +190,42 @@ def repeats(bucket: pa.Table) -> pa.Table:
     place, ahead = heads["place"].astype(np.int64), heads["ahead"].astype(np.int64)
     begins = bounds[:-1] + HEAD.itemsize
     sizes = bounds[1:] - begins
-    span = KMER + 2 * REACH
-    powers, inverse = np.ones(span + 1, np.uint64), np.ones(span + 1, np.uint64)
-    powers[1:], inverse[1:] = BASE, BASE_INVERSE
-    powers, inverse = np.cumprod(powers), np.cumprod(inverse)
-    out_keys, out_start, out_end = [], [], []
-    # Rows of one sampled string stay together; a bucket is sorted at a time, in runs of bounded size.
-    at = (begins + ahead)[:, None] + np.arange(8)
-    sample = data[at].view("<u8").reshape(-1) if len(at) else np.zeros(0, np.uint64)  # its first bytes
-    order = np.argsort(sample, kind="stable")
-    edges = np.flatnonzero(np.concatenate(([True], sample[order][1:] != sample[order][:-1], [True])))
-    cuts, last = [0], 0
-    for e in edges[1:]:
-        if e - last >= 1 << 14:
-            cuts.append(int(e))
-            last = e
-    if cuts[-1] != len(order):
-        cuts.append(len(order))
-    for low, high in zip(cuts, cuts[1:]):
-        rows = order[low:high]
-        column = np.arange(span)
-        shift = REACH - ahead[rows]
-        source = begins[rows][:, None] + column - shift[:, None]
-        inside = (column >= shift[:, None]) & (column < (shift + sizes[rows])[:, None])
-        letters = np.where(inside, data[np.clip(source, 0, len(data) - 1)], 0).astype(np.uint64) + np.uint64(1)
-        sums = np.zeros((len(rows), span + 1), np.uint64)
-        np.cumsum(letters * powers[:span], axis=1, out=sums[:, 1:])
-        starts = np.arange(REACH + 1)
-        names = mix64((sums[:, LENGTH:] - sums[:, : REACH + 1]) * inverse[: REACH + 1]) + starts.astype(np.uint64)
-        valid = (starts >= shift[:, None]) & (starts + LENGTH <= (shift + sizes[rows])[:, None])
-        flat, owner = names[valid], np.repeat(ids[rows], valid.sum(axis=1))
-        sort = np.argsort(flat, kind="stable")
-        first = np.flatnonzero(np.concatenate(([True], flat[sort][1:] != flat[sort][:-1]))) if len(flat) else np.zeros(0, np.int64)
-        least = np.empty(len(flat), np.int64)
-        if len(flat):
-            least[sort] = np.repeat(np.minimum.reduceat(owner[sort], first), np.diff(np.append(first, len(flat))))
-        gone = np.zeros(valid.shape, dtype=bool)
-        gone[valid] = least < owner
-        padded = np.zeros((len(rows), REACH + 3), np.int8)
-        padded[:, 1:-1] = gone
-        change = np.diff(padded, axis=1)
-        row, begin = np.nonzero(change == 1)
-        _, stop = np.nonzero(change == -1)
-        base = place[rows][row] - REACH
-        out_keys.append(keys[rows][row])
-        out_start.append(base + begin)
-        out_end.append(base + stop - 1 + LENGTH)
-    join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    return pa.table({"r": pa.array(join(out_keys), pa.int64()), "start": pa.array(join(out_start), pa.int64()), "end": pa.array(join(out_end), pa.int64())})
+    # Strings are named column by column: column c holds those that start REACH - c bytes before the sample, so a bucket takes a few
+    # numbers per row at a time, however many rows one sample has.  The name of a column is rolled on from the one before.
+    shift = REACH - ahead
+    letter = lambda c: np.where((c >= shift) & (c < shift + sizes), data[np.clip(begins + c - shift, 0, len(data) - 1)], 0).astype(np.uint64)
+    base, out_of = np.uint64(BASE), np.uint64(pow(BASE, LENGTH, 1 << 64))
+    rolled = np.zeros(len(ids), np.uint64)
+    for c in range(LENGTH):
+        rolled = rolled * base + letter(c)
+    sample = data[(begins + ahead)[:, None] + np.arange(KMER)].view("<u8").reshape(-1, KMER // 8) if len(ids) else np.zeros((0, 2), np.uint64)
+    salt = mix64(sample[:, 0] ^ mix64(sample[:, 1]))  # names of different samples meet only by chance
+    open_from, place_rows, place_starts, place_ends = np.full(len(ids), -1, np.int16), [], [], []
+    for c in range(REACH + 2):
+        gone = np.zeros(len(ids), dtype=bool)
+        if c <= REACH:
+            some = np.flatnonzero((c >= shift) & (c + LENGTH <= shift + sizes))
+            names, owner = mix64(rolled[some]) + salt[some], ids[some]
+            sort = np.argsort(names, kind="stable")
+            first = np.flatnonzero(np.concatenate(([True], names[sort][1:] != names[sort][:-1]))) if len(some) else np.zeros(0, np.int64)
+            if len(some):
+                least = np.minimum.reduceat(owner[sort], first)
+                gone[some[sort]] = np.repeat(least, np.diff(np.append(first, len(some)))) < owner[sort]
+            rolled = rolled * base + letter(c + LENGTH) - letter(c) * out_of
+        begin, stop = np.flatnonzero(gone & (open_from < 0)), np.flatnonzero(~gone & (open_from >= 0))
+        place_rows.append(stop)
+        place_starts.append(open_from[stop].astype(np.int64))
+        place_ends.append(np.full(len(stop), c - 1 + LENGTH))
+        open_from[stop], open_from[begin] = -1, c
+    rows = np.concatenate(place_rows)
+    base_place = place[rows] - REACH
+    return pa.table(
+        {
+            "r": pa.array(keys[rows], pa.int64()),
+            "start": pa.array(base_place + np.concatenate(place_starts), pa.int64()),
+            "end": pa.array(base_place + np.concatenate(place_ends), pa.int64()),
+        }
+    )
 
 
 def merged(spans: list[dict], n_bytes: int) -> list[tuple[int, int]]:
