@@ -77,6 +77,49 @@ def _scores(ref_info: tuple[int, Counter, dict[str, int]], prediction: str | Non
     return _f(overlap, len(pred), n_ref), _f(_lcs_with_masks(n_ref, masks, pred), len(pred), n_ref)
 
 
+class Walk:
+    """A candidate that grows token by token against one reference, readable after every token.
+
+    The bit vector holds the LCS of what was walked so far, and ``left`` how many of each reference token are
+    not matched yet, so one walk scores every prefix of a text.
+    """
+
+    __slots__ = ("n_ref", "masks", "full", "v", "left", "overlap", "n")
+
+    def __init__(self, reference: str | None):
+        self.n_ref, counts, self.masks = _reference(reference)
+        self.full = self.v = (1 << self.n_ref) - 1
+        self.left, self.overlap, self.n = dict(counts), 0, 0
+
+    def fork(self) -> "Walk":
+        """Another walk that goes on from here."""
+        other = object.__new__(Walk)
+        for name in Walk.__slots__:
+            setattr(other, name, getattr(self, name))
+        other.left = dict(self.left)
+        return other
+
+    def extend(self, toks: list[str]) -> None:
+        self.n += len(toks)
+        masks, left, v = self.masks, self.left, self.v
+        for tok in toks:
+            m = masks.get(tok)
+            if m is None:
+                continue
+            u = v & m
+            v = ((v + u) | (v - u)) & self.full
+            if left[tok]:
+                left[tok] -= 1
+                self.overlap += 1
+        self.v = v
+
+    def scores(self) -> tuple[float, float]:
+        """(rouge1 F, rougeL F) of the tokens walked so far."""
+        if not self.n_ref or not self.n:
+            return 0.0, 0.0
+        return _f(self.overlap, self.n, self.n_ref), _f(self.n_ref - self.v.bit_count(), self.n, self.n_ref)
+
+
 def pair_scores(reference: str | None, prediction: str | None) -> tuple[float, float]:
     """(rouge1 F, rougeL F) of one pair; the row-level reference implementation."""
     return _scores(_reference(reference), prediction)

@@ -37,3 +37,19 @@ def test_rouge_udf_matches_python(spark):
     df = spark.createDataFrame(rows, "r string, p string")
     got = [tuple(x) for x in df.select(R.rouge("r", "p").alias("s")).select("s.*").collect()]
     assert got == [R.pair_scores(r or "", p or "") for r, p in rows]
+
+
+def test_walk_scores_every_prefix():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(200):
+        ref, pred = (" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 12))) for _ in range(2))
+        walk, words = R.Walk(ref), pred.split()
+        assert walk.scores() == (0.0, 0.0)
+        for k, word in enumerate(words, start=1):
+            walk.extend(R.tokens(word))
+            assert walk.scores() == R.pair_scores(ref, " ".join(words[:k]))
+            fork = walk.fork()
+            fork.extend(["a", "zz"])
+            assert fork.scores() == R.pair_scores(ref, " ".join(words[:k]) + " a zz")
