@@ -949,30 +949,64 @@ def depth_weight_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-GRID_SUBSET = [s for s in SW.retrieval_grid_settings()
-               if s.analyzer == "char" and (s.ngram_min, s.ngram_max) == (2, 4) and s.max_features == 100000
-               and s.min_df in (1, 2) and not s.binary and s.use_idf]
+GRID = SW.retrieval_grid_settings()
+
+
+def _grid_family_ctes(p: str, listed: list) -> str:
+    """CTE ``{p}cand`` (setting, qid, pos, score) of one n-gram family: terms once, a flag per vocabulary, a sum per setting."""
+    one = listed[0][1]
+    variants = sorted({(s.min_df, s.max_features, s.binary) for _, s in listed})
+    t = f"lower({O.norm('question')})" if one.lowercase else O.norm("question")
+    grams = lambda rel: (
+        f"(select id, term, count(*) as tf from (select id, unnest({O.ngram_list('__u', one)}) as term "
+        f"from (select id, {O.units_sql(t, one)} as __u from {rel})) group by all)")
+    flag = lambda s: f"m{variants.index((s.min_df, s.max_features, s.binary))}"
+    flags = ", ".join(
+        f"df >= {d} and row_number() over (partition by df >= {d} order by {'df' if b else 'ctf'} desc, term) <= {m} as m{v}"
+        for v, (d, m, b) in enumerate(variants))
+    w = lambda s, tf: ("1.0" if s.binary else f"(1.0 + ln({tf}))" if s.sublinear_tf else f"{tf}::double") + (" * idf" if s.use_idf else "")
+    total = lambda x: ", ".join(f"sum(case when {flag(s)} then {x(s)} end) as s{i}" for i, s in listed)
+    norms = total(lambda s: f"({w(s, 'tf')}) * ({w(s, 'tf')})")
+    scores = ", ".join(f"p.s{i} / (sqrt(nq.s{i}) * sqrt(nb.s{i}))" for i, _ in listed)
+    return f"""{p}bt as materialized {grams('bank')}, {p}qt as materialized {grams('qry')},
+{p}st as (select term, count(*) as df, sum(tf) as ctf from {p}bt group by term),
+{p}vo as materialized (select term, ln(((select count(*) from bank) + 1.0) / (df + 1.0)) + 1.0 as idf, {flags} from {p}st),
+{p}b as materialized (select * from {p}bt join {p}vo using (term)), {p}q as materialized (select * from {p}qt join {p}vo using (term)),
+{p}nb as (select id, {norms} from {p}b group by id), {p}nq as (select id, {norms} from {p}q group by id),
+{p}pr as (select q.id as qid, q.pos, {', '.join(f's{i}' for i, _ in listed)} from
+  (select q.id, b.id as pos, {total(lambda s: f"({w(s, 'tfq')}) * ({w(s, 'tf')})")}
+   from (select id, term, tf as tfq from {p}qt) q join {p}b b on q.term = b.term group by q.id, b.id) q),
+{p}cand as (select qid, pos, unnest([{', '.join(str(i) for i, _ in listed)}]) as setting, unnest([{scores}]) as score
+  from {p}pr p join {p}nq nq on nq.id = p.qid join {p}nb nb on nb.id = p.pos)"""
 
 
 def _grid_sql() -> str:
-    parts, ctes = [], []
-    for i, s in enumerate(GRID_SUBSET):
-        ctes.append(O.topk_ctes(s, "bank", "qry", 1, [], f"k{i}_"))
-        ctes.append(f"""k{i}_j as (select coalesce(q.answer, '') as reference, coalesce(b.answer, '') as prediction
-   from qry q left join k{i}_top t on t.qid = q.id left join bank b on b.pos = t.pos)""")
-        ctes.append(f"k{i}_s as ({O.rouge_select(f'k{i}_j', 'reference', 'prediction', '1 as one')})")
-        parts.append(f"""select {i} as setting, '{s.analyzer}' as analyzer, {s.ngram_min} as ngram_min, {s.ngram_max} as ngram_max,
-  {s.min_df} as min_df, {str(s.sublinear_tf).lower()} as sublinear_tf, {str(s.binary).lower()} as binary,
-  {str(s.use_idf).lower()} as use_idf, round(coalesce(avg(r1), 0), 6) as rouge1_f1, round(coalesce(avg(rl), 0), 6) as rouge_l_f1,
-  round(0.5 * coalesce(avg(r1), 0) + 0.5 * coalesce(avg(rl), 0), 6) as weighted_without_llm from k{i}_s""")
-    return f"with {_qa_cte(T.CONV_QA_SQL)}, {', '.join(ctes)} " + " union all ".join(parts)
+    families: dict[tuple, list] = {}
+    for i, s in enumerate(GRID):
+        families.setdefault(SW._family(s), []).append((i, s))
+    ctes = ", ".join(_grid_family_ctes(f"f{k}_", listed) for k, listed in enumerate(families.values()))
+    union = " union all ".join(f"select setting, qid, pos, score from f{k}_cand" for k in range(len(families)))
+    rows = ", ".join(
+        f"({i}, '{s.analyzer}', {s.ngram_min}, {s.ngram_max}, {s.max_features}, {s.min_df}, {s.sublinear_tf}, {s.binary}, {s.use_idf})"
+        for i, s in enumerate(GRID))
+    return f"""with {_qa_cte(T.CONV_QA_SQL)}, {ctes},
+grid(setting, analyzer, ngram_min, ngram_max, max_features, min_df, sublinear_tf, "binary", use_idf) as (values {rows}),
+cand as (select setting, qid, pos, max(score) as score from ({union} union all
+  select setting, qry.id, (select min(pos) from bank), 0.0 from qry, grid) group by all),
+best as materialized (select * from cand qualify row_number() over (partition by setting, qid order by round(coalesce(score, 0), 9) desc, pos) = 1),
+pairs as materialized (select distinct b.qid, b.pos, coalesce(q.answer, '') as reference, coalesce(k.answer, '') as prediction
+  from best b join qry q on q.id = b.qid join bank k on k.pos = b.pos),
+scored as materialized ({O.rouge_select('pairs', 'reference', 'prediction', 'qid, pos')}),
+means as (select setting, avg(r1) as rouge1_f1, avg(rl) as rouge_l_f1 from best join scored using (qid, pos) group by setting)
+select grid.*, round(coalesce(rouge1_f1, 0), 6) as rouge1_f1, round(coalesce(rouge_l_f1, 0), 6) as rouge_l_f1,
+  round(coalesce(0.5 * rouge1_f1 + 0.5 * rouge_l_f1, 0), 6) as weighted_without_llm from grid left join means using (setting)"""
 
 
 @register("retrieval_grid", _grid_sql())
 def retrieval_grid_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K1 on a 4-point slice of the 288-setting grid (char 2-4, min_df 1/2, sublinear off/on)."""
+    """K1: all 288 settings over the whole bank and all queries, best first."""
     bank, q = T.bank_and_queries(T.conv_qa(spark, sf_dir))
-    g = SW.retrieval_grid(spark, bank, q, GRID_SUBSET)
+    g = SW.retrieval_grid(spark, bank, q, GRID)
     return g.select(*[c for c in g.columns if c not in ("rouge1_f1", "rouge_l_f1", "weighted_without_llm")],
                     *[r6(F.col(c)).alias(c) for c in ("rouge1_f1", "rouge_l_f1", "weighted_without_llm")])
 

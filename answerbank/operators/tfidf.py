@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from answerbank.functions.ngrams import ngrams_from_units, units
 from answerbank.functions.text import normalize_ws
-from answerbank.plans.ranking import global_rank
 
 
 @dataclass(frozen=True)
@@ -104,7 +103,7 @@ def fit_vocabulary(
         stats = stats.withColumn("n", F.lit(int(n_docs.first()["n"])))
     stats = stats.where((F.col("df") >= F.lit(s.min_df)) & (F.col("df") <= F.lit(float(s.max_df)) * F.col("n")))
     if s.max_features is not None:
-        # read by the size check and by the vocabulary itself
+        # read by the histogram and by the vocabulary itself
         stats = _limit_features(stats.persist(StorageLevel.MEMORY_AND_DISK), s.max_features, keys)
     n = F.col("n").cast("double")
     dfc = F.col("df").cast("double")
@@ -117,16 +116,30 @@ def fit_vocabulary(
     return stats.select(*keys, "term", F.xxhash64("term").alias("tid"), "df", "ctf", idf.alias("idf"))
 
 
+#: Characters of a term by which equal frequencies are told apart before single terms are ranked (affects speed only).
+TIE_PREFIX = 4
+
+
 def _limit_features(stats: DataFrame, limit: int, keys: list[str]) -> DataFrame:
     """Keep the ``limit`` terms with the highest corpus frequency per key (ties: term ascending).
 
-    A cheap count first: when every key already fits, nothing is ranked.
+    Selection by counting: a histogram of frequencies and its running sum show which frequencies fit whole and which one
+    the cut falls into; that one's terms are divided the same way by their first characters, and only the terms of the prefix
+    that the cut falls into are ranked.  No sort of all terms and no other plan for small vocabularies.
     """
-    sizes = stats.groupBy(*keys).count()
-    if sizes.where(F.col("count") > limit).limit(1).count() == 0:
-        return stats
-    ranked = global_rank(stats, keys, [F.col("ctf").desc(), F.col("term").asc()], rank_col="__r")
-    return ranked.where(F.col("__r") <= limit).drop("__r")
+    columns = stats.columns
+    undecided, kept = stats.withColumn("__room", F.lit(limit).cast("long")), []
+    for value, order in ((F.col("ctf"), F.desc), (F.substring("term", 1, TIE_PREFIX), F.asc)):
+        valued = undecided.withColumn("__v", value)
+        hist = valued.groupBy(*keys, "__v").agg(F.count("*").alias("__c"), F.first("__room").alias("__r"))
+        above = Window.partitionBy(*keys).orderBy(order("__v")).rowsBetween(Window.unboundedPreceding, -1)
+        hist = hist.withColumn("__left", F.col("__r") - F.coalesce(F.sum("__c").over(above), F.lit(0))).where("__left > 0").drop("__r")
+        marked = valued.join(hist, [*keys, "__v"])
+        kept.append(marked.where("__c <= __left").select(*columns))
+        undecided = marked.where("__c > __left").select(*columns, F.col("__left").alias("__room"))
+    ranked = undecided.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy("term")))
+    kept.append(ranked.where("__rank <= __room").select(*columns))
+    return kept[0].unionByName(kept[1]).unionByName(kept[2])
 
 
 def weigh(counts: DataFrame, vocab: DataFrame, s: TfidfSettings, keys: list[str] | None = None) -> DataFrame:
