@@ -33,9 +33,9 @@ SIDE_A, SIDE_B = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 #: A block ends with the slice that brings it to so many pairs, each counted once per document.
 BLOCK_PAIRS = 1 << 20
 #: Bytes of text aligned at once; longer texts are handled alone.
-SLICE = 1 << 19
+SLICE = 1 << 20
 #: Alignments kept per worker; beyond that the memo starts anew.
-MEMO = 100_000
+MEMO = 250_000
 #: Links of a group from which on its distinct pairs are found first.
 HUGE = 1 << 12
 SPACE = "▁"
@@ -82,8 +82,8 @@ def load_tokenizers(side_a: str, side_b: str) -> Tokenizers:
     return process_cache(f"aligned_{side_a}_{side_b}", lambda: Tokenizers(side_a, side_b))
 
 
-#: Of a window: groups, links, its id pairs (a * ids of B + b), how often each is linked, the groups as text.
-Alignment = tuple[int, int, np.ndarray, np.ndarray, str]
+#: Of a window: groups, links, its id pairs (a * ids of B + b), how often each is linked (None: once), the groups as text.
+Alignment = tuple[int, int, np.ndarray, np.ndarray | None, str]
 
 
 def group_product(mine: list[int], theirs: list[int], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,16 +118,16 @@ def aligned_windows(a: np.ndarray, b: np.ndarray, count_a: np.ndarray, count_b:
     ends = np.cumsum(count_a + count_b).tolist()
     sums = np.concatenate(([0], np.cumsum(links)))
     totals, n_groups = (sums[bounds[1:]] - sums[bounds[:-1]]).tolist(), np.diff(bounds).tolist()
-    ones = np.ones(max(np.diff(pair_bounds), default=0), dtype=np.int64)
     out: list[Alignment] = []
     low = 0
     for k, high in enumerate(ends):
         x = pairs[pair_bounds[k] : pair_bounds[k + 1]]
-        out.append((n_groups[k], totals[k], x, ones[: len(x)], "".join(parts[low:high])[:-1]))
+        out.append((n_groups[k], totals[k], x, None, "".join(parts[low:high])[:-1]))
         low = high
     for g in np.flatnonzero(huge).tolist():
         more = group_product(a[first_a[g] : first_a[g] + n_a[g]], b[first_b[g] : first_b[g] + n_b[g]], tools.width)
         n, total, x, often, text = out[window[g]]
+        often = np.ones(len(x), dtype=np.int64) if often is None else often
         out[window[g]] = n, total, np.concatenate((x, more[0])), np.concatenate((often, more[1])), text
     return out
 
@@ -147,7 +147,8 @@ class Side:
         self.within = np.arange(len(self.ids)) - np.repeat(self.low, self.count)
 
     def hashes(self, factor: int) -> np.ndarray:
-        mixed = mix64(self.ids.astype(np.uint64) * np.uint64(factor) + mix64(self.within.astype(np.uint64) + np.uint64(factor)))
+        places = mix64(np.arange(int(self.count.max()), dtype=np.uint64) + np.uint64(factor))
+        mixed = mix64(self.ids.astype(np.uint64) * np.uint64(factor) + places[self.within])
         return mix64(np.add.reduceat(mixed, self.low) + self.count.astype(np.uint64))
 
     def differ(self, other: np.ndarray) -> np.ndarray:
@@ -225,10 +226,10 @@ class Block:
         starts, n = np.cumsum(sizes) - sizes, sizes[kind]
         at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[kind], n)
         document = np.repeat(base + np.array(rows, np.int64)[text_of], n)
-        pairs, often = np.concatenate([x[2] for x in known]), np.concatenate([x[3] for x in known])
-        every = document << 32 | pairs[at]
+        every = document << 32 | np.concatenate([x[2] for x in known])[at]
         held, times = np.unique(every, return_counts=True)
-        if often.max() > 1:
+        if any(x[3] is not None for x in known):
+            often = np.concatenate([np.ones(len(x[2]), dtype=np.int64) if x[3] is None else x[3] for x in known])
             place = np.searchsorted(held, every)
             times = np.zeros(len(held), dtype=np.int64)
             np.add.at(times, place, often[at])
