@@ -17,6 +17,7 @@ after the df pruning (ties: term ascending), idf is ``ln((1+n)/(1+df))+1``
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass, replace
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
@@ -124,12 +125,12 @@ def _limit_features(stats: DataFrame, limit: int, keys: list[str]) -> DataFrame:
     """Keep the ``limit`` terms with the highest corpus frequency per key (ties: term ascending).
 
     Selection by counting: a histogram of frequencies and its running sum show which frequencies fit whole and which one
-    the cut falls into; that one's terms are divided the same way by their first characters, and only the terms of the prefix
-    that the cut falls into are ranked.  No sort of all terms and no other plan for small vocabularies.
+    the cut falls into; that one's terms are divided the same way by their first characters, and the terms of the prefix
+    that the cut falls into one by one.  No sort of all terms and no other plan for small vocabularies.
     """
     columns = stats.columns
     undecided, kept = stats.withColumn("__room", F.lit(limit).cast("long")), []
-    for value, order in ((F.col("ctf"), F.desc), (F.substring("term", 1, TIE_PREFIX), F.asc)):
+    for value, order in ((F.col("ctf"), F.desc), (F.substring("term", 1, TIE_PREFIX), F.asc), (F.col("term"), F.asc)):
         valued = undecided.withColumn("__v", value)
         hist = valued.groupBy(*keys, "__v").agg(F.count("*").alias("__c"), F.first("__room").alias("__r"))
         above = Window.partitionBy(*keys).orderBy(order("__v")).rowsBetween(Window.unboundedPreceding, -1)
@@ -137,9 +138,7 @@ def _limit_features(stats: DataFrame, limit: int, keys: list[str]) -> DataFrame:
         marked = valued.join(hist, [*keys, "__v"])
         kept.append(marked.where("__c <= __left").select(*columns))
         undecided = marked.where("__c > __left").select(*columns, F.col("__left").alias("__room"))
-    ranked = undecided.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy("term")))
-    kept.append(ranked.where("__rank <= __room").select(*columns))
-    return kept[0].unionByName(kept[1]).unionByName(kept[2])
+    return reduce(DataFrame.unionByName, kept)  # single terms all fit or do not, so nothing is undecided after the last step
 
 
 def weigh(counts: DataFrame, vocab: DataFrame, s: TfidfSettings, keys: list[str] | None = None) -> DataFrame:
