@@ -57,7 +57,8 @@ def topk_scores(
     """J1 + J3: ``(keys…, qid, pos, score, rank)``, rank 1..min(k, bank rows) for every query.
 
     With ``keys`` the vocabulary, idf and candidate set are per key (the bank
-    is restricted to the query's key before fitting).
+    is restricted to the query's key before fitting).  A query whose key is null or
+    has no bank rows gets no candidates; ``grouped_top1`` sends such queries to the whole bank.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}")
