@@ -40,6 +40,8 @@ ORDERS = (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 FREQUENT, MOST_FREQUENT = 2, 1 << 20
 #: Tokens with more holders than ``FEW`` get ``CENTRES`` more stars in each of ``ATTEMPTS`` rounds, to join near copies early.
 FEW, CENTRES, ATTEMPTS = 8, 4, 2
+#: Of so many smallest prefix tokens two documents learn whether they have met already; it bounds a row, not the tokens compared.
+SMALLEST = 32
 #: Tokens are compared by so many bytes of their hash.
 TOKEN_BYTES = 6
 #: Columns of 64 parity bits a set has.
@@ -260,9 +262,13 @@ def linked(docs: DataFrame, n_words: int = WORDS, least: Fraction = LEAST) -> Da
         return pairs.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
 
     def near_enough(pairs: DataFrame) -> DataFrame:
-        """Pairs that could link by their sizes and whole prefixes."""
+        """Pairs that could link by their sizes, parity words and whole prefixes."""
         pairs = pairs.join(facts("b", *PARITY), "b").join(facts("a", *PARITY), "a").filter(near(F.col("n_a"), F.col("n_b")) & alike())
-        pairs = pairs.select("a", "b").join(facts("b", end, "prefix"), "b").join(facts("a", end, "prefix"), "a")
+        return by_prefix(pairs.select("a", "b"))
+
+    def by_prefix(pairs: DataFrame) -> DataFrame:
+        """Pairs that could link by their whole prefixes."""
+        pairs = pairs.join(facts("b", end, "prefix"), "b").join(facts("a", end, "prefix"), "a")
         common = F.size(F.array_intersect("prefix_a", "prefix_b"))
         return pairs.filter(could_link(common, *(F.col(c) for c in ("n_a", "n_b", "end_a", "end_b")))).select("a", "b")
 
@@ -285,19 +291,17 @@ def linked(docs: DataFrame, n_words: int = WORDS, least: Fraction = LEAST) -> Da
     place = scratch_table(place.filter(F.col("id") != F.col("centre")).select("token", "id", "n", "component"), "jaccard-place")
     mixed = place.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
     place = place.join(checkpointed(mixed), "token", "left_semi")
-    place = checkpointed(place.join(with_words.select(F.col("doc_id").alias("id"), *PARITY), "id"))
-    of = lambda side: place.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "component", *PARITY)))
-    apart = of("a").join(of("b"), "token").filter(alike())
-    apart = apart.filter((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & near(F.col("n_a"), F.col("n_b")))
-    # Here every shared prefix token of a pair counts, but for pairs compared as stars already.
-    apart = apart.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.col("n_a").alias("x"), F.col("n_b").alias("y"))
-    apart = apart.agg(F.count("*").alias("common"))
-    # First by whichever prefix could end first, then by the one that does.
-    behind = after_prefix(F.greatest("x", "y"))
-    apart = checkpointed(apart.filter((F.col("common") + behind) * (num + den) >= (F.col("x") + F.col("y")) * num))
-    apart = apart.join(facts("b", end), "b").join(facts("a", end), "a")
-    apart = apart.filter(could_link(*(F.col(c) for c in ("common", "n_a", "n_b", "end_a", "end_b"))))
-    more = compared(apart.select("a", "b").distinct())
+    # A pair that shares several prefix tokens is made at the smallest one that both have among their ``SMALLEST`` smallest.  A
+    # smaller shared token that has no rows here had one of the two as its centre, or both in one component: nothing is lost.
+    lowest = F.slice(F.array_sort("prefix"), 1, SMALLEST).alias("lowest")
+    place = checkpointed(place.join(with_words.select(F.col("doc_id").alias("id"), *PARITY, lowest), "id"))
+    columns = ("id", "n", "component", *PARITY, "lowest")
+    of = lambda side: place.select("token", *(F.col(c).alias(f"{c}_{side}") for c in columns))
+    apart = (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & near(F.col("n_a"), F.col("n_b"))
+    once = F.coalesce(F.array_min(F.array_intersect("lowest_a", "lowest_b")) >= F.col("token"), F.lit(True))
+    met = of("a").join(of("b"), "token").filter(apart & alike() & once)
+    met = checkpointed(met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
+    more = compared(by_prefix(met).distinct())
     members = with_words.select("doc_id", *same).join(classes, same).select("doc_id", "n", "class_id")
     twice = members.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b"), F.collect_set("class_id").alias("all"))
     twice = twice.filter("a <> b").select("a", F.explode("all").alias("b"))  # rows with the same id are one node

@@ -255,6 +255,23 @@ def test_jaccard(spark):
     assert found == jaccard_brute(docs, 3, Fraction(9, 10))
 
 
+def test_jaccard_of_a_family_round_the_threshold(spark):
+    """One family whose texts mostly differ by about the threshold: links inside it are found by stars and by the join after them."""
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(90)]
+    docs = []
+    for k in range(260):
+        words = list(base)
+        for _ in range(rng.choice((1, 2, 3, 4))):
+            words[rng.randrange(len(words))] = f"x{rng.randint(0, 60)}"
+        docs.append((7 * k + 2, " ".join(words)))
+    docs += [(4000 + k, " ".join(base[: 70 + k])) for k in range(20)]
+    found = jaccard_join.linked(spark.createDataFrame(docs, "doc_id long, text string"), 5, Fraction(8, 10)).collect()
+    expected = jaccard_brute(docs, 5, Fraction(8, 10))
+    assert len({c for _, c in expected.values()}) > 20
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == expected
+
+
 def test_parity_words_bound_the_difference():
     rng = np.random.default_rng(4)
     for _ in range(200):
