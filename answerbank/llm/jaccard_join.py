@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answerbank.llm.common import checkpointed, lower_ascii, mix64, scratch_table, span_hashes, table, text_bytes, text_slices, words
+from answerbank.llm.common import lower_ascii, mix64, scratch_table, span_hashes, table, text_bytes, text_slices, words
 
 WORDS = 3
 LEAST = Fraction(90, 100)
@@ -48,6 +48,12 @@ TOKEN_BYTES = 6
 PARITY = ("p0", "p1", "p2", "p3")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut lineage by a Parquet table in the shared folder.  Unlike a checkpoint it has a known size: Spark deals small tables to
+    few tasks and sends them to the large ones instead of shuffling both."""
+    return scratch_table(df, "jaccard")
+
+
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each shingle (with repeats) of lower-cased texts, and the bounds of each text's shingles."""
     data = lower_ascii(data)
@@ -127,7 +133,7 @@ def frequent_tokens(docs: DataFrame, n_words: int, least: Fraction) -> tuple[np.
 
     held = per_text(docs, n_words, "tokens array<long>", rows_of).select(F.explode("tokens").alias("token"))
     counts = held.groupBy("token").agg(F.count("*").alias("n"))
-    counts = checkpointed(counts.filter(F.col("n") >= FREQUENT))
+    counts = stored(counts.filter(F.col("n") >= FREQUENT))
     total = counts.agg(F.sum("n")).first()[0] or 0
     often = counts.filter(F.col("n") > total // MOST_FREQUENT).toArrow()  # MOST_FREQUENT rows at most
     tokens, n = often["token"].to_numpy(), often["n"].to_numpy()
@@ -138,23 +144,23 @@ def frequent_tokens(docs: DataFrame, n_words: int, least: Fraction) -> tuple[np.
 def components(links: DataFrame) -> DataFrame:
     """``node, component`` (its smallest node) of every node of ``links`` (a, b), by alternating stars."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    edges = checkpointed(edges)
+    edges = stored(edges)
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(checkpointed(least), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = checkpointed(large)  # every node now points to smaller ones
-        least = checkpointed(large.groupBy("u").agg(F.min("v").alias("m")))
+        large = both.join(stored(least), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = stored(large)  # every node now points to smaller ones
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = checkpointed(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        edges = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == state:
             break
         state = now
     stars = edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
     roots = stars.select(F.col("component").alias("node"), "component").distinct()
-    return checkpointed(stars.unionByName(roots).groupBy("node").agg(F.min("component").alias("component")))
+    return stored(stars.unionByName(roots).groupBy("node").agg(F.min("component").alias("component")))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
@@ -211,13 +217,13 @@ def linked(docs: DataFrame, n_words: int = WORDS, least: Fraction = LEAST) -> Da
     described = scratch_table(described, "jaccard-docs")
     same = ["n", "d1", "d2"]
     with_words = described.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = checkpointed(with_words.groupBy(*same).agg(F.min("doc_id").alias("class_id")))
+    classes = stored(with_words.groupBy(*same).agg(F.min("doc_id").alias("class_id")))
     chosen = classes.select(*same, F.col("class_id").alias("doc_id"))
     holdings = with_words.select(*same, "doc_id", "prefix").join(chosen, [*same, "doc_id"], "left_semi")
     holdings = holdings.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("id"), "n")
     # The holder with the smallest id is the centre of its token's star.
     shared = holdings.groupBy("token").agg(F.min(F.struct("id", "n")).alias("x"), F.count("*").alias("holders")).filter("holders > 1")
-    shared = checkpointed(shared.select("token", F.col("x.id").alias("centre"), F.col("x.n").alias("n_centre"), "holders"))
+    shared = stored(shared.select("token", F.col("x.id").alias("centre"), F.col("x.n").alias("n_centre"), "holders"))
     held = scratch_table(holdings.join(shared, "token"), "jaccard-held")
     near = lambda x, y: F.least(x, y) * den >= F.greatest(x, y) * num
 
@@ -227,7 +233,7 @@ def linked(docs: DataFrame, n_words: int = WORDS, least: Fraction = LEAST) -> Da
         return differing * (num + den) <= (F.col("n_a") + F.col("n_b")).cast("long") * (den - num)
 
     stars = held.filter((F.col("id") != F.col("centre")) & near(F.col("n"), F.col("n_centre")))
-    stars = checkpointed(stars.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct())
+    stars = stored(stars.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct())
 
     # All common tokens of a pair are shared prefix tokens or lie behind the prefix that ends first (as many as n less the
     # prefix); together they must reach t / (1 + t) of both sizes.
@@ -246,18 +252,18 @@ def linked(docs: DataFrame, n_words: int = WORDS, least: Fraction = LEAST) -> Da
 
     def compared(pairs: DataFrame) -> DataFrame:
         """Pairs that link, from the whole texts of the documents in ``pairs``."""
-        pairs = checkpointed(pairs)
+        pairs = stored(pairs)
         ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
         # As a file the ids have a known size, so Spark sends them to the texts if they are few, else the texts to them.
         chosen = docs.join(scratch_table(ids, "jaccard-ids"), "doc_id", "left_semi")
         sets = per_text(chosen, n_words, "id long, tokens binary", lambda key, s: [(key, packed(s))])
-        return checkpointed(verified(pairs, checkpointed(sets), least))
+        return stored(verified(pairs, stored(sets), least))
 
     def further_stars(held: DataFrame, attempt: int) -> DataFrame:
         """Pairs of each holder with ``CENTRES`` other centres, drawn by hash, of a token with many holders."""
         many = held.filter(F.col("holders") > FEW)
         drawn = [F.min(F.struct(F.xxhash64("id", "token", F.lit(CENTRES * attempt + k)), "id", "n"))["id"] for k in range(CENTRES)]
-        centres = checkpointed(many.groupBy("token").agg(F.array(*drawn).alias("centres")))
+        centres = stored(many.groupBy("token").agg(F.array(*drawn).alias("centres")))
         pairs = many.join(centres, "token").select(F.explode("centres").alias("x"), "id").filter("x <> id")
         return pairs.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
 
@@ -282,7 +288,7 @@ def linked(docs: DataFrame, n_words: int = WORDS, least: Fraction = LEAST) -> Da
     links = compared(near_enough(stars.unionByName(further_stars(held, 0)).distinct()))
     grouped = components(links)
     for attempt in range(1, ATTEMPTS):  # groups of near copies grow together before the rest is compared
-        found = compared(near_enough(checkpointed(across(further_stars(held, attempt), grouped))))
+        found = compared(near_enough(stored(across(further_stars(held, attempt), grouped))))
         if found.isEmpty():
             break
         links = links.unionByName(found)
@@ -290,17 +296,17 @@ def linked(docs: DataFrame, n_words: int = WORDS, least: Fraction = LEAST) -> Da
     place = held.join(grouped.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     place = scratch_table(place.filter(F.col("id") != F.col("centre")).select("token", "id", "n", "component"), "jaccard-place")
     mixed = place.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
-    place = place.join(checkpointed(mixed), "token", "left_semi")
+    place = place.join(stored(mixed), "token", "left_semi")
     # A pair that shares several prefix tokens is made at the smallest one that both have among their ``SMALLEST`` smallest.  A
     # smaller shared token that has no rows here had one of the two as its centre, or both in one component: nothing is lost.
     lowest = F.slice(F.array_sort("prefix"), 1, SMALLEST).alias("lowest")
-    place = checkpointed(place.join(with_words.select(F.col("doc_id").alias("id"), *PARITY, lowest), "id"))
+    place = stored(place.join(with_words.select(F.col("doc_id").alias("id"), *PARITY, lowest), "id"))
     columns = ("id", "n", "component", *PARITY, "lowest")
     of = lambda side: place.select("token", *(F.col(c).alias(f"{c}_{side}") for c in columns))
     apart = (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & near(F.col("n_a"), F.col("n_b"))
     once = F.coalesce(F.array_min(F.array_intersect("lowest_a", "lowest_b")) >= F.col("token"), F.lit(True))
     met = of("a").join(of("b"), "token").filter(apart & alike() & once)
-    met = checkpointed(met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
+    met = stored(met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
     more = compared(by_prefix(met).distinct())
     members = with_words.select("doc_id", *same).join(classes, same).select("doc_id", "n", "class_id")
     twice = members.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b"), F.collect_set("class_id").alias("all"))
@@ -320,6 +326,6 @@ def linked_documents(spark, sf_dir: str) -> DataFrame:
 
 def without_near_copies(spark, docs: DataFrame, sf_dir: str, n_words: int = 5, least: Fraction = Fraction(8, 10)) -> DataFrame:
     """Pipeline stage: of each component of near copies the document with the smallest id stays."""
-    found = checkpointed(linked(docs, n_words, least).select("doc_id", "component_id"))
+    found = stored(linked(docs, n_words, least).select("doc_id", "component_id"))
     copies = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
