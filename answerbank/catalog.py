@@ -25,6 +25,7 @@ from answerbank.operators import similarity as sim
 from answerbank.operators.tfidf import TfidfSettings
 from answerbank.sources import files as FS
 from answerbank.sources import tables as T
+from answerbank.streaming import resume as RES
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -1090,6 +1091,50 @@ def history_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("series", "scored_rows", "best_id", r6(F.col("best_score")).alias("best_score"), "plateaued", "branch")
 
 
+@register(
+    "step_signals",
+    f"""with h as ({T.HISTORY_SQL}),
+s as (select *, row_number() over w as step, max(score) over w as best_so_far,
+             max(score) over r - min(score) over r as span from h where score is not null
+      window w as (partition by series order by seq, id), r as (partition by series order by seq, id rows between 2 preceding and current row)),
+p as (select *, step >= 3 and span < 0.005 as plateaued from s)
+select series, id, step, round(score, 6) as score, round(best_so_far, 6) as best_so_far, plateaued,
+  case when plateaued then 'plateau' when best_so_far > 0.55 then 'lower_learning_rate' else 'more_epochs' end as branch from p""",
+)
+def step_signals_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W7 + E1 at every step of every score history, long series cut into ranges."""
+    out = CMP.step_signals(T.history(spark, sf_dir))
+    return out.withColumns({"score": r6(F.col("score")), "best_so_far": r6(F.col("best_so_far"))})
+
+
+# --- S11: resumable results ----------------------------------------------------------------------
+
+@register(
+    "resume_pending",
+    f"""with j as ({T.JUDGE_RAW_SQL})
+select id as "ID", md5(raw) as result, case when id % 6 = 0 then 'retry' when id % 3 < 2 then 'first' else 'resumed' end as attempt,
+  case when id % 6 = 0 then 1 when id % 3 = 0 then 0 when id % 3 = 1 then 1 else 2 end as batch from j""",
+)
+def resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies processed in batches: two committed (the second does some IDs again), one that broke off before
+    its commit, then a restart that does whatever is pending; the latest result of every ID."""
+    requests = T.judge_raw(spark, sf_dir).select(F.col("id").alias("ID"), "raw")
+    path, schema = _scratch(spark, "resume"), "ID long, result string, attempt string"
+
+    def done(rows: DataFrame, attempt) -> DataFrame:
+        return rows.select("ID", F.md5("raw").alias("result"), attempt.alias("attempt"))
+
+    share = F.pmod("ID", F.lit(3))
+    again = F.pmod("ID", F.lit(6)) == 0
+    RES.append_done(done(requests.where(share == 0), F.lit("first")), path)
+    second = requests.where((share == 1) | again)
+    RES.append_done(done(second, F.when(again, "retry").otherwise("first")), path)
+    RES.write_batch(done(requests.where(share == 2), F.lit("broken off")), path, 2)
+    rest = RES.pending(requests, RES.read_done(spark, path, schema))
+    RES.append_done(done(rest, F.lit("resumed")), path)
+    return RES.latest_per_id(RES.read_done(spark, path, schema)).select("ID", "result", "attempt", F.col("commit").alias("batch"))
+
+
 # --- W3-W5: row selection ----------------------------------------------------------------------
 
 @register(

@@ -11,6 +11,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from answerbank.plans.ranking import global_rank
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
@@ -137,17 +139,11 @@ from events
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score histories, one series per user, ``seq`` in time order."""
-    from pyspark.sql import Window
-
+    """Score histories, one series per user, ``seq`` in time order (ranked over all tasks, so a series may be of any length)."""
     e = table(spark, sf_dir, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return e.select(
-        F.col("user_id").alias("series"),
-        F.col("event_id").alias("id"),
-        F.col("value").alias("score"),
-        F.row_number().over(w).alias("seq"),
-    )
+    e = e.select(F.col("user_id").alias("series"), F.col("event_id").alias("id"), F.col("value").alias("score"), "ts")
+    ranked = global_rank(e, ["series"], [F.col("ts").asc(), F.col("id").asc()], "seq")
+    return ranked.select("series", "id", "score", "seq")
 
 
 HISTORY_SQL = """
