@@ -1107,6 +1107,36 @@ def step_signals_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"score": r6(F.col("score")), "best_so_far": r6(F.col("best_so_far"))})
 
 
+# --- G1, G2: ordered sinks -----------------------------------------------------------------------
+
+@register(
+    "ordered_submission",
+    f"""with src as (select id as "ID", answer, row_number() over (order by pos) as position from ({T.CONV_QA_SQL}) where split = 'query')
+select position, cast("ID" as varchar) as "ID", coalesce(answer, '') as "TargetRLF1", coalesce(answer, '') as "TargetR1F1",
+       coalesce(answer, '') as "TargetLLM" from src""",
+)
+def ordered_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1: the reference answers of the query split as an output in source order, written as several CSV files and read again."""
+    _, source = T.bank_and_queries(T.conv_qa(spark, sf_dir))
+    source = source.withColumnRenamed("qid", "ID")
+    out = B.build_submission(source, source.select("ID", F.col("answer").alias("prediction")))
+    path = B.save_submission(out, _scratch(spark, "ordered"), "csv", source=source, rows_per_file=10_000)
+    return FS.read_ordered(spark, path, "csv")
+
+
+@register(
+    "ordered_report",
+    f"""with qa as ({T.CONV_QA_SQL}), r as (select subset, id, length(coalesce(question, '')) as n_chars from qa)
+select row_number() over (order by subset, n_chars desc, id) as position, subset, id, n_chars from r""",
+)
+def ordered_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report with several sort keys (longest questions of each subset first), kept over a reread of several files."""
+    report = T.conv_qa(spark, sf_dir).select("subset", "id", F.length(X.fill_empty("question")).cast("long").alias("n_chars"))
+    order = [F.col("subset").asc(), F.col("n_chars").desc(), F.col("id").asc()]
+    path = FS.write_table(report, _scratch(spark, "report"), order=order, rows_per_file=10_000)
+    return FS.read_ordered(spark, path)
+
+
 # --- S11: resumable results ----------------------------------------------------------------------
 
 @register(

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from answerbank.plans.ranking import global_rank
+
 # Text tokens read as missing (the pandas CSV defaults that occur in text data).
 NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
                "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
@@ -142,9 +144,22 @@ def read_experiment_log(spark: SparkSession, path: str, schema: str) -> DataFram
     )
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> str:
-    """Prediction / metrics sinks (Parquet by default, CSV with quoted multi-line text)."""
-    w = df.write.mode("overwrite")
+def write_table(
+    df: DataFrame,
+    path: str,
+    fmt: str = "parquet",
+    partition_by: list[str] | None = None,
+    order: list[Column] | None = None,
+    rows_per_file: int = 0,
+) -> str:
+    """Prediction / metrics sinks (Parquet by default, CSV with quoted multi-line text).
+
+    With ``order`` (G1, G2) the rows are range-partitioned and sorted, and the files are numbered in that order;
+    ``read_ordered`` gives it back. ``rows_per_file`` cuts larger files (0: one file a task).
+    """
+    if order and partition_by:
+        raise ValueError("an ordered table has no partition folders")
+    w = (df.orderBy(*order) if order else df).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file)
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
@@ -155,6 +170,28 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
     return path
 
 
+def read_ordered(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | None = None) -> DataFrame:
+    """The rows of an ordered table with ``position`` (from 1): by the numbers of the files, then by the place in the file.
+
+    A scan deals files to tasks by size, so the order of the rows it returns is not that of the files. The position is a
+    rank over all tasks; sort by it where the rows leave Spark. CSV columns are strings unless ``schema`` is given.
+    """
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    number = lambda pattern: F.regexp_extract(name, pattern, 1).try_cast("long")
+    if fmt == "csv":
+        reader = _reader(spark).option("nullValue", NO_TEXT)
+        df = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", False).csv(path)
+        # a task reads a block of a file from its start to its end
+        place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    else:
+        df = spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
+        place = F.struct("_metadata.row_index")
+    # Spark names files part-<task>-<job>-c<file of the task>
+    placed = df.select("*", number(r"^part-(\d+)").alias("__task"), number(r"-c(\d+)\.").alias("__file"), place.alias("__place"))
+    order = [F.col(c).asc() for c in ("__task", "__file", "__place")]
+    return global_rank(placed, [], order, "position").drop("__task", "__file", "__place")
+
+
 def vectors_to_encode(texts: DataFrame, cache: DataFrame | None, text_col: str = "text") -> DataFrame:
     """Content-keyed vector cache: rows whose ``(id, sha256(text))`` has no cached vector."""
     keyed = texts.select("id", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("text_hash"), text_col)
