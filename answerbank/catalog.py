@@ -513,6 +513,41 @@ def pair_rerank_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def shared_words_scorer() -> FU.PairScorer:
+    """A small stand-in for a cross-encoder: twice the shared distinct words over all distinct words of both texts."""
+
+    def score(questions: list[str], answers: list[str]) -> list[float]:
+        sides = [[set(text.split(" ")) - {""} for text in texts] for texts in (questions, answers)]
+        return [2.0 * len(x & y) / max(1, len(x) + len(y)) for x, y in zip(*sides)]
+
+    return score
+
+
+def _distinct_words(expr: str) -> str:
+    return f"list_distinct(list_filter(string_split(coalesce({expr}, ''), ' '), lambda x: x <> ''))"
+
+
+@register(
+    "pair_scorer",
+    f"""with {_qa_cte(T.CONV_QA_SQL)}, {O.topk_ctes(BASELINE, 'bank', 'qry', 5, [])},
+w as (select t.qid, t.pos, t.rank, t.score, {_distinct_words('q.question')} as x, {_distinct_words('b.answer')} as y
+      from top t join qry q on q.id = t.qid join bank b on b.pos = t.pos),
+s as (select *, 2.0 * len(list_intersect(x, y)) / greatest(1, len(x) + len(y)) as pair_score from w)
+select qid, pos as matched_id, round(score, 6) as similarity, round(pair_score, 6) as pair_score from s
+qualify row_number() over (partition by qid order by round(pair_score, 9) desc, rank) = 1""",
+)
+def pair_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Question and candidate answer scored by a function over batches of pairs, best of the lexical top 5."""
+    bank, q = T.bank_and_queries(T.conv_qa(spark, sf_dir))
+    top = sim.topk_scores(bank, q, BASELINE, 5).withColumnRenamed("score", "combined_score")
+    pairs = top.select("qid", "pos").join(q.select("qid", "question"), "qid").join(bank.select("pos", "answer"), "pos")
+    best = FU.pair_rerank(top, FU.score_pairs(pairs, shared_words_scorer))
+    return best.select(
+        "qid", F.col("pos").alias("matched_id"), r6(F.col("similarity")).alias("similarity"),
+        r6(F.col("pair_score")).alias("pair_score"),
+    )
+
+
 MEMBERS = [
     (BASELINE, 1.0),
     (SCRIPT, 1.0),
