@@ -110,3 +110,28 @@ def test_dense_cells_match_a_plain_product(spark):
             allowed = [j for j in range(90) if not keys or i % 3 == j % 3]
             want = sorted(allowed, key=lambda j: (-round(float(q[i] @ b[j]), 9), j))[:3]
             assert [r["pos"] for r in sorted((r for r in got if r["qid"] == i), key=lambda r: r["rank"])] == want
+
+
+def test_a_capped_vocabulary_is_one_leaf_of_later_plans(spark):
+    """The plan of the cut by frequency was copied into every plan that read the vocabulary."""
+    bank = spark.createDataFrame([(i, f"w{i % 7} w{i % 5}", "a", f"s{i % 2}") for i in range(60)], "pos long, question string, answer string, subset string")
+    queries = bank.select(F.col("pos").alias("qid"), "question", "subset")
+    s = TfidfSettings(analyzer="word", ngram_min=1, ngram_max=1, max_features=8)
+    for strategy in ("term_join", "blocked"):
+        top = sim.topk_scores(bank, queries, s, 1, keys=["subset"], strategy=strategy)
+        plan = top._jdf.queryExecution().analyzed().toString()
+        assert "__room" not in plan and "__left" not in plan
+        assert top.count() == 60
+
+
+def test_groups_that_all_have_bank_rows_fit_one_vocabulary(spark, monkeypatch):
+    """The whole bank was fitted too, for no query."""
+    bank = spark.createDataFrame([(i, i, f"w{i % 7} w{i % 5}", "a", f"s{i % 2}") for i in range(30)],
+                                 "pos long, id long, question string, answer string, subset string")
+    queries = bank.select(F.col("pos").alias("qid"), "question", "subset")
+    fits, real = [], sim.topk_scores
+    monkeypatch.setattr(sim, "topk_scores", lambda *a, **kw: fits.append(1) or real(*a, **kw))
+    s = TfidfSettings(analyzer="word", ngram_min=1, ngram_max=1)
+    assert sim.grouped_top1(bank, queries, s).count() == 30 and len(fits) == 1
+    odd = queries.withColumn("subset", F.when(F.col("qid") == 3, "none").otherwise(F.col("subset")))
+    assert sim.grouped_top1(bank, odd, s).count() == 30 and len(fits) == 3
