@@ -135,3 +135,28 @@ def test_groups_that_all_have_bank_rows_fit_one_vocabulary(spark, monkeypatch):
     assert sim.grouped_top1(bank, queries, s).count() == 30 and len(fits) == 1
     odd = queries.withColumn("subset", F.when(F.col("qid") == 3, "none").otherwise(F.col("subset")))
     assert sim.grouped_top1(bank, odd, s).count() == 30 and len(fits) == 3
+
+
+def test_a_dense_cell_never_holds_more_than_a_tile_of_scores(monkeypatch):
+    """A cell's whole score matrix was made and sorted at once."""
+    rng = np.random.default_rng(9)
+    q, b = rng.normal(size=(2500, 4)), rng.normal(size=(1300, 4))
+
+    def batch(vectors, side):
+        n = len(vectors)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([side] * n), pa.array([0] * n), pa.array([0] * n), pa.array(np.arange(n)), pa.array(list(vectors), pa.list_(pa.float64()))],
+            ["side", "qblock", "bblock", "rid", "vec"])
+
+    sizes, real = [], blocks._Dense.scores
+
+    def scores(self, *args):
+        made = real(self, *args)
+        sizes.append(made.shape)
+        return made
+
+    monkeypatch.setattr(blocks._Dense, "scores", scores)
+    run = blocks._cell_runner(blocks._Dense, 1, [], ["qid", "pos", "score"])
+    got = {r["qid"]: r["pos"] for out in run(iter([batch(q, 0), batch(b, 1)])) for r in out.to_pylist()}
+    assert got == dict(enumerate(np.argmax(q @ b.T, axis=1).tolist()))
+    assert max(x for x, _ in sizes) <= blocks.TILE_BANK and max(y for _, y in sizes) <= blocks.TILE_QUERIES
