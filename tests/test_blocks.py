@@ -160,3 +160,34 @@ def test_a_dense_cell_never_holds_more_than_a_tile_of_scores(monkeypatch):
     got = {r["qid"]: r["pos"] for out in run(iter([batch(q, 0), batch(b, 1)])) for r in out.to_pylist()}
     assert got == dict(enumerate(np.argmax(q @ b.T, axis=1).tolist()))
     assert max(x for x, _ in sizes) <= blocks.TILE_BANK and max(y for _, y in sizes) <= blocks.TILE_QUERIES
+
+
+def test_no_row_is_copied_for_the_blocks_of_the_other_side(spark):
+    """Each bank row went through the shuffle once per query block, each query row once per bank block."""
+    rng = np.random.default_rng(11)
+    q_rows, b_rows = _posts(rng, 60, 30), _posts(rng, 80, 30)
+    schema = "id long, tid long, w double"
+    q, b = spark.createDataFrame(q_rows, schema), spark.createDataFrame(b_rows, schema)
+    got = blocks.blocked_topk(q, b, 1, [], max_query_rows=5, max_bank_rows=9)
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["qid"]: [(r["pos"], r["score"])] for r in got.collect()} == _best(q_rows, b_rows, 1)
+
+
+def test_packed_blocks_hold_every_row_once(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "PACKED_VALUES", 6)
+    rows = [(i % 3, i % 2, i, list(range(i % 9)), [1.0] * (i % 9), 1.0) for i in range(50)]
+    df = spark.createDataFrame(rows, "key long, block int, rid long, tids array<long>, ws array<double>, scale double")
+    df = df.repartition(2, "key").sortWithinPartitions("key", "block", "rid")
+    found = []
+    for r in blocks._packed_blocks(df, ["key"], 4).collect():
+        held = pa.ipc.open_stream(r["data"]).read_all()
+        assert held.num_rows <= 4 and (held.num_rows == 1 or sum(map(len, held["tids"].to_pylist())) <= 6)
+        found += [(r["key"], r["block"], *row.values()) for row in held.to_pylist()]
+    assert sorted(found) == sorted(rows)
+
+
+def test_equal_scores_keep_the_lowest_positions_in_any_order():
+    best = blocks._Best(1, 2, 0.0)
+    for pos in ([40, 30], [7, 50], [20, 3]):
+        best.add(np.full((2, 1), 0.5), np.array(pos))
+    assert best.pos.tolist() == [3, 7]
