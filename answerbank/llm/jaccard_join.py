@@ -41,11 +41,12 @@ FREQUENT, MOST_FREQUENT = 2, 1 << 20
 #: Tokens with more holders than ``FEW`` get ``CENTRES`` more stars in each of ``ATTEMPTS`` rounds, to join near copies early.
 FEW, CENTRES, ATTEMPTS = 8, 4, 2
 #: Of so many smallest prefix tokens two documents learn whether they have met already; it bounds a row, not the tokens compared.
-SMALLEST = 32
+SMALLEST = 20
 #: Tokens are compared by so many bytes of their hash.
 TOKEN_BYTES = 6
-#: Columns of 64 parity bits a set has.
-PARITY = ("p0", "p1", "p2", "p3")
+#: Columns of 64 parity bits a set has.  Sets of n tokens at a similarity s differ in about 512 (1 - exp(-n (1 - s) / (1 + s) / 256)) of
+#: 1024 bits; with 256 bits no pair of sets of more than about 600 tokens could be told apart at a least similarity of 0.8.
+PARITY = tuple(f"p{k}" for k in range(16))
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -297,10 +298,12 @@ def linked(docs: DataFrame, n_words: int = WORDS, least: Fraction = LEAST) -> Da
     place = scratch_table(place.filter(F.col("id") != F.col("centre")).select("token", "id", "n", "component"), "jaccard-place")
     mixed = place.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
     place = place.join(stored(mixed), "token", "left_semi")
-    # A pair that shares several prefix tokens is made at the smallest one that both have among their ``SMALLEST`` smallest.  A
-    # smaller shared token that has no rows here had one of the two as its centre, or both in one component: nothing is lost.
-    lowest = F.slice(F.array_sort("prefix"), 1, SMALLEST).alias("lowest")
-    place = stored(place.join(with_words.select(F.col("doc_id").alias("id"), *PARITY, lowest), "id"))
+    # A pair that shares several prefix tokens is made at the smallest one that both have among their ``SMALLEST`` smallest of the
+    # tokens that still have rows here: most tokens of a long prefix have one holder and would fill the places of shared ones.
+    lowest = F.slice(F.array_sort(F.collect_set("token")), 1, SMALLEST).alias("lowest")
+    lowest = place.groupBy("id", "n").agg(lowest)
+    place = place.join(lowest, ["id", "n"]).join(with_words.select(F.col("doc_id").alias("id"), *PARITY), "id")
+    place = stored(place.select("token", "id", "n", "component", *PARITY, "lowest"))
     columns = ("id", "n", "component", *PARITY, "lowest")
     of = lambda side: place.select("token", *(F.col(c).alias(f"{c}_{side}") for c in columns))
     apart = (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & near(F.col("n_a"), F.col("n_b"))
