@@ -370,6 +370,26 @@ def test_parity_words_tell_long_sets_apart():
     num, den = 8, 10
     for shared, link in ((750, False), (500, False), (900, True), (960, True)):
         tokens = rng.integers(0, 1 << 48, size=2000 - shared, dtype=np.uint64)
-        x, y = (jaccard_join.parity_words(mix64(t)) for t in (tokens[:1000], tokens[1000 - shared :]))
+        x, y = (jaccard_join.parity_words(jaccard_join.mix64(t)) for t in (tokens[:1000], tokens[1000 - shared :]))
         differing = sum(bin((a ^ b) & (2**64 - 1)).count("1") for a, b in zip(x, y))
         assert (differing * (num + den) <= 2000 * (den - num)) == link
+
+
+def test_pairs_meet_at_tokens_that_others_hold(spark, monkeypatch):
+    """Tokens of one holder took the places of shared ones, so pairs of long documents were made at every shared token."""
+    common = " ".join(f"s{k}" for k in range(48))
+    rows = [(d, f"{common} " + " ".join(f"u{d}x{k}" for k in range(6))) for d in range(6)]
+    kept, real = [], jaccard_join.stored
+
+    def stored(df):
+        out = real(df)
+        if "lowest" in df.columns:
+            kept.append(out)
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stored", stored)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = jaccard_join.linked(docs, 5, Fraction(8, 10)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {d: d for d in range(6)}
+    places = kept[0].collect()
+    assert places and all(sum(t == p["token"] for p in places) > 1 for r in places for t in r["lowest"])
