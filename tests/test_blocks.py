@@ -191,3 +191,57 @@ def test_equal_scores_keep_the_lowest_positions_in_any_order():
     for pos in ([40, 30], [7, 50], [20, 3]):
         best.add(np.full((2, 1), 0.5), np.array(pos))
     assert best.pos.tolist() == [3, 7]
+
+
+def _odd_tables(spark):
+    words = ["common", "rare", "fever", "cough", "rash", "pain"]
+    texts = [" ".join(words[(i * 7 + j * j) % len(words)] for j in range(i % 6)) + f" common u{i % 9}" for i in range(40)]
+    bank = [(i, t, f"s{i % 2}" if i % 13 else None) for i, t in enumerate(texts)]
+    bank += [(3, "fever again", "s1"), (None, "rash pain", "s0"), (None, "rash twice", "s0"), (50, None, "s0"), (51, "", "s1")]
+    queries = [(100 + i, t, f"s{i % 2}") for i, t in enumerate(texts[::3])]
+    queries += [(None, "rash pain u1", "s0"), (200, None, "s1"), (201, "nothing shared here", "s0"), (100, "twice fever", "s0")]
+    return (spark.createDataFrame(bank, "pos long, question string, subset string"),
+            spark.createDataFrame(queries, "qid long, question string, subset string"))
+
+
+def test_uncapped_vocabulary_by_hash_equals_the_terms_themselves(spark):
+    bank, queries = _odd_tables(spark)
+    order = lambda r: tuple((x is None, x) for x in r)
+    placed = bank.where("pos is not null")  # without keys, padding needs positions
+    cases = (({"sublinear_tf": True}, ["subset"], bank), ({"binary": True, "min_df": 2, "max_df": 0.5, "smooth_idf": False}, [], placed))
+    for more, keys, rows in cases:
+        found = []
+        for limit, strategy in ((10**6, "term_join"), (None, "term_join"), (None, "blocked")):
+            s = TfidfSettings(analyzer="word", ngram_min=1, ngram_max=2, max_features=limit, **more)
+            top = sim.topk_scores(rows, queries, s, 3, keys=keys, strategy=strategy)
+            got = top.select(*keys, "qid", "pos", F.round("score", 6), "rank").collect()
+            found.append(sorted(map(tuple, got), key=order))
+        assert found[0] == found[1] == found[2], (more, keys)
+    spark.catalog.clearCache()
+
+
+def test_hashed_counts_are_the_counts_of_the_terms(spark):
+    from answerbank.operators.tfidf import hashed_counts, term_counts
+
+    bank, _ = _odd_tables(spark)
+    for analyzer, low, high in (("word", 1, 2), ("char_wb", 2, 3)):
+        s = TfidfSettings(analyzer=analyzer, ngram_min=low, ngram_max=high, max_features=None)
+        packed = hashed_counts(bank, "pos", "question", s, ["subset"])
+        got = packed.select("subset", "id", F.inline(F.arrays_zip("tids", "tfs")))
+        want = term_counts(bank, "pos", "question", s, ["subset"]).select("subset", "id", F.xxhash64("term"), F.col("tf").cast("int"))
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_only_the_blocks_and_the_best_stay_kept(spark):
+    """Counts, vocabularies, postings and packed rows are dropped once both sides lie in blocks."""
+    bank, queries = _odd_tables(spark)
+    bank = bank.where("pos is not null")
+    kept = spark.sparkContext._jsc.getPersistentRDDs
+    for limit in (None, 1000):
+        spark.catalog.clearCache()
+        before = len(kept())
+        s = TfidfSettings(analyzer="word", ngram_min=1, ngram_max=1, max_features=limit)
+        top = sim.topk_scores(bank, queries, s, 2, strategy="blocked")
+        assert len(kept()) - before <= (2 if limit is None else 3)  # a capped cut keeps its statistics
+        assert top.count() and len(kept()) - before <= (3 if limit is None else 4)
+    spark.catalog.clearCache()
