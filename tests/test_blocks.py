@@ -173,6 +173,54 @@ def test_no_row_is_copied_for_the_blocks_of_the_other_side(spark):
     assert {r["qid"]: [(r["pos"], r["score"])] for r in got.collect()} == _best(q_rows, b_rows, 1)
 
 
+def test_rows_returned_a_query_do_not_grow_with_bank_blocks(spark, monkeypatch):
+    """Each query block returned its best k once per bank block, so these rows grew with queries x bank rows."""
+    rng = np.random.default_rng(13)
+    q, b = rng.normal(size=(300, 4)), rng.normal(size=(400, 4))
+    q_df = spark.createDataFrame([(i, [float(x) for x in v], i % 3) for i, v in enumerate(q)], "qid long, vec array<double>, label int")
+    b_df = spark.createDataFrame([(i, [float(x) for x in v], i % 3) for i, v in enumerate(b)], "pos long, vec array<double>, label int")
+    for keys in ([], ["label"]):
+        counted = spark.sparkContext.accumulator(0)
+
+        def runner(*args, real=blocks._cell_runner, counted=counted):
+            inner = real(*args)
+
+            def run(batches):
+                for out in inner(batches):
+                    counted.add(out.num_rows)
+                    yield out
+
+            return run
+
+        with monkeypatch.context() as patched:
+            patched.setattr(blocks, "_cell_runner", runner)
+            got = blocks.dense_topk(q_df, b_df, 2, keys, max_query_rows=10, max_bank_rows=10).collect()
+        assert counted.value <= 2 * 2 * 300  # 40 bank blocks
+        for i in range(300):
+            allowed = [j for j in range(400) if not keys or i % 3 == j % 3]
+            want = sorted(allowed, key=lambda j: (-round(float(q[i] @ b[j]), 9), j))[:2]
+            assert [r["pos"] for r in sorted((r for r in got if r["qid"] == i), key=lambda r: r["rank"])] == want
+
+
+def test_cells_that_take_turns_give_each_its_own_best():
+    """Pairs come bank block by bank block, each with several query blocks in turn."""
+    rng = np.random.default_rng(15)
+    vectors = {side: rng.normal(size=(6, 3)) for side in (0, 1)}
+
+    def packed(side, low):
+        lists = pa.array([v.tolist() for v in vectors[side][low : low + 3]], pa.list_(pa.float64()))
+        table = pa.table({"rid": pa.array(range(low, low + 3), pa.int64()), "vec": lists})
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as writer:
+            writer.write_table(table)
+        return sink.getvalue().to_pybytes()
+
+    pairs = [{"held_no": b, "held": packed(1, b), "no": q, "asked": packed(0, q)} for b in (0, 3) for q in (0, 3)]
+    run = blocks._cells_of_pairs(blocks._cell_runner(blocks._Dense, 1, [], ["qid", "pos", "score"]), [])
+    got = [(r["qid"], r["pos"]) for out in run(iter([pa.RecordBatch.from_pylist(pairs)])) for r in out.to_pylist()]
+    assert sorted(got) == list(enumerate(np.argmax(vectors[0] @ vectors[1].T, axis=1).tolist()))
+
+
 def test_packed_blocks_hold_every_row_once(spark, monkeypatch):
     monkeypatch.setattr(blocks, "PACKED_VALUES", 6)
     rows = [(i % 3, i % 2, i, list(range(i % 9)), [1.0] * (i % 9), 1.0) for i in range(50)]
