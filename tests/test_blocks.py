@@ -293,3 +293,17 @@ def test_only_the_blocks_and_the_best_stay_kept(spark):
         assert len(kept()) - before <= (2 if limit is None else 3)  # a capped cut keeps its statistics
         assert top.count() and len(kept()) - before <= (3 if limit is None else 4)
     spark.catalog.clearCache()
+
+
+def test_a_vocabulary_cut_reads_its_statistics_as_one_leaf(spark, monkeypatch):
+    """Every reading of the statistics held the plan of the texts; the driver kept and logged them all."""
+    from answerbank.operators import tfidf
+
+    plans, real = [], tfidf._limit_features
+    monkeypatch.setattr(tfidf, "_limit_features", lambda stats, *a: plans.append(stats._jdf.queryExecution().optimizedPlan().toString()) or real(stats, *a))
+    bank, _ = _odd_tables(spark)
+    s = TfidfSettings(analyzer="word", ngram_min=1, ngram_max=1, max_features=5)
+    counts = tfidf.term_counts(bank, "pos", "question", s, ["subset"])
+    vocab = tfidf.fit_vocabulary(counts, bank.groupBy("subset").agg(F.count("*").alias("n")), s, ["subset"])
+    assert vocab.groupBy("subset").count().agg(F.max("count")).first()[0] == 5
+    assert len(plans) == 1 and len(plans[0].strip().splitlines()) == 1
