@@ -295,6 +295,41 @@ def test_only_the_blocks_and_the_best_stay_kept(spark):
     spark.catalog.clearCache()
 
 
+def test_low_precision_decides_nothing(monkeypatch):
+    """Tiles are scored in float32; scores that differ by less than its error still come in order, and exactly."""
+    rng = np.random.default_rng(17)
+    terms = rng.choice(10**6, 60, replace=False)
+    ask = [np.sort(rng.choice(60, 40, replace=False)) for _ in range(9)]
+    near = rng.random(60)
+    rows = [near * (1 + 3e-8 * rng.permutation(60)) for _ in range(120)]
+
+    def batch(tids, ws, scale):
+        n = len(tids)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(range(n), pa.int64()), pa.array([list(x) for x in tids], pa.list_(pa.int64())),
+             pa.array([list(x) for x in ws], pa.list_(pa.float64())), pa.array(scale)], ["rid", "tids", "ws", "scale"])
+
+    asked = batch([terms[x] for x in ask], [near[x] for x in ask], [1.0] * 9)
+    held = batch([terms] * 120, rows, [0.1] * 120)
+    want = []
+    for x in ask:
+        score = [float((near[x] * w[x]).sum() * 0.1) for w in rows]
+        want.append(sorted(range(120), key=lambda j: (-round(score[j], 9), j))[:4])
+    for ratio in (1, 10**9):
+        monkeypatch.setattr(blocks, "DENSE_RATIO", ratio)
+        monkeypatch.setattr(blocks, "SCRATCH_VALUES", 130)
+        kinds, real = set(), blocks._Sparse.scores
+        with monkeypatch.context() as patched:
+            patched.setattr(blocks._Sparse, "scores", lambda *a: kinds.add(a[-1]) or real(*a))
+            block = blocks._Sparse([asked])
+            bests = block.bests(4)
+            for low in (64, 0):
+                block.meet(bests, held.slice(low, 64))
+        assert kinds == {np.float32}
+        ((query, pos, _),) = [[x.to_pylist() for x in found] for found in block.found(bests)]
+        assert [[p for q, p in zip(query, pos) if q == i] for i in range(9)] == want
+
+
 def test_a_vocabulary_cut_reads_its_statistics_as_one_leaf(spark, monkeypatch):
     """Every reading of the statistics held the plan of the texts; the driver kept and logged them all."""
     from answerbank.operators import tfidf
